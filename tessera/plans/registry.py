@@ -1,0 +1,11 @@
+"""Named queries over the driver's tables and their DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
