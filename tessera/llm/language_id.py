@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of the labelled sample: documents of a language, characters of each
 #: that are used, characters of a language's reference, languages.
@@ -171,10 +172,12 @@ def _parser(references: dict[str, str]) -> CrossParser:
     return _PARSERS[key]
 
 
-def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs, from whole texts alone. A
-    null text or one without a letter is `und` with score 0; so is every text
-    where no language was learned. References, not automata, go to the workers."""
+def annotate(docs: DataFrame, references: dict[str, str]) -> DataFrame:
+    """docs with lang_pred and score (in place of columns of these names), from
+    whole texts alone. A null text or one without a letter is `und` with score 0;
+    so is every text where no language was learned. References, not automata, go
+    to the workers."""
+    rows = docs.drop("lang_pred", "score")
 
     def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None
@@ -182,18 +185,17 @@ def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
             parser = parser or _parser(references)
             at = 0
             while at < batch.num_rows:
-                n, chars = 0, 0
-                texts = []
-                while at + n < batch.num_rows and chars < 3_000_000:
-                    texts.append(batch["text"][at + n].as_py())
+                texts, chars = [], 0
+                while at + len(texts) < batch.num_rows and chars < 3_000_000:
+                    texts.append(batch["text"][at + len(texts)].as_py())
                     chars += len(texts[-1] or "")
-                    n += 1
                 names, scores = parser.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-                at += n
+                some = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*some.schema.names, "lang_pred", "score"])
+                at += len(texts)
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(languages, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(languages, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -201,4 +203,11 @@ def identify(docs: DataFrame) -> DataFrame:
     doc_id, held_out, lang_pred, score. Repeated rows are each predicted, null
     doc_ids aren't held out, other columns are ignored, an empty table gives no
     rows."""
-    return predict(docs, sample(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return annotate(docs.select("doc_id", "text"), sample(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def spoken(docs: DataFrame) -> DataFrame:
+    """The rows of docs that aren't rejected as `und`, with all their columns; a
+    null lang becomes the predicted one."""
+    kept = annotate(docs, sample(docs)).filter("lang_pred <> 'und'")
+    return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
