@@ -1,0 +1,131 @@
+"""Text expressions: entities, types, relations, secrets, truncation, tokens."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import constants as C
+
+_W = "[0-9A-Za-z_]"
+
+
+def ascii_boundaries(pattern: str) -> str:
+    r"""pattern with \b as RE2 has it: between ASCII word characters and others."""
+    return pattern.replace(r"\b", rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))")
+
+
+def found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(ascii_boundaries(pattern)), F.lit(group))
+
+
+def entities(text: Column) -> dict[str, Column]:
+    """kind -> array of strings found; a string an earlier pattern found is not
+    taken again."""
+    text = F.coalesce(text, F.lit(""))
+    out: dict[str, Column] = {}
+    seen = F.array().cast("array<string>")
+    for kind, pattern in C.ENTITY_PATTERNS:
+        new = F.array_except(F.array_distinct(found(text, pattern)), seen)
+        out[kind] = F.concat(out[kind], new) if kind in out else new
+        seen = F.concat(seen, new)
+    return out
+
+
+def tech(text: Column) -> Column:
+    """Canonical technology names in text, each once, sorted. A plain substring
+    test comes before each alias's pattern."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = [F.when(low.contains(a) & low.rlike(ascii_boundaries(rf"\b{re.escape(a)}\b")), n) for a, n in C.TECH.items()]
+    return F.sort_array(F.array_distinct(F.array_compact(F.array(*hits))))
+
+
+def infer_type(text: Column) -> Column:
+    """The type with most keyword points; the first of equals, note for none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    scores = {t: sum((low.contains(k).cast("int") * p for k in words.split("|")), F.lit(0)) for t, (p, words) in C.TYPE_KEYWORDS.items()}
+    # One struct an entry, sorted by score, then by place.
+    best = F.array_max(F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, s) in enumerate(scores.items()))))
+    return F.when(best["s"] > 0, best["t"]).otherwise("note")
+
+
+def relation_pattern(relation: str) -> str:
+    _, _, verbs, ends = C.RELATIONS[relation]
+    name = r"[\w][\w .\-]+?"
+    return rf"(?i)\b({name})\s+(?:{verbs})\s+({name})(?:\.|,|;|\s*\z|" + "|".join(rf"\s+{w}\s" for w in ends.split("|")) + ")"
+
+
+EDGES = "array<struct<rel_type:string,source:string,target:string,source_category:string,target_category:string>>"
+
+
+def relations(text: Column) -> Column:
+    """Array of (rel_type, source, target, source_category, target_category)."""
+    text = F.coalesce(text, F.lit(""))
+
+    def of(relation: str) -> Column:
+        a, b, _, _ = C.RELATIONS[relation]
+        # RE2's \s has no vertical tab.
+        p = relation_pattern(relation).replace(r"\s", r"[\t\n\f\r ]")
+        targets = lambda t: F.filter(F.transform(F.split(t, " dan | and |, |,"), lambda y: F.trim(y)), lambda y: y != "")
+        edge = lambda x, y: F.struct(F.lit(relation).alias("rel_type"), F.trim(x["s"]).alias("source"), y.alias("target"), F.lit(a).alias("source_category"), F.lit(b).alias("target_category"))
+        pairs = F.zip_with(found(text, p, 1), found(text, p, 2), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+        edges = F.flatten(F.transform(pairs, lambda x: F.transform(targets(x["t"]), lambda y: edge(x, y))))
+        # Texts without a verb's last word, nearly all, don't meet the pattern.
+        verbs = {v.rsplit(" ", 1)[-1] for v in C.RELATIONS[relation][2].split("|")}
+        may = F.lit(False)
+        for v in sorted(verbs):
+            may = may | low.contains(v)
+        return F.coalesce(F.when(may, edges), F.array().cast(EDGES))
+
+    low = F.lower(text)
+    every = [of(r) for r in C.RELATIONS]
+    return F.filter(F.concat(*every), lambda e: (e["source"] != "") & (F.lower(e["source"]) != F.lower(e["target"])))
+
+
+def secret(text: Column) -> Column:
+    """Name of the first secret pattern that matches, '' for none."""
+    text = F.coalesce(text, F.lit(""))
+    out = F.lit("")
+    for name, pattern, _ in reversed(C.SECRETS):
+        out = F.when(text.rlike(pattern.replace(r"\s", r"\t\n\f\r ") if "[^" in pattern else pattern), name).otherwise(out)
+    return out
+
+
+def censor(text: Column) -> Column:
+    """All patterns replaced, one after the other."""
+    for _, pattern, replacement in C.SECRETS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits without marks."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), C.MARKED, C.PLAIN)
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def fields(text: Column) -> Column:
+    """Lower-cased runs without white space."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
+
+def tokens(text: Column) -> Column:
+    """Estimated tokens: a quarter of the bytes, at least one of a non-empty text."""
+    n = F.octet_length(F.coalesce(text, F.lit("")))
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
+
+
+def truncate(text: Column, n: int) -> Column:
+    """Texts of more than n characters, cut to n with '...' as their end."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
+
+
+def source_type(name: Column) -> Column:
+    # File extension and source type.
+    kinds = {"txt": "text", "md": "markdown", "json": "json", "csv": "csv"}
+    out = F.lit("file")
+    for extension, kind in kinds.items():
+        out = F.when(F.lower(name).endswith("." + extension), kind).otherwise(out)
+    return out
