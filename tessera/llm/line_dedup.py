@@ -13,6 +13,9 @@ EDITS = 2
 LEAST, NEAR = 20, 40
 #: Lengths of one class share their segments.
 CLASS = 16
+#: Candidate lines are looked up by broadcast up to this many ids of 8 bytes, by
+#: a shuffle of the lines beyond it.
+BROADCAST_IDS = 1_000_000
 #: Frequent letters, whose counts two lines within EDITS nearly share.
 LETTERS = "entariso"
 
@@ -105,7 +108,9 @@ def links(rows: DataFrame) -> DataFrame:
     of the candidates' lines are fetched once, and the distance is computed in a
     band of that width."""
     pairs = materialize(candidates(rows), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = materialize(rows.filter(F.length("line") >= NEAR).select("id", "line").join(wanted, "id", "left_semi").distinct(), "lines")
     one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
