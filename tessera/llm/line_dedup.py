@@ -17,7 +17,8 @@ CLASS = 16
 #: a shuffle of the lines beyond it.
 BROADCAST_IDS = 1_000_000
 #: Frequent letters, whose counts two lines within EDITS nearly share.
-LETTERS = "entariso"
+LETTERS = "entarisohldcumgb"
+BITS = 64 // len(LETTERS)
 
 
 def _segments() -> list[tuple[int, int, bool]]:
@@ -44,20 +45,20 @@ def _keys(line: Column, size: Column, length_class: Column) -> list[Column]:
 
 
 def _sketch(line: Column) -> Column:
-    """Counts, modulo 256, of the LETTERS, in one long."""
+    """Counts, modulo 2^BITS, of the LETTERS, in one long."""
     total = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(255), 8 * k))
+        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND((1 << BITS) - 1), BITS * k))
     return total
 
 
 def _apart(a: Column, b: Column) -> Column:
     """The sum of the counts' differences: an edit changes two by one at most."""
-    out = F.lit(0).cast("long")
+    out, top, half = F.lit(0).cast("long"), (1 << BITS) - 1, 1 << (BITS - 1)
     for k in range(len(LETTERS)):
-        d = F.shiftrightunsigned(a, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(255)
-        out = out + F.abs((d + 128).bitwiseAND(255) - 128)
+        d = F.shiftrightunsigned(a, BITS * k).bitwiseAND(top) - F.shiftrightunsigned(b, BITS * k).bitwiseAND(top)
+        out = out + F.abs((d + half).bitwiseAND(top) - half)
     return out
 
 
@@ -98,8 +99,9 @@ def candidates(rows: DataFrame) -> DataFrame:
         posted.withColumn("_low", F.min("id").over(of_key)).withColumn("_high", F.max("id").over(of_key)).filter("_low <> _high").drop("_low", "_high").distinct(), "postings"
     )
     a = shared.filter("indexed").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    b = shared.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    near = (F.col("a") != F.col("b")) & (_apart(F.col("sa"), F.col("sb")) <= 2 * EDITS)
+    b = shared.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("indexed").alias("both"))
+    # Where both are indexed, either order has the pair.
+    near = ((F.col("a") < F.col("b")) | ~F.col("both") & (F.col("a") != F.col("b"))) & (_apart(F.col("sa"), F.col("sb")) <= 2 * EDITS)
     return a.join(b, (a["key"] == b["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
