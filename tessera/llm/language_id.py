@@ -103,7 +103,11 @@ class CrossParser:
         bases = np.cumsum([0, *map(len, tables)])[:-1]
         self.roots = bases.astype(np.int64) * self.width
         # A move gives the row of the next state in the joint table; the start's row means none.
-        self.table = np.concatenate([(t.astype(np.int64) + b) * self.width for t, b in zip(tables, bases, strict=True)]).ravel().astype(np.int32)
+        self.table = np.concatenate(tables).ravel()
+        for t, b in zip(tables, bases, strict=True):
+            part = self.table[b * self.width : (b + len(t)) * self.width]
+            part += np.int32(b)
+            part *= np.int32(self.width)
 
     def symbols(self, text: str) -> np.ndarray:
         code = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]

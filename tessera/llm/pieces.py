@@ -18,6 +18,8 @@ from collections.abc import Iterator
 SPACE = "▁"
 #: No piece has a space behind another character, so none crosses these words.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Pairs of neighbours whose test a worker remembers.
+FITS = 200_000
 NORMAL, BYTE, BPE = 1, 6, 2
 
 
@@ -105,13 +107,14 @@ class PieceModel:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether left and right may be neighbours ('' is a text's edge)."""
-        if left and right and left[-1] != SPACE and right[0] == SPACE:
-            left = ""
         key = (left, right)
         if key not in self._fits:
-            if len(self._fits) > 1_000_000:
+            if left and right and left[-1] != SPACE and right[0] == SPACE:
+                return self.fits("", right)
+            if len(self._fits) > FITS:
                 self._fits.clear()
-            self._fits[key] = self.merge(left + right) == [x for x in key if x]
+            # Neighbours that are a piece together would have been merged.
+            self._fits[key] = not (left and right and left + right in self.ids) and self.merge(left + right) == [x for x in key if x]
         return self._fits[key]
 
     def known(self, piece: str) -> bool:
@@ -122,12 +125,18 @@ class PieceModel:
         begins at start, behind the piece first; None where no path ends."""
         last: list[str | None] = [None] * (end + 1)
         last[start] = first
+        ids, known, longest = self.ids, self._fits, self.longest
         for i in range(start + 1, end + 1):
-            for n in range(min(self.longest, i - start), 0, -1):
-                left = last[i - n]
-                if left is not None and self.known(piece := text[i - n : i]) and self.fits(left, piece):
-                    last[i] = piece
-                    break
+            for j in range(max(start, i - longest), i):
+                left = last[j]
+                if left is None:
+                    continue
+                piece = text[j:i]
+                if piece in ids or j == i - 1:
+                    fit = known.get((left, piece))
+                    if fit if fit is not None else self.fits(left, piece):
+                        last[i] = piece
+                        break
         return last
 
     @staticmethod

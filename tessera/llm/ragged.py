@@ -12,7 +12,7 @@ class WordIds(dict):
     """word -> index of its ids; encode is called for words not seen before. At
     limit words the table starts anew, so memory is bounded; ids don't change."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
         self._reset()
