@@ -149,7 +149,33 @@ class PieceModel:
         return out[::-1]
 
     def word(self, word: str) -> list[str]:
-        return self.back(self.scan(word, 0, len(word), ""), 0, len(word))
+        """The pieces of the fitting path of a word, searched depth first, longest
+        piece first. Only one path fits up to any place, so a place from which
+        the search came back is never tried again."""
+        ids, known, n = self.ids, self._fits, len(word)
+        path: list[str] = []
+        dead: set[int] = set()
+        at, end, left = 0, min(self.longest, n), ""
+        while at < n:
+            while end > at:
+                piece = word[at:end]
+                if (piece in ids or end == at + 1) and end not in dead:
+                    fit = known.get((left, piece))
+                    if fit if fit is not None else self.fits(left, piece):
+                        break
+                end -= 1
+            if end > at:
+                path.append(piece)
+                at, left = end, piece
+                end = min(at + self.longest, n)
+            else:
+                if not path:
+                    raise ValueError("no path fits")
+                dead.add(at)
+                piece = path.pop()
+                end, at = at - 1, at - len(piece)
+                left = path[-1] if path else ""
+        return path
 
     def piece_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
