@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -33,7 +34,7 @@ class WordIds(dict):
         if len(self) > self.limit:
             self._reset()
         get = self.__getitem__
-        index = np.fromiter((i for text in words for i in map(get, text)), np.int64, sum(map(len, words)))
+        index = np.fromiter(map(get, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
         n = np.diff(ends)[index]
         upto = np.concatenate(([0], np.cumsum(n)))

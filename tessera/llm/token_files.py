@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,68 @@ END_ID = 2
 SHARD_IDS = 4_000_000
 
 
-def word_encoder(path: str) -> tuple[WordIds, int]:
-    """A table of word ids for the tokenizer in path, and its number of ids. The
-    tokenizer drops white space and joins nothing across it, so a text's ids are
-    its words' ids in order."""
-    from tokenizers import Tokenizer
+# The parts of a tokenizer that split_texts knows, as its file has them.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Characters that NFC leaves alone and whose letters and digits Python tells as
+#: the tokenizer does: ASCII and the letters of Latin-1.
+PLAIN = re.compile(r"[\x20-\x7e\x09-\x0DÀ-ÖØ-öø-ÿ]*")
+PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+SPECIAL = "<|"
+
+
+def _plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None and SPECIAL not in text
+
+
+def split_texts(texts: Iterable[str]) -> list[list[str]]:
+    """Each text as the strings whose ids, in order, are the text's: lower-case
+    parts of plain text, as the tokenizer would split it, and any other word as
+    it is."""
+    out = []
+    for text in texts:
+        if _plain(text):
+            out.append(PLAIN_PARTS.findall(text.lower()))
+        else:
+            parts: list[str] = []
+            for word in WORDS.findall(text):
+                if _plain(word):
+                    parts += PLAIN_PARTS.findall(word.lower())
+                else:
+                    parts.append(word)
+            out.append(parts)
+    return out
+
+
+def text_encoder(path: str) -> tuple[WordIds, Callable[[Iterable[str]], list[list[str]]], int]:
+    """For the tokenizer in path: a table of the ids of a text's strings, the
+    function that splits texts into them, and its number of ids. The tokenizer
+    drops white space and joins nothing across it. If its other steps are the
+    known ones, a part of plain text goes to its model straight."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    return WordIds(lambda w: tokenizer.encode(w, add_special_tokens=False).ids), tokenizer.get_vocab_size(with_added_tokens=True)
+    steps = json.loads(tokenizer.to_str())
+    normal, before = steps["normalizer"] or {}, (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = (
+        [x["type"] for x in normal.get("normalizers", [])] == KNOWN_NORMALIZERS
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and before[0]["pattern"] == {"Regex": KNOWN_SPLIT} and before[0]["behavior"] == "Removed" and before[0]["invert"]
+        and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+        and all(SPECIAL in x["content"] for x in steps["added_tokens"])
+    )
+    model, as_bytes = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def whole(word: str) -> list[int]:
+        return tokenizer.encode(word, add_special_tokens=False).ids
+
+    def part(text: str) -> list[int]:
+        if not _plain(text):
+            return whole(text)
+        return [x.id for x in model.tokenize(text if text.isascii() else as_bytes.pre_tokenize_str(text)[0][0])]
+
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    return (WordIds(part), split_texts, size) if known else (WordIds(whole), lambda texts: list(map(WORDS.findall, texts)), size)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -47,7 +102,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, table, width = TaskContext.get().partitionId(), None, 0
+        part, table, split, width = TaskContext.get().partitionId(), None, None, 0
         shard, held, ids, ends = 0, 0, [], []
 
         def flush() -> pd.DataFrame:
@@ -63,11 +118,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         for batch in batches:
             if table is None:
-                table, size = word_encoder(tokenizer)
+                table, split, size = text_encoder(tokenizer)
                 width = max(size - 1, end_id, 1).bit_length()
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
-                flat, stop = table.texts([WORDS.findall(t) for t in some["_text"]])
+                flat, stop = table.texts(split(some["_text"]))
                 flat = np.insert(flat, stop, end_id)
                 ends.append((flat.astype(np.uint32), stop + np.arange(1, len(stop) + 1)))
                 ids += [None if x is None or x != x else int(x) for x in some["_id"].astype(object)]

@@ -310,8 +310,11 @@ def test_token_files(documents, texts, spark, tmp_path):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     odd = ["a<|endoftext|>b", "x\x1cy", "é ́x q\x85w", "don't'S 1a你。", "İI ß"]
-    table, _ = token_files.word_encoder(WORD_BPE)
-    flat, ends = table.texts([token_files.WORDS.findall(x) for x in odd])
+    rng = random.Random(8)
+    letters = [*"abAZzéÉßÿÀñ 019.,'-<|>_\t\n\x1c\x85\xa0ª×µ’中\u0301sStdm", "<|endoftext|>", "'s", "'ll", "İ", "ﬁ"]
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    table, split, _ = token_files.text_encoder(WORD_BPE)
+    flat, ends = table.texts(split(odd))
     assert flat.tolist() == [i for x in odd for i in t.encode(x, add_special_tokens=False).ids] and ends[-1] == len(flat)
 
 
@@ -334,6 +337,9 @@ def test_pieces_match_the_library(spark, documents):
         if len(matrices) > 2:
             a, b, c = matrices[:3]
             assert pieces.compose(pieces.compose(a, b), c) == pieces.compose(a, pieces.compose(b, c))
+    for _ in range(3000):
+        text = "".join(rng.choice("aeinrstl.,é\n0▁") for _ in range(rng.randint(1, 25)))
+        assert all(model.word(w) == model.merge(w) for w in pieces.WORDS.findall(text))
     for chunk in (300, piece_codec.CHUNK):
         rows = piece_codec.encode_and_decode(documents, PIECES, chunk).join(documents.select("doc_id", "text"), "doc_id").collect()
         for r in rows:
