@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .pieces import SPACE, WORDS, Chunk, PieceModel, borders
+from .pieces import SPACE, Chunk, PieceModel, borders
 from .ragged import WordIds
 
 #: Longer texts are split into chunks of this many characters.
@@ -38,7 +38,7 @@ def _whole(rows: DataFrame, model: str) -> DataFrame:
             m, words = _model(model)
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                flat, ends = words.texts([WORDS.findall(m.spaced(t)) for t in some["_text"].to_pylist()])
+                flat, ends = words.texts([m.words(m.spaced(t)) for t in some["_text"].to_pylist()])
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([some["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 
@@ -71,18 +71,34 @@ def _chunked(rows: DataFrame, model: str, chunk: int) -> DataFrame:
             out = [json.dumps([[s, sorted(to)] for s, to in made(x).transfer().items()]) for x in batch.itertuples()]
             yield pd.DataFrame({"_key": batch["_key"], "at": batch["at"], "matrix": out})
 
-    def path(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        states = borders([{tuple(s): {tuple(x) for x in to} for s, to in json.loads(m)} for m in group["matrix"]])
-        return pd.DataFrame({"_key": group["_key"], "at": group["at"], "entering": [json.dumps(s) for s in states[:-1]], "leaving": [json.dumps(s) for s in states[1:]]})
-
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _model(model)[0]
-            out = [np.array(m.piece_ids(made(x).pieces(tuple(json.loads(x.entering)), tuple(json.loads(x.leaving)))), np.int32) for x in batch.itertuples()]
-            yield pd.DataFrame({"_key": batch["_key"], "at": batch["at"], "ids": out})
+            keys, ats, found = [], [], []
+            for row in batch.to_pylist():
+                states = borders([{tuple(s): {tuple(x) for x in to} for s, to in json.loads(x["matrix"])} for x in row["matrices"]])
+                found += [json.dumps(s) for s in states]
+                keys += [row["_key"]] * len(row["matrices"])
+                ats += [x["at"] for x in row["matrices"]]
+                found.append(None)
+            entering = [a for a, b in zip(found, found[1:], strict=False) if a and b]
+            leaving = [b for a, b in zip(found, found[1:], strict=False) if a and b]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ats, pa.int32()), pa.array(entering, pa.string()), pa.array(leaving, pa.string())], ["_key", "at", "entering", "leaving"])
 
-    states = chunks.mapInPandas(matrices, "_key string, at int, matrix string").groupBy("_key").applyInPandas(path, "_key string, at int, entering string, leaving string")
+    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            m, words = _model(model)
+            for at in range(0, len(whole), 64):
+                batch = whole.iloc[at : at + 64]
+                parts = [made(x).parts(tuple(json.loads(x.entering)), tuple(json.loads(x.leaving))) for x in batch.itertuples()]
+                flat, ends = words.texts([middle for _, middle, _ in parts])
+                out = [
+                    np.concatenate((np.array(m.piece_ids(head), np.int32), ids, np.array(m.piece_ids(rest), np.int32)))
+                    for (head, _, rest), ids in zip(parts, np.split(flat, ends[:-1]), strict=True)
+                ]
+                yield pd.DataFrame({"_key": batch["_key"], "at": batch["at"], "ids": out})
+
+    states = chunks.mapInPandas(matrices, "_key string, at int, matrix string").groupBy("_key")
+    states = states.agg(F.array_sort(F.collect_list(F.struct("at", "matrix"))).alias("matrices")).mapInArrow(paths, "_key string, at int, entering string, leaving string")
     traced = chunks.join(states, ["_key", "at"]).mapInPandas(trace, "_key string, at int, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]))
     return keyed.select("doc_id", "_key").join(traced.groupBy("_key").agg(joined.alias("ids")), "_key").select("doc_id", "ids")
@@ -98,19 +114,26 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     return _whole(rows.filter(~long), model).unionByName(_chunked(rows.filter(long), model, chunk))
 
 
+def _decoded(m: PieceModel, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of the batches, with the bytes of their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            some = batch.slice(at, 512)
+            yield some, m.decoded(some["ids"])
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, text for each row of encoded. A text comes back as it was, but for
-    its U+2581, which the models use for the space."""
+    """doc_id, text for each row of encoded; null ids are none. A text comes back
+    as it was, but for its U+2581, which the models use for the space. Bytes that
+    are no UTF-8 are read as U+FFFD."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _model(model)[0]
-            lists = batch["ids"]
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            out = [m.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], ["doc_id", "text"])
+        for some, raw in _decoded(_model(model)[0], batches):
+            out = [b.decode("utf-8", "replace") for b in raw.to_pylist()]
+            yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.mapInArrow(texts, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+    return encoded.select("doc_id", ids).mapInArrow(texts, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def encode_and_decode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
@@ -119,12 +142,10 @@ def encode_and_decode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFr
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
-            m = _model(model)[0]
-            lists = batch["ids"]
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            out = [hashlib.sha256(m.decode(values[a:b].tolist()).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(out, pa.string())], ["doc_id", "ids", "n_tokens", "text_sha256"])
+        for some, raw in _decoded(_model(model)[0], batches):
+            out = [hashlib.sha256(b).hexdigest() for b in raw.to_pylist()]
+            n = pa.array(np.diff(some["ids"].offsets.to_numpy()).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([some["doc_id"], some["ids"], n, pa.array(out, pa.string())], ["doc_id", "ids", "n_tokens", "text_sha256"])
 
     encoded = encode(docs, model, chunk)
     return encoded.mapInArrow(digests, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, n_tokens long, text_sha256 string")

@@ -15,11 +15,16 @@ import re
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 SPACE = "▁"
 #: No piece has a space behind another character, so none crosses these words.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Where a word begins inside a text.
+BEGINS = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 #: Pairs of neighbours whose test a worker remembers.
-FITS = 200_000
+FITS = 300_000
 NORMAL, BYTE, BPE = 1, 6, 2
 
 
@@ -78,6 +83,12 @@ class PieceModel:
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("a piece has a space inside")
         self.longest = max(map(len, self.ids))
+        #: The longest piece that begins with so many (1 to 3) characters.
+        self.reach: dict[str, int] = {}
+        for x in self.ids:
+            for n in (1, 2, 3):
+                self.reach[x[:n]] = max(self.reach.get(x[:n], 1), len(x))
+        self.utf8 = pa.array([bytes([self.bytes[i]]) if i in self.bytes else x.replace(SPACE, " ").encode() for i, x in enumerate(self.names)], pa.binary())
         self._fits: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -155,7 +166,8 @@ class PieceModel:
         ids, known, n = self.ids, self._fits, len(word)
         path: list[str] = []
         dead: set[int] = set()
-        at, end, left = 0, min(self.longest, n), ""
+        reach = self.reach
+        at, end, left = 0, min(reach.get(word[:3]) or reach.get(word[:2], 1), n), ""
         while at < n:
             while end > at:
                 piece = word[at:end]
@@ -167,7 +179,7 @@ class PieceModel:
             if end > at:
                 path.append(piece)
                 at, left = end, piece
-                end = min(at + self.longest, n)
+                end = min(at + (reach.get(word[at : at + 3]) or reach.get(word[at : at + 2], 1)), n)
             else:
                 if not path:
                     raise ValueError("no path fits")
@@ -178,6 +190,10 @@ class PieceModel:
         return path
 
     def piece_ids(self, pieces: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:
+            pass
         out: list[int] = []
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
@@ -186,31 +202,27 @@ class PieceModel:
                 out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def word_ids(self, word: str) -> list[int]:
-        return self.piece_ids(self.word(word))
-
     def spaced(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: runs of byte pieces are read as UTF-8, and the space
-        before the text goes."""
-        names = self.names
-        if self.bytes.keys().isdisjoint(ids):
-            return "".join([names[i] for i in ids]).replace(SPACE, " ").removeprefix(" ")
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            if (b := self.bytes.get(i)) is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(names[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a spaced text, each without its first space: all have one."""
+        if text.endswith(SPACE) or SPACE + SPACE in text:
+            return [w[1:] for w in WORDS.findall(text)]
+        return text.split(SPACE)[1:]
+
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of one of words()."""
+        return self.piece_ids(self.word(SPACE + word))
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """The UTF-8 bytes of each list's text: byte pieces are their byte, and
+        the space before the text goes."""
+        ends = ids.offsets.to_numpy()
+        pieces = self.utf8.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pieces), b"").to_numpy(zero_copy_only=False)
+        return pa.array([t[1:] if t[:1] == b" " else t for t in joined], pa.binary())
 
 
 # A state at the border between two chunks: how far the piece that covers it
@@ -238,8 +250,13 @@ class Chunk:
 
     def _breaks(self) -> tuple[int, int] | None:
         """The first and the last place in the chunk where a word begins."""
-        found = [m.start() for m in WORDS.finditer(self.text, self.at, self.to) if self.at < m.start() < self.to and self.text[m.start() - 1] != SPACE and self.text[m.start()] == SPACE]
-        return (found[0], found[-1]) if found else None
+        begins = BEGINS.search(self.text, self.at + 1, self.to)
+        if not begins:
+            return None
+        last = self.text.rfind(SPACE, self.at + 1, self.to)
+        while self.text[last - 1] == SPACE:
+            last -= 1
+        return begins.start(), last
 
     def _leaving(self, last: list[str | None], leaving: list[State]) -> list[State]:
         out = []
@@ -281,20 +298,25 @@ class Chunk:
                 out[state] = through
         return out
 
-    def pieces(self, entering: State, leaving: State) -> list[str]:
-        """The pieces that begin in the chunk, on the path between two states."""
+    def parts(self, entering: State, leaving: State) -> tuple[list[str], list[str], list[str]]:
+        """What begins in the chunk, on the path between two states: pieces, whole
+        words behind them (see PieceModel.words), and the pieces behind those."""
         begin = self.at + entering[0]
         end = self.to if leaving == EDGE else self.to + leaving[0] - len(leaving[1])
         tail = [] if leaving == EDGE or end < begin else [leaving[1]]
         if begin >= self.to or end < begin:
-            return []
+            return [], [], []
         breaks = self._breaks()
         if not breaks or begin > breaks[0] or end < breaks[1]:
-            return self.model.back(self.model.scan(self.text, begin, end, entering[1]), begin, end) + tail
+            return self.model.back(self.model.scan(self.text, begin, end, entering[1]), begin, end) + tail, [], []
         head = self.model.back(self.model.scan(self.text, begin, breaks[0], entering[1]), begin, breaks[0])
-        middle = [p for w in WORDS.findall(self.text[breaks[0] : breaks[1]]) for p in self.model.word(w)]
         rest = self.model.back(self.model.scan(self.text, breaks[1], end, ""), breaks[1], end)
-        return head + middle + rest + tail
+        return head, self.model.words(self.text[breaks[0] : breaks[1]]), rest + tail
+
+    def pieces(self, entering: State, leaving: State) -> list[str]:
+        """The pieces that begin in the chunk, on the path between two states."""
+        head, words, rest = self.parts(entering, leaving)
+        return head + [p for w in words for p in self.model.word(SPACE + w)] + rest
 
 
 def compose(a: dict[State, set[State]], b: dict[State, set[State]]) -> dict[State, set[State]]:

@@ -11,16 +11,29 @@ import numpy as np
 
 class WordIds(dict):
     """word -> index of its ids; encode is called for words not seen before. At
-    limit words the table starts anew, so memory is bounded; ids don't change."""
+    limit words the half that came least often, and all that came once, go:
+    memory is bounded, and ids don't change."""
 
     def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
-        self._reset()
-
-    def _reset(self) -> None:
+        self.used = np.zeros(0, np.int64)
+        self._keep(self.used)
+
+    def _keep(self, index: np.ndarray) -> None:
+        """Keep the words of these indices, in ascending order."""
+        words = list(self) if len(index) else []
+        if words:
+            old, ends = np.asarray(self.ids), np.asarray(self.ends)
+            n = np.diff(ends)[index]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            ids = old[np.repeat(ends[index] - upto[:-1], n) + np.arange(upto[-1])]
+        else:
+            ids, upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.clear()
-        self.ids, self.ends = array("i"), array("q", [0])
+        self.ids, self.ends = array("i", ids.tobytes()), array("q", upto.astype(np.int64).tobytes())
+        self.update((words[i], k) for k, i in enumerate(index.tolist()))
+        self.used = self.used[index] // 2
 
     def __missing__(self, word: str) -> int:
         self.ids.extend(self.encode(word))
@@ -32,10 +45,14 @@ class WordIds(dict):
         """The ids of the texts, given as lists of words, in one array, and the
         place where each text's ids end."""
         if len(self) > self.limit:
-            self._reset()
+            least = np.partition(self.used, -(self.limit // 2))[-(self.limit // 2)] if self.limit > 1 else self.used.max()
+            self._keep(np.flatnonzero(self.used > max(1, least)))
         get = self.__getitem__
         index = np.fromiter(map(get, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+        used = np.bincount(index, minlength=len(self))
+        used[: len(self.used)] += self.used
+        self.used = used
+        ids, ends = np.asarray(self.ids), np.asarray(self.ends)
         n = np.diff(ends)[index]
         upto = np.concatenate(([0], np.cumsum(n)))
         flat = ids[np.repeat(ends[index] - upto[:-1], n) + np.arange(upto[-1])]
