@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """make(), which a worker keeps for its next tasks under key: of all keys only
+    the last, since workers outlive a stage and its tables would add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row, even where body uses
     it inside another lambda (a projected column may be inlined there)."""

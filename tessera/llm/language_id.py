@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held
+
 #: Bounds of the labelled sample: documents of a language, characters of each
 #: that are used, characters of a language's reference, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS, LANGUAGES = 256, 2_000, 40_000, 64
@@ -164,16 +166,9 @@ class CrossParser:
         return [self.names[b] if yes else "und" for b, yes in zip(best, spoken, strict=True)], [float(s) if yes else 0.0 for s, yes in zip(share, spoken, strict=True)]
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def _parser(references: dict[str, str]) -> CrossParser:
     """A worker builds its automata once and keeps those of the last references."""
-    key = hash(tuple(sorted(references.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(references)
-    return _PARSERS[key]
+    return held(("languages", tuple(sorted(references.items()))), lambda: CrossParser(references))
 
 
 def annotate(docs: DataFrame, references: dict[str, str]) -> DataFrame:

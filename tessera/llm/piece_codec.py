@@ -11,22 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import held, materialize, text_or_empty
 from .pieces import SPACE, Chunk, PieceModel, borders
 from .ragged import WordIds
 
 #: Longer texts are split into chunks of this many characters.
 CHUNK = 16_384
 
-_MODELS: dict[str, tuple[PieceModel, WordIds]] = {}
+
+def _read(path: str) -> tuple[PieceModel, WordIds]:
+    m = PieceModel(path)
+    return m, WordIds(m.word_ids)
 
 
 def _model(path: str) -> tuple[PieceModel, WordIds]:
     """A worker reads a model once and keeps the words that it has encoded."""
-    if path not in _MODELS:
-        m = PieceModel(path)
-        _MODELS[path] = m, WordIds(m.word_ids)
-    return _MODELS[path]
+    return held(("pieces", path), lambda: _read(path))
 
 
 def _whole(rows: DataFrame, model: str) -> DataFrame:
