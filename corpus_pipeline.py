@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, line_dedup, mixing, piece_codec, simhash
+from tessera.llm import language_id, line_dedup, mixing, piece_codec, shingle_join
 from tessera.llm.common import materialize, table
 
 
@@ -27,8 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near-duplicates, that of the smallest doc_id:
+    texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return shingle_join.near_dedup(docs, words=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("line_dedup", dedup_lines),
-    ("simhash_near_dedup", dedup_near),
+    ("near_dedup", dedup_near),
     ("mixing", mix_sources),
     ("sentencepiece", encode),
 ]

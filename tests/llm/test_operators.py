@@ -12,7 +12,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact_dedup, html_text, language_id, line_dedup, minhash, mixing, piece_codec, pieces, queries, simhash, suffix_dedup, token_files, wavelet
+from tessera.llm import components, exact_dedup, html_text, language_id, line_dedup, minhash, mixing, piece_codec, pieces, queries, shingle_join, simhash, suffix_dedup, token_files, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key long, fp long, size string, line string, target string, root string, list string"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -230,6 +230,40 @@ def test_simhash_links_in_dense_and_hot_lists(spark, monkeypatch):
         assert one == two
 
 
+def test_near_stage_links_all_texts_of_jaccard_08(spark, sf_dir, documents, texts, messy, empty):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = list(texts)
+    for k in (8, 12, 20, 60, 300):
+        for j in range(6):
+            words = [f"w{rng.randrange(5000)}" for _ in range(k)]
+            rows.append((100_000 + 100 * k + 10 * j, " ".join(words)))
+            for i in range(1, 6):
+                some = list(words)
+                for _ in range(max(1, k * i // 100)):
+                    some[rng.choice([0, -1, rng.randrange(k)])] = f"v{rng.randrange(5000)}"
+                rows.append((100_000 + 100 * k + 10 * j + i, " ".join(some)))
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4)) if w} for d, t in rows}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.near_groups(df).collect()}
+    assert got == {d: root(d) for d in sets}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, df, sf_dir).collect()) == sorted({root(d) for d in sets})
+    assert Counter(r["doc_id"] for r in shingle_join.near_groups(messy).collect()) == Counter(r[0] for r in messy_rows())
+    assert shingle_join.near_dedup(messy).columns == messy.columns and shingle_join.near_groups(empty).collect() == []
+
+
 PAGE = """<html><head><title>T</title><script>a < b</script></head><body class="nav-open"><header><h1>Site</h1></header><nav><a href=x>m</a></nav>
 <article><h1>Head&eacute;</h1><p>First, of some, length &amp; more <b>bold</b>
  text.<p>Second<br>line<div class="advert">buy</div><form><p>name</p></form><ul class=related-links><li><a>x</a></ul></article>
