@@ -9,8 +9,9 @@ from .common import materialize, text_or_empty
 
 #: Lines within this edit distance are alike.
 EDITS = 2
-#: Shorter lines stay as they are; those under NEAR match only exactly.
-LEAST, NEAR = 20, 40
+#: Lines of LEAST characters and more are deduped, those under NEAR only exactly
+#: (two edits are over a tenth of them) and only where they aren't blank.
+LEAST, NEAR = 1, 20
 #: Lengths of one class share their segments.
 CLASS = 16
 #: Candidate lines are looked up by broadcast up to this many ids of 8 bytes, by
@@ -64,11 +65,11 @@ def _apart(a: Column, b: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc, copy (the text's hash), pos, line, id (the line's hash, null where it
-    is under LEAST) and place (its rank by document and position)."""
+    stays as it is: under LEAST, or blank and under NEAR) and place (its rank by document and position)."""
     rows = docs.select(F.col("doc_id").alias("doc"), text_or_empty().alias("_text"))
     parted = rows.select("doc", F.xxhash64("_text").alias("copy"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
     place = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)")) * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
-    return parted.withColumn("id", F.when(F.length("line") >= LEAST, F.xxhash64("line"))).withColumn("place", place.cast("decimal(38,0)"))
+    return parted.withColumn("id", F.when((F.length("line") >= NEAR) | (F.length("line") >= LEAST) & F.col("line").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("line"))).withColumn("place", place.cast("decimal(38,0)"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def links(rows: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, copy, n_removed, n_links and removed (positions, ascending), a row for
-    each distinct (doc_id, text). A line of at least LEAST characters goes where
+    each distinct (doc_id, text). A line that lines() gives an id goes where
     the same line, or one within EDITS (both at least NEAR long), first stands
     earlier by doc_id and position, whether that one stays or not. n_links counts
     the different lines that the document's lines are linked to."""

@@ -130,6 +130,29 @@ def test_line_dedup_is_exact(spark):
     assert got == near_lines(rows)
 
 
+def test_line_dedup_takes_short_lines(spark):
+    given = [
+        (1, "Anheerat, by in ofonthhahe er. Erin.\nThwhesnd. Esator...\n}\n\n \nabcdefghijklmnopqrst"),
+        (2, "Anheerat by in ofonthhahe er. Erin.\nThwhesnd, esator...\n}\n\n \nabcdefghiXklmnopqrs"),
+        (3, "Thwhesnd. Esator...\nshort\nabcdefghiXklmnopqrXtu\nshort"),
+    ]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    # 19 characters match exactly, 20 within two edits, blank lines stay.
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.line_report(df).collect()} == {1: [], 2: [0, 2], 3: [0, 3]}
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdent ") for _ in range(rng.choice([5, 19, 20, 21, 22, 34, 35, 36, 37, 38]))) for _ in range(16)]
+
+    def edited(s):
+        for _ in range(rng.randint(0, 3)):
+            k, c = rng.randrange(len(s)), rng.choice(["", "x", "yz"])
+            s = s[:k] + c + s[k + 1 :]
+        return s
+
+    rows = [(i, "\n".join(edited(rng.choice(base)) for _ in range(4))) for i in range(60)]
+    got = {r["doc_id"]: (r["removed"], r["n_links"]) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_lines(rows)
+
+
 def without_repeats(rows, window=suffix_dedup.WINDOW):
     seen, out = set(), {}
     for doc, text in sorted(rows):
