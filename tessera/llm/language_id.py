@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,11 @@ from pyspark.sql import types as T
 from .common import held
 
 #: Bounds of the labelled sample: documents of a language, characters of each
-#: that are used, characters of a language's reference, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS, LANGUAGES = 256, 2_000, 40_000, 64
+#: that are used, characters of a language's reference.
+SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS = 256, 2_000, 40_000
+#: Cells of the table of moves. Letters that it has no room for, the rarest in
+#: the references, have their moves in a sorted list; results are the same.
+CELLS = 1 << 26
 #: Texts are parsed in lanes of this many symbols, all lanes a step at a time.
 LANE = 1_024
 SPACE = 1
@@ -33,10 +37,7 @@ def sample(docs: DataFrame) -> dict[str, str]:
     named = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = named.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS).select(F.col("doc_id").alias("_id"))
-    # At most SAMPLE_DOCS ids of each of LANGUAGES languages.
-    names = [r[0] for r in named.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # At most SAMPLE_DOCS ids of each language.
     rows = (
         named.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
         .select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
@@ -77,39 +78,63 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+def _moves(nexts: list[dict[int, int]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """How many states, and of all moves the state, the symbol and the next state."""
+    of = np.repeat(np.arange(len(nexts), dtype=np.int64), [len(m) for m in nexts])
+    by = np.fromiter((c for m in nexts for c in m), np.int64, len(of))
+    to = np.fromiter((t for m in nexts for t in m.values()), np.int64, len(of))
+    known = by != 0
+    return len(nexts), of[known], by[known], to[known]
+
+
 class CrossParser:
     """Counts, for a text and each language, the phrases of the parse into
     longest matches with the language's reference."""
 
     def __init__(self, references: dict[str, str]):
         self.names = sorted(references)
-        letters = sorted({c for t in references.values() for c in t.lower() if c.isalpha()})[:250]
+        seen = Counter(c for t in references.values() for c in t.lower() if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
         kinds = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         # 0: a letter that no reference has; 1: all that isn't a letter.
-        self.code = np.where(kinds, 0, SPACE).astype(np.uint8)
+        self.letters = len(letters) + 2
+        self.code = np.where(kinds, 0, SPACE).astype(np.min_scalar_type(self.letters))
         self.letter = kinds
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 2
-        self.width = len(letters) + 2
-        tables, self.sizes = [], []
+        automata, self.sizes = [], []
         for name in self.names:
             symbols = self.symbols(references[name])
-            nexts = automaton(symbols.tolist())
-            t = np.zeros((len(nexts), self.width), np.int32)
-            for s, moves in enumerate(nexts):
-                for c, to in moves.items():
-                    t[s, c] = to
-            t[:, 0] = 0
-            tables.append(t)
+            automata.append(_moves(automaton(symbols.tolist())))
             self.sizes.append(max(2, len(symbols)))
-        bases = np.cumsum([0, *map(len, tables)])[:-1]
-        self.roots = bases.astype(np.int64) * self.width
+        states = np.array([n for n, _, _, _ in automata], np.int64)
+        self.width = max(2, min(self.letters, CELLS // max(1, int(states.sum()))))
         # A move gives the row of the next state in the joint table; the start's row means none.
-        self.table = np.concatenate(tables).ravel()
-        for t, b in zip(tables, bases, strict=True):
-            part = self.table[b * self.width : (b + len(t)) * self.width]
-            part += np.int32(b)
-            part *= np.int32(self.width)
+        self.roots = (np.cumsum([0, *states])[:-1] * self.width).astype(np.int32)
+        self.table = np.repeat(np.repeat(self.roots, states), self.width)
+        self.first = np.repeat(self.roots[:, None], self.letters, axis=1)
+        keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for i, (_, of, by, to) in enumerate(automata):
+            of, to = of * self.width + self.roots[i], (to * self.width + self.roots[i]).astype(np.int32)
+            wide, start = by < self.width, of == self.roots[i]
+            self.table[of[wide] + by[wide]] = to[wide]
+            self.first[i, by[start]] = to[start]
+            keys.append(of[~wide] * self.letters + by[~wide])
+            ends.append(to[~wide])
+        keys, ends = np.concatenate(keys), np.concatenate(ends)
+        order = np.argsort(keys)
+        self.keys, self.ends = keys[order], ends[order]
+
+    def moves(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next state of each state (a row a language, a column a lane)."""
+        rare = np.flatnonzero(code >= self.width) if self.width < self.letters else code[:0]
+        if not len(rare):
+            return self.table[state + code]
+        to = self.table[state + np.where(code < self.width, code, 0)]
+        key = state[:, rare].astype(np.int64) * self.letters + code[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        to[:, rare] = np.where(self.keys[at] == key, self.ends[at], self.roots[:, None])
+        return to
 
     def symbols(self, text: str) -> np.ndarray:
         code = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -130,12 +155,12 @@ class CrossParser:
             return counts, np.zeros(len(texts), np.int64)
         order = np.argsort([-len(x) for x in lanes], kind="stable")
         sizes = np.array([len(lanes[i]) for i in order])
-        grid = np.zeros((len(lanes), sizes[0]), np.uint8)
+        grid = np.zeros((len(lanes), sizes[0]), self.code.dtype)
         for row, i in enumerate(order):
             grid[row, : sizes[row]] = lanes[i]
         grid = np.ascontiguousarray(grid.T)
         k = len(self.names)
-        roots = np.repeat(self.roots, 1).astype(np.int32)[:, None]
+        roots = self.roots[:, None]
         state = np.broadcast_to(roots, (k, len(lanes))).copy()
         found = np.zeros((k, len(lanes)), np.int32)
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
@@ -143,9 +168,9 @@ class CrossParser:
             n = live[step]
             c = grid[step, :n].astype(np.int32)
             s = state[:, :n]
-            to = self.table[s + c]
+            to = self.moves(s, c)
             new = (to == roots) | (s == roots)
-            state[:, :n] = np.where(new, self.table[roots + c], to)
+            state[:, :n] = np.where(new, self.first[:, c], to)
             found[:, :n] += new
         np.add.at(counts, np.array(owner)[order], found.T)
         return counts, np.array([len(p) for p in parts])

@@ -332,6 +332,36 @@ def test_language_accuracy_and_parse(spark):
     assert parser.predict([None, "", "12 !", "the cat"])[0] == ["und", "und", "und", "a"]
 
 
+def test_language_of_large_alphabets_and_many_names(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda low, n: [chr(low + rng.randrange(n)) + chr(low + rng.randrange(n)) for _ in range(300)]
+    # Three of hundreds of letters each behind Latin, two from one range in parts.
+    of = {"ja": words(0x4E00, 3000), "zh": words(0x4E00 + 2000, 3000), "en": [f"{a}{b}" for a in "abcdeth" for b in "aeiou"], "ko": words(0xAC00, 3000)}
+    text = lambda k, n: " ".join(rng.choice(of[k]) for _ in range(n))
+    references = {k: text(k, 40 if k == "en" else 1000) for k in of}
+    asked = [(k, text(k, 60)) for k in of for _ in range(20)]
+    whole = language_id.CrossParser(references)
+    got = whole.predict([t for _, t in asked])
+    assert got[0] == [k for k, _ in asked]
+    mixed = [t for _, t in asked] + ["a\u4e00 zq", "", "\u9fff" * 5, text("zh", 9) + text("en", 3000)]
+    counts = whole.phrases(mixed)[0]
+    assert whole.width == whole.letters
+    for cells in (1, 40 * sum(map(len, references.values()))):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        narrow = language_id.CrossParser(references)
+        assert narrow.width < narrow.letters and (narrow.phrases(mixed)[0] == counts).all()
+    reference, symbols = whole.symbols(references["zh"]).tolist(), whole.symbols(asked[25][1]).tolist()
+    runs, n, i = {tuple(reference[j : j + k]) for k in range(1, 12) for j in range(len(reference))}, 0, 0
+    while i < len(symbols):
+        k = 1
+        while i + k < len(symbols) and tuple(symbols[i : i + k + 1]) in runs:
+            k += 1
+        n, i = n + 1, i + k
+    assert counts[25][whole.names.index("zh")] == n
+    rows = [(j, f"w{chr(97 + j % 26)}{chr(97 + j // 26)} " * 20, f"l{j:03}") for j in range(100)]
+    assert language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 100
+
+
 def test_exact_dedup_keeps_the_smallest_id(messy):
     got = exact_dedup.exact_groups(messy).collect()
     rows = Counter((r[0], SPACES.sub(" ", r[1] or "")) for r in messy_rows())
