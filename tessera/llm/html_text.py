@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 # Element and role names of HTML, and usual words in class and id.
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption caption summary address".split())
 CONTAINERS = frozenset("html body div article main section header footer nav aside form ul ol dl table thead tbody tfoot tr figure fieldset details center hgroup dialog search menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BREAKS = frozenset("hr".split())
 RAW = frozenset("script style textarea title template iframe xmp noembed noframes noscript svg math select button object canvas".split())
 DROPPED = frozenset("nav footer aside form dialog menu search fieldset head".split())
@@ -30,29 +31,38 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("chars", "links", "parent", "score", "tag")
+    __slots__ = ("chars", "doubt", "holds_main", "links", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.score, self.chars, self.links = tag, parent, 0.0, 0, 0
+        # What class and id say, and whether there is an h1 or main inside.
+        self.doubt, self.holds_main = 0, False
 
 
-def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
+#: What an element's name and attributes say of its subtree.
+KEPT, DOUBTED, DOUBTED_WHOLE, GONE = range(4)
+
+
+def _verdict(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return GONE
     if tag in ("html", "body", "main") or not attributes:
-        return False
+        return KEPT
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in DROPPED_ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return GONE
     if "hidden" in found or re.search(r"(^|\s)hidden(\s|/|$)", attributes) or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
+        return GONE
     words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    return not words.isdisjoint(DROPPED_WHOLE if tag == "article" else DROPPED_WORDS)
+    if not words.isdisjoint(DROPPED_WHOLE):
+        return DOUBTED_WHOLE
+    return KEPT if tag == "article" or words.isdisjoint(DROPPED_WORDS) else DOUBTED
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """The page's text blocks outside dropped subtrees, in page order: the
-    element, its text and how many of the text's characters are in links."""
+    """The page's text blocks outside subtrees dropped by element, role or as
+    hidden, in page order: the element, its text and how many of the text's
+    characters are in links."""
     root = Node("html", None)
     stack, out = [root], []
     text: list[str] = []
@@ -112,8 +122,13 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 if m[2].endswith("/") and tag not in PARAGRAPHS:
                     continue
                 stack.append(Node(tag, stack[-1]))
-                if not skipping and _dropped(tag, m[2], any(x.tag in ("article", "main") for x in stack[:-1])):
-                    skipping = len(stack)
+                if not skipping:
+                    stack[-1].doubt = _verdict(tag, m[2], any(x.tag in ("article", "main") for x in stack[:-1]))
+                    if stack[-1].doubt == GONE:
+                        skipping = len(stack)
+                    elif tag in ("h1", "main"):
+                        for x in stack:
+                            x.holds_main = True
         elif m[3]:
             if tag == "a":
                 links = 0
@@ -139,20 +154,40 @@ def _chain(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _undoubted(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside the subtrees that class or id name as something else
+    than main text, or all, where nothing else is. Such a subtree stays that
+    isn't mostly links and holds half of the page's prose or more; with a word of
+    comments or adverts it also has to hold an h1 or main element."""
+    own: dict[int, list] = {}
+    prose = 0
+    for node, text, linked in found:
+        prose += len(text) - linked
+        for x in _chain(node):
+            if x.doubt:
+                sums = own.setdefault(id(x), [x, 0, 0])
+                sums[1] += len(text) - linked
+                sums[2] += linked
+    gone = {i for i, (x, plain, linked) in own.items() if plain <= linked or 2 * plain < prose or x.doubt == DOUBTED_WHOLE and not x.holds_main}
+    return [f for f in found if all(id(x) not in gone for x in _chain(f[0]))] or found if gone else found
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks, joined by two line feeds.
 
-    Subtrees that HTML or their class, id or role name as menus, headers,
-    footers, sidebars, notices, adverts, forms or comments are left out. Every
-    other paragraph gives points, one for itself, one for each comma and up to
-    three for its length, to the element around it, half of them to the next and
-    a third, a quarter and so on to those above; each element's points are
+    Subtrees that HTML or their role name as menus, headers, footers, sidebars,
+    notices, adverts, forms or comments are left out, and those that class or id
+    name so unless they hold most of the page (see _undoubted). Every other
+    paragraph gives points, one for itself, one for each comma and up to three
+    for its length, to the element around it, half of them to the next and a
+    third, a quarter and so on to those above; each element's points are
     discounted by the share of its characters in links. The best element, or the
     article or main element around it, is kept, with siblings that have a fifth
-    of its points or are long prose with few links. No block is cut. Null and
-    empty pages give an empty text, broken markup ends where its parent ends.
+    of its points and, of those with few links, headings and long prose. No block
+    is cut. Null and empty pages give an empty text, broken markup ends where its
+    parent ends.
     """
-    found = blocks(page or "")
+    found = _undoubted(blocks(page or ""))
     if not found:
         return ""
     scored: dict[int, Node] = {}
@@ -170,7 +205,7 @@ def main_text(page: str | None) -> str:
     best = max(scored.values(), key=value)
     # The outermost article, else main, that the best element is in.
     top = next((x for x in reversed(list(_chain(best))) if x.tag == "article"), None) or next((x for x in _chain(best) if x.tag == "main"), best)
-    least = max(10.0, value(top) / 5)
+    least = value(top) / 5
 
     def kept(node: Node, text: str, linked: int) -> bool:
         lists = next((x for x in _chain(node) if x.tag in ("ul", "ol")), None)
@@ -179,8 +214,8 @@ def main_text(page: str | None) -> str:
         for x in _chain(node):
             if x is top:
                 return True
-            if x.parent is top.parent and top.parent is not None and top.tag not in ("article", "main"):
-                return value(x) >= least or x.tag in PARAGRAPHS and (len(text) > 80 and density(x) < 0.25 or x.tag[0] == "h")
+            if x.parent is top.parent and top.parent is not None:
+                return value(x) >= least > 0 or x.tag in HEADINGS or density(x) < 0.25 and (len(text) > 80 or node.tag in HEADINGS)
         return False
 
     return "\n\n".join(text for node, text, linked in found if kept(node, text, linked))

@@ -302,6 +302,23 @@ def test_html():
     assert "one" not in html_text.main_text(loose) and "More, of it." in html_text.main_text(loose)
 
 
+def test_html_keeps_siblings_and_doubted_wholes():
+    main = html_text.main_text
+    four = ["One, short text.", "Two of them.", "Three, now here.", "Four at last."]
+    p = [f"<p>{x}</p>" for x in four]
+    assert main(f"<body><div>{p[0]}{p[1]}</div><div>{p[2]}{p[3]}</div></body>") == "\n\n".join(four)
+    long = ["Some, long, prose stands here. " * 20, "More of it, of another section, without a link. " * 3]
+    a, b = (f"<p>{x}</p>" for x in long)
+    for page in (f"<main><article>{a}</article><section>{b}</section></main>", f"<body><div>{a}{a}</div><div>{b}</div></body>"):
+        assert long[0].strip() in main(page) and long[1].strip() in main(page)
+    assert main(f"<body><div><h1>Title</h1></div><div>{a}{a}</div></body>").startswith("Title\n\nSome")
+    # A wrapper with a word of the list, what such a word names inside it, and nothing else on the page.
+    assert main(f"<body><h2>Name</h2><div class='page side'>{a}<div class=sidebar>{p[0]}</div></div></body>") == f"Name\n\n{long[0].strip()}"
+    assert main(f"<body><div>x</div><div class='post comments-open'><h1>Title</h1>{a}</div></body>") == f"Title\n\n{long[0].strip()}"
+    assert main(f"<body><div>{a}</div><div id=comments>{b}{a}{a}</div></body>") == long[0].strip()
+    assert main(f"<body><div class=share><div class=ad>{p[0]}</div></div></body>") == four[0]
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, None), (None, "v", "<p>x</p>", 1), (1, "u", PAGE, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
