@@ -15,7 +15,8 @@ from tessera.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a language is found, with that as their lang; those
+    without a letter, and no others, go."""
     return language_id.spoken(docs)
 
 

@@ -231,7 +231,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def spoken(docs: DataFrame) -> DataFrame:
-    """The rows of docs that aren't rejected as `und`, with all their columns; a
-    null lang becomes the predicted one."""
+    """The rows of docs in which a language is found, with all their columns; lang
+    becomes the predicted one, whatever it was. Rejected are rows without a letter
+    alone (all rows where no language was learned): letters of any kind have a
+    nearest language, and the score rejects nothing."""
     kept = annotate(docs, sample(docs)).filter("lang_pred <> 'und'")
-    return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
