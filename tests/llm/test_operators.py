@@ -379,6 +379,13 @@ def test_language_of_large_alphabets_and_many_names(spark, monkeypatch):
     assert language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 100
 
 
+def test_language_stage_writes_what_it_finds(spark):
+    texts = {"a": "the cat sat on the mat with that hat ", "b": "der hund lief um das haus und durch den wald "}
+    rows = [(i, texts["ab"[i % 2]] * 3, "ab"[i % 2]) for i in range(40)] + [(40, texts["a"], "b"), (41, texts["b"], None), (42, "12 !", "a")]
+    got = {r["doc_id"]: r["lang"] for r in language_id.spoken(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: "ab"[i % 2] for i in range(40)} | {40: "a", 41: "b"}
+
+
 def test_exact_dedup_keeps_the_smallest_id(messy):
     got = exact_dedup.exact_groups(messy).collect()
     rows = Counter((r[0], SPACES.sub(" ", r[1] or "")) for r in messy_rows())
@@ -463,6 +470,16 @@ def test_mix_reaches_its_targets(messy, documents):
     assert {r["doc_id"]: r["size"] for r in mixing.mix(messy).collect() if r["doc_id"] in (0, 2, 4)} == {0: 0, 2: 0, 4: 6}
 
 
+def test_mixed_documents_deal_repeated_rows(spark):
+    rows = [(None, f"w{i} x", "a") for i in range(100)] + [(7, "one two", "b")] * 9 + [(7, f"n{i} " * (i + 1), "b") for i in range(9)] + [(i, "a b c", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 0.5, 1.5):
+        want = {(r["source"], r["size"]): r["n"] for r in mixing.mix(df, share).groupBy("source", "size").agg(F.sum("copies").alias("n")).filter("n > 0").collect()}
+        assert len(want) > 1 and any(n % 100 for (source, _), n in want.items() if source == "a")
+        got = Counter((r["source"], len(r["text"].split())) for r in mixing.mixed_documents(df, share=share).collect())
+        assert got == want
+
+
 def test_pipeline(spark, sf_dir, documents):
     import corpus_pipeline
 
