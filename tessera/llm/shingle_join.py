@@ -18,6 +18,8 @@ WORDS, LEAST, SEED = 5, 0.8, 42
 #: these have, at most ORDERED of them, come last in the shingles' order. Any
 #: order gives the same result: this one keeps the lists of the index short.
 SAMPLE, FREQUENT, ORDERED = 16, 4, 100_000
+#: Bits of a set's parity sketch: each shingle flips one.
+PARITY = 1_024
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -50,6 +52,12 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), pa.array(flat))
 
 
+def _parities(grams: list[np.ndarray]) -> pa.Array:
+    bits = [np.bincount((g >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1 for g in grams]
+    flat = np.packbits(np.array(bits, np.uint8).reshape(-1, PARITY), axis=1).view(np.int64).ravel()
+    return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, PARITY // 64, dtype=np.int32), pa.array(flat))
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """set (the hash of all shingles) and grams (the shingles) for each row."""
 
@@ -71,8 +79,9 @@ def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, least: Fraction, last: np.ndarray) -> DataFrame:
-    """doc_id, copy (the text's hash), set, n (how many shingles) and prefix: the
-    first n - ceil(least n) + 1 shingles in the order, for each row of docs."""
+    """doc_id, copy (the text's hash), set, n (how many shingles), prefix (the
+    first n - ceil(least n) + 1 shingles in the order) and parity (for each of
+    PARITY bits, whether an odd number of shingles has it) for each row of docs."""
     by_value = np.argsort(last)
     ordered, rank = last[by_value], by_value + 1
 
@@ -88,11 +97,11 @@ def prefixes(docs: DataFrame, words: int, least: Fraction, last: np.ndarray) ->
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 grams = [shingles(t.as_py(), words) for t in some["_text"]]
-                columns = [some["doc_id"], some["copy"], _signed([_set_id(g) for g in grams]), pa.array([len(g) for g in grams], pa.int64()), _lists([prefix(g) for g in grams])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "set", "n", "prefix"])
+                columns = [some["doc_id"], some["copy"], _signed([_set_id(g) for g in grams]), pa.array([len(g) for g in grams], pa.int64()), _lists([prefix(g) for g in grams]), _parities(grams)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "set", "n", "prefix", "parity"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("copy"), text_or_empty().alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, copy long, set long, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, copy long, set long, n long, prefix array<long>, parity array<long>")
 
 
 def _possible(a: dict[str, Column], b: dict[str, Column], least: Fraction) -> Column:
@@ -104,8 +113,15 @@ def _possible(a: dict[str, Column], b: dict[str, Column], least: Fraction) -> Co
 
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard similarity is least or more.
-    Shingles are made again, once for each set in a pair."""
-    pairs = materialize(pairs, "candidates")
+    Two sets differ in at least as many shingles as their parities in bits, so
+    pairs that differ in too many go first, without loss. For the others shingles
+    are made again, once for each set in a pair."""
+    sums = prints.groupBy("set").agg(F.first("n").alias("_n"), F.first("parity").alias("_p"))
+    side = lambda c: sums.select(F.col("set").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_p").alias(f"_p{c}"))
+    apart = F.aggregate(F.zip_with("_pa", "_pb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, x: acc + x)
+    # Of a + b shingles, alike sets share 2 least / (1 + least) or more.
+    near = apart * (least.numerator + least.denominator) <= (F.col("_na") + F.col("_nb")) * (least.denominator - least.numerator)
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b"), "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
     ids = prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
