@@ -11,20 +11,26 @@ reaches into it to the piece that leaves it; matrices combine associatively.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .ragged import WordIds
+
 SPACE = "▁"
 #: No piece has a space behind another character, so none crosses these words.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Where a word begins inside a text.
 BEGINS = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+#: Before a run of characters inside a word, in a table of words.
+RUN = " "
 #: Pairs of neighbours whose test a worker remembers.
-FITS = 300_000
+FITS = 100_000
 NORMAL, BYTE, BPE = 1, 6, 2
 
 
@@ -90,6 +96,9 @@ class PieceModel:
                 self.reach[x[:n]] = max(self.reach.get(x[:n], 1), len(x))
         self.utf8 = pa.array([bytes([self.bytes[i]]) if i in self.bytes else x.replace(SPACE, " ").encode() for i, x in enumerate(self.names)], pa.binary())
         self._fits: dict[tuple[str, str], bool] = {}
+        self._halves: dict[str, tuple[str, str]] = {}
+        #: Characters that stand beside each other in a piece: no merge joins others.
+        self.beside = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding by merges, best score first, leftmost of equals."""
@@ -116,6 +125,44 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that are merged last when piece is encoded; none of a
+        single character, and ('', '') where the encoding isn't the piece alone."""
+        if len(piece) == 1:
+            return None
+        if piece not in self._halves:
+            last = ("", "")
+            if self.merge(piece) == [piece]:
+                # Both halves are encoded as themselves, and they are neighbours.
+                for i in range(1, len(piece)):
+                    left, right = piece[:i], piece[i:]
+                    if self.known(left) and self.known(right) and self.halves(left) != ("", "") != self.halves(right) and self.apart(left, right, self.score[piece]):
+                        last = (left, right)
+                        break
+                else:
+                    raise ValueError("merges aren't in the order of the scores")
+            self._halves[piece] = last
+        return self._halves[piece]
+
+    def apart(self, left: str, right: str, above: float = -math.inf) -> bool:
+        """Whether no merge of a score better than above joins left and right, each
+        encoded as itself. Their merges are taken back, the last one first; a pair
+        that meets where they meet would be joined if that came before the merge
+        that was just taken back. Of equal merges the left one comes first."""
+        score, low = self.score, above
+        strict = True
+        while True:
+            both = score.get(left + right)
+            if both is not None and (both > low if strict else both >= low):
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and score[left] < score[right]:
+                low, strict, left = score[left], True, a[1]
+            else:
+                low, strict, right = score[right], False, b[0]
+
     def fits(self, left: str, right: str) -> bool:
         """Whether left and right may be neighbours ('' is a text's edge)."""
         key = (left, right)
@@ -124,8 +171,8 @@ class PieceModel:
                 return self.fits("", right)
             if len(self._fits) > FITS:
                 self._fits.clear()
-            # Neighbours that are a piece together would have been merged.
-            self._fits[key] = not (left and right and left + right in self.ids) and self.merge(left + right) == [x for x in key if x]
+            sound = all(self.known(x) and self.halves(x) != ("", "") for x in key if x)
+            self._fits[key] = sound and not (left and right and not self.apart(left, right))
         return self._fits[key]
 
     def known(self, piece: str) -> bool:
@@ -216,6 +263,16 @@ class PieceModel:
         """The ids of one of words()."""
         return self.piece_ids(self.word(SPACE + word))
 
+    def runs(self, word: str) -> list[str]:
+        """The spaced word, cut wherever no merge can join two characters."""
+        beside, out, begin = self.beside, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in beside:
+                out.append(word[begin:i])
+                begin = i
+        out.append(word[begin:])
+        return out
+
     def decoded(self, ids: pa.ListArray) -> pa.Array:
         """The UTF-8 bytes of each list's text: byte pieces are their byte, and
         the space before the text goes."""
@@ -225,6 +282,23 @@ class PieceModel:
         return pa.array([t[1:] if t[:1] == b" " else t for t in joined], pa.binary())
 
 
+class PieceIds(WordIds):
+    """Ids of words(); a word that merges can't join as a whole is made of its
+    runs, which are held too (behind a space: no word begins with it)."""
+
+    def __init__(self, model: PieceModel, **options):
+        super().__init__(**options)
+        self.model = model
+
+    def made(self, word: str) -> bytes:
+        if word[:1] == RUN:
+            return array("i", self.model.piece_ids(self.model.word(word[1:]))).tobytes()
+        runs = self.model.runs(SPACE + word)
+        if len(runs) == 1:
+            return array("i", self.model.piece_ids(self.model.word(runs[0]))).tobytes()
+        return b"".join([self[x[1:]] if x[0] == SPACE and len(x) > 1 else self[RUN + x] for x in runs])
+
+
 # A state at the border between two chunks: how far the piece that covers it
 # reaches past it, and that piece. The text's own edges have the state (0, '').
 State = tuple[int, str]
@@ -328,13 +402,14 @@ def compose(a: dict[State, set[State]], b: dict[State, set[State]]) -> dict[Stat
     return out
 
 
-def borders(matrices: list[dict[State, set[State]]]) -> list[State]:
-    """The states of the one path through all chunks: those that can be reached
-    from the left, then, from the right, the one of each border that goes on."""
-    reached = [{EDGE}]
+def borders(matrices: list[dict[State, set[State]]], first: State = EDGE, last: State = EDGE) -> list[State]:
+    """The states of the one path from first to last through all matrices: those
+    that can be reached from the left, then, from the right, the one of each
+    border that goes on."""
+    reached = [{first}]
     for m in matrices:
         reached.append(set().union(*(m.get(s, set()) for s in reached[-1])))
-    path = [EDGE]
+    path = [last]
     for m, left in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
         (state,) = [s for s in left if path[-1] in m.get(s, ())]
         path.append(state)

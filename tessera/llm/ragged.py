@@ -2,58 +2,38 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 
 
 class WordIds(dict):
-    """word -> index of its ids; encode is called for words not seen before. At
-    limit words the half that came least often, and all that came once, go:
-    memory is bounded, and ids don't change."""
+    """word -> its ids, as bytes of 32-bit integers; encode is called for words
+    not held. At limit words the table becomes the older one and a new one begins,
+    into which words come back when they are met again: words of the last limit
+    that were met last stay, memory is bounded, and ids don't change."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[str], Iterable[int]] | None = None, limit: int = 300_000):
         super().__init__()
         self.encode, self.limit = encode, limit
-        self.used = np.zeros(0, np.int64)
-        self._keep(self.used)
-
-    def _keep(self, index: np.ndarray) -> None:
-        """Keep the words of these indices, in ascending order."""
-        words = list(self) if len(index) else []
-        if words:
-            old, ends = np.asarray(self.ids), np.asarray(self.ends)
-            n = np.diff(ends)[index]
-            upto = np.concatenate(([0], np.cumsum(n)))
-            ids = old[np.repeat(ends[index] - upto[:-1], n) + np.arange(upto[-1])]
-        else:
-            ids, upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.clear()
-        self.ids, self.ends = array("i", ids.tobytes()), array("q", upto.astype(np.int64).tobytes())
-        self.update((words[i], k) for k, i in enumerate(index.tolist()))
-        self.used = self.used[index] // 2
-
-    def __missing__(self, word: str) -> int:
-        self.ids.extend(self.encode(word))
-        self.ends.append(len(self.ids))
-        self[word] = n = len(self)
-        return n
-
-    def texts(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts, given as lists of words, in one array, and the
-        place where each text's ids end."""
-        if len(self) > self.limit:
-            least = np.partition(self.used, -(self.limit // 2))[-(self.limit // 2)] if self.limit > 1 else self.used.max()
-            self._keep(np.flatnonzero(self.used > max(1, least)))
-        get = self.__getitem__
-        index = np.fromiter(map(get, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-        used = np.bincount(index, minlength=len(self))
-        used[: len(self.used)] += self.used
-        self.used = used
-        ids, ends = np.asarray(self.ids), np.asarray(self.ends)
-        n = np.diff(ends)[index]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        flat = ids[np.repeat(ends[index] - upto[:-1], n) + np.arange(upto[-1])]
-        return flat, upto[np.cumsum([len(x) for x in words], dtype=np.int64)] if words else np.zeros(0, np.int64)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.made(word)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def made(self, word: str) -> bytes:
+        return np.array(self.encode(word), np.int32).tobytes()
+
+    def texts(self, words: list[list[str]], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, given as lists of words, in one array, each text's
+        with end behind it, and the place where each text's ids end."""
+        get, join = self.__getitem__, b"".join
+        each = [join(map(get, x)) + end for x in words] if end else [join(map(get, x)) for x in words]
+        return np.frombuffer(join(each), np.int32), np.cumsum([len(x) // 4 for x in each], dtype=np.int64)
