@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +32,12 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("chars", "doubt", "holds_main", "links", "parent", "score", "tag")
+    __slots__ = ("chars", "doubt", "gone", "holds_main", "in_article", "links", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.score, self.chars, self.links = tag, parent, 0.0, 0, 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.gone = False
         # What class and id say, and whether there is an h1 or main inside.
         self.doubt, self.holds_main = 0, False
 
@@ -59,12 +62,12 @@ def _verdict(tag: str, attributes: str, inside_article: bool) -> int:
     return KEPT if tag == "article" or words.isdisjoint(DROPPED_WORDS) else DOUBTED
 
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
+def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     """The page's text blocks outside subtrees dropped by element, role or as
     hidden, in page order: the element, its text and how many of the text's
-    characters are in links."""
+    characters are in links. And all elements, each behind its parent."""
     root = Node("html", None)
-    stack, out = [root], []
+    stack, out, nodes = [root], [], [root]
     text: list[str] = []
     linked, links, skipping = 0, 0, 0
     at, size = 0, len(page)
@@ -122,13 +125,13 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 if m[2].endswith("/") and tag not in PARAGRAPHS:
                     continue
                 stack.append(Node(tag, stack[-1]))
+                nodes.append(stack[-1])
                 if not skipping:
-                    stack[-1].doubt = _verdict(tag, m[2], any(x.tag in ("article", "main") for x in stack[:-1]))
+                    stack[-1].doubt = _verdict(tag, m[2], stack[-1].in_article)
                     if stack[-1].doubt == GONE:
                         skipping = len(stack)
                     elif tag in ("h1", "main"):
-                        for x in stack:
-                            x.holds_main = True
+                        stack[-1].holds_main = True
         elif m[3]:
             if tag == "a":
                 links = 0
@@ -145,7 +148,9 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                         break
     if not skipping:
         flush()
-    return out
+    for x in reversed(nodes[1:]):
+        x.parent.holds_main |= x.holds_main
+    return out, nodes
 
 
 def _chain(node: Node | None) -> Iterator[Node]:
@@ -154,22 +159,34 @@ def _chain(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _undoubted(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def _count(found: list[tuple[Node, str, int]], nodes: list[Node]) -> None:
+    """Characters, and those in links, of all that is inside each element."""
+    for x in nodes:
+        x.chars = x.links = 0
+    for node, text, linked in found:
+        node.chars += len(text)
+        node.links += linked
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.links += x.links
+
+
+def _undoubted(found: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
     """The blocks outside the subtrees that class or id name as something else
     than main text, or all, where nothing else is. Such a subtree stays that
     isn't mostly links and holds half of the page's prose or more; with a word of
     comments or adverts it also has to hold an h1 or main element."""
-    own: dict[int, list] = {}
-    prose = 0
-    for node, text, linked in found:
-        prose += len(text) - linked
-        for x in _chain(node):
-            if x.doubt:
-                sums = own.setdefault(id(x), [x, 0, 0])
-                sums[1] += len(text) - linked
-                sums[2] += linked
-    gone = {i for i, (x, plain, linked) in own.items() if plain <= linked or 2 * plain < prose or x.doubt == DOUBTED_WHOLE and not x.holds_main}
-    return [f for f in found if all(id(x) not in gone for x in _chain(f[0]))] or found if gone else found
+    _count(found, nodes)
+    prose = nodes[0].chars - nodes[0].links
+    for x in nodes:
+        plain = x.chars - x.links
+        small = plain <= x.links or 2 * plain < prose or x.doubt == DOUBTED_WHOLE and not x.holds_main
+        x.gone = x.parent is not None and x.parent.gone or bool(x.doubt) and small
+    return [f for f in found if not f[0].gone] or found
+
+
+#: A paragraph gives points to so many elements around it.
+LEVELS = 64
 
 
 def main_text(page: str | None) -> str:
@@ -180,45 +197,50 @@ def main_text(page: str | None) -> str:
     name so unless they hold most of the page (see _undoubted). Every other
     paragraph gives points, one for itself, one for each comma and up to three
     for its length, to the element around it, half of them to the next and a
-    third, a quarter and so on to those above; each element's points are
+    third, a quarter and so on to LEVELS above; each element's points are
     discounted by the share of its characters in links. The best element, or the
     article or main element around it, is kept, with siblings that have a fifth
     of its points and, of those with few links, headings and long prose. No block
     is cut. Null and empty pages give an empty text, broken markup ends where its
-    parent ends.
+    parent ends. Work grows with the page's length, however deep it is.
     """
-    found = _undoubted(blocks(page or ""))
+    found, nodes = blocks(page or "")
+    found = _undoubted(found, nodes)
     if not found:
         return ""
     scored: dict[int, Node] = {}
-    for node, text, linked in found:
+    for node, text, _ in found:
         first = node.parent if node.tag in PARAGRAPHS and node.parent else node
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        for depth, x in enumerate(_chain(first)):
+        for depth, x in enumerate(islice(_chain(first), LEVELS)):
             x.score += points / (depth + 1)
             scored[id(x)] = x
-        for x in _chain(node):
-            x.chars += len(text)
-            x.links += linked
+    _count(found, nodes)
     density = lambda x: x.links / x.chars if x.chars else 0.0
     value = lambda x: x.score * (1 - density(x))
     best = max(scored.values(), key=value)
     # The outermost article, else main, that the best element is in.
     top = next((x for x in reversed(list(_chain(best))) if x.tag == "article"), None) or next((x for x in _chain(best) if x.tag == "main"), best)
     least = value(top) / 5
+    # For each element: the nearest list around it, and the top element or the
+    # sibling of it that it is in.
+    lists: dict[int, Node | None] = {}
+    within: dict[int, Node | None] = {}
+    for x in nodes:
+        around = x.parent
+        lists[id(x)] = x if x.tag in ("ul", "ol") else lists[id(around)] if around is not None else None
+        own = x is top or around is not None and around is top.parent
+        within[id(x)] = x if own else within[id(around)] if around is not None else None
 
-    def kept(node: Node, text: str, linked: int) -> bool:
-        lists = next((x for x in _chain(node) if x.tag in ("ul", "ol")), None)
-        if lists is not None and lists.chars and density(lists) > 0.9 and lists is not top:
+    def kept(node: Node, text: str) -> bool:
+        menu, x = lists[id(node)], within[id(node)]
+        if menu is not None and menu.chars and density(menu) > 0.9 and menu is not top:
             return False
-        for x in _chain(node):
-            if x is top:
-                return True
-            if x.parent is top.parent and top.parent is not None:
-                return value(x) >= least > 0 or x.tag in HEADINGS or density(x) < 0.25 and (len(text) > 80 or node.tag in HEADINGS)
-        return False
-
-    return "\n\n".join(text for node, text, linked in found if kept(node, text, linked))
+        if x is None or x is top:
+            return x is top
+        return value(x) >= least > 0 or x.tag in HEADINGS or density(x) < 0.25 and (len(text) > 80 or node.tag in HEADINGS)
+
+    return "\n\n".join(text for node, text, _ in found if kept(node, text))
 
 
 def extract(pages: DataFrame) -> DataFrame:
