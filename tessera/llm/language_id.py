@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held
+from .common import fresh, held
 
 #: Bounds of the labelled sample: documents of a language, characters of each
 #: that are used, characters of a language's reference.
@@ -20,7 +20,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS = 256, 2_000, 40_000
 #: Cells of the table of moves. Letters that it has no room for, the rarest in
 #: the references, have their moves in a sorted list; results are the same.
 CELLS = 1 << 26
-#: Texts are parsed in lanes of this many symbols, all lanes a step at a time.
+#: Texts are parsed in lanes of this many symbols, all lanes a step at a time;
+#: the counts are those of one parse of the whole text.
 LANE = 1_024
 SPACE = 1
 
@@ -153,27 +154,78 @@ class CrossParser:
         counts = np.zeros((len(texts), len(self.names)), np.int64)
         if not lanes:
             return counts, np.zeros(len(texts), np.int64)
+        # A text's lanes begin at the start state; where the lane before ended in
+        # another, a lane is parsed again from there until both parses meet.
+        owner, k = np.array(owner), len(self.names)
+        begin = np.broadcast_to(self.roots[:, None], (k, len(lanes))).copy()
+        found, end = self._parse(lanes, begin)
+        again = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        while len(again):
+            again = again[(begin[:, again] != end[:, again - 1]).any(axis=0)]
+            if not len(again):
+                break
+            start = end[:, again - 1].copy()
+            more, last = self._apart([lanes[i] for i in again], begin[:, again], start, end[:, again])
+            found[:, again] += more
+            changed = again[(last != end[:, again]).any(axis=0)]
+            begin[:, again], end[:, again] = start, last
+            after = changed + 1
+            after = after[after < len(lanes)]
+            again = after[owner[after] == owner[after - 1]]
+        np.add.at(counts, owner, found.T)
+        return counts, np.array([len(p) for p in parts])
+
+    def _grid(self, lanes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lanes, longest first, as columns; their order and how many have a
+        symbol at each step."""
         order = np.argsort([-len(x) for x in lanes], kind="stable")
         sizes = np.array([len(lanes[i]) for i in order])
         grid = np.zeros((len(lanes), sizes[0]), self.code.dtype)
         for row, i in enumerate(order):
             grid[row, : sizes[row]] = lanes[i]
-        grid = np.ascontiguousarray(grid.T)
-        k = len(self.names)
+        return np.ascontiguousarray(grid.T), order, np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind the symbols c, and where a phrase begins with one."""
+        to = self.moves(state, c)
         roots = self.roots[:, None]
-        state = np.broadcast_to(roots, (k, len(lanes))).copy()
-        found = np.zeros((k, len(lanes)), np.int32)
-        live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        for step in range(sizes[0]):
+        new = (to == roots) | (state == roots)
+        return np.where(new, self.first[:, c], to), new
+
+    def _parse(self, lanes: list[np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each lane, and its last state (a row a language)."""
+        grid, order, live = self._grid(lanes)
+        state = begin[:, order].copy()
+        found = np.zeros(state.shape, np.int32)
+        for step in range(len(grid)):
             n = live[step]
-            c = grid[step, :n].astype(np.int32)
-            s = state[:, :n]
-            to = self.moves(s, c)
-            new = (to == roots) | (s == roots)
-            state[:, :n] = np.where(new, self.first[:, c], to)
+            state[:, :n], new = self._step(state[:, :n], grid[step, :n].astype(np.int32))
             found[:, :n] += new
-        np.add.at(counts, np.array(owner)[order], found.T)
-        return counts, np.array([len(p) for p in parts])
+        back = np.argsort(order)
+        return found[:, back], state[:, back]
+
+    def _apart(self, lanes: list[np.ndarray], one: np.ndarray, two: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For parses from the states two instead of one, how many phrases more they
+        find, and the last states, of which end has those of one. Lanes whose parses
+        have met in all languages are done."""
+        grid, order, live = self._grid(lanes)
+        one, two, last = one[:, order].copy(), two[:, order].copy(), end[:, order].copy()
+        more, open_ = np.zeros(one.shape, np.int32), np.arange(len(lanes))
+        for step in range(len(grid)):
+            done = open_[open_ >= live[step]]
+            last[:, done] = two[:, done]
+            open_ = open_[open_ < live[step]]
+            open_ = open_[(one[:, open_] != two[:, open_]).any(axis=0)]
+            if not len(open_):
+                break
+            c = grid[step, open_].astype(np.int32)
+            one[:, open_], a = self._step(one[:, open_], c)
+            two[:, open_], b = self._step(two[:, open_], c)
+            more[:, open_] += b.astype(np.int32) - a
+        else:
+            last[:, open_] = two[:, open_]
+        back = np.argsort(order)
+        return more[:, back], last[:, back]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language whose parse has the fewest phrases, each weighted with the
@@ -196,12 +248,12 @@ def _parser(references: dict[str, str]) -> CrossParser:
     return held(("languages", tuple(sorted(references.items()))), lambda: CrossParser(references))
 
 
-def annotate(docs: DataFrame, references: dict[str, str]) -> DataFrame:
-    """docs with lang_pred and score (in place of columns of these names), from
+def annotate(docs: DataFrame, references: dict[str, str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns pred and score (in place of those of these names), from
     whole texts alone. A null text or one without a letter is `und` with score 0;
     so is every text where no language was learned. References, not automata, go
     to the workers."""
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(pred, score)
 
     def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None
@@ -215,10 +267,10 @@ def annotate(docs: DataFrame, references: dict[str, str]) -> DataFrame:
                     chars += len(texts[-1] or "")
                 names, scores = parser.predict(texts)
                 some = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*some.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*some.schema.names, pred, score])
                 at += len(texts)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return rows.mapInArrow(languages, schema)
 
 
@@ -235,5 +287,6 @@ def spoken(docs: DataFrame) -> DataFrame:
     becomes the predicted one, whatever it was. Rejected are rows without a letter
     alone (all rows where no language was learned): letters of any kind have a
     nearest language, and the score rejects nothing."""
-    kept = annotate(docs, sample(docs)).filter("lang_pred <> 'und'")
-    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+    pred, score = fresh(docs, "lang_pred", "score")
+    kept = annotate(docs, sample(docs), pred, score).filter(F.col(pred) != "und")
+    return kept.select(*(F.col(pred).alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
