@@ -140,21 +140,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     that repeat doc_id, source and size are dealt the sum of their copies: each
     the same, the first ones by the text's hash one more. For these, rows are
     placed by 256 slots of that hash, so that a key's rows aren't one task's."""
-    key = lambda size: F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), F.coalesce("source", F.lit("null"))))
+    key = lambda size, source: F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), F.coalesce(source, F.lit("null"))))
     copies = materialize(
-        mix(docs, **options).groupBy(key(F.col("size")).alias("_key")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-        .filter("_sum > 0").select("_key", F.floor(F.col("_sum") / F.col("_rows")).cast("int").alias("_copies"), (F.col("_sum") % F.col("_rows")).alias("_more")),
+        mix(docs, **options).groupBy(key(F.col("size"), F.col("source")).alias("key")).agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("n"))
+        .filter("sum > 0").select("key", F.floor(F.col("sum") / F.col("n")).cast("int").alias("copies"), (F.col("sum") % F.col("n")).alias("more")),
         "copies",
     )
-    rows = docs.withColumn("_key", key(word_count(F.col("text"))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(word_count(F.col("text")), F.col("source").cast("string")).alias("key"), F.xxhash64(text_or_empty()).alias("h"))
     # Where a source's target is reached: one key a source at most.
-    odd = rows.join(F.broadcast(copies.filter("_more > 0")), "_key").withColumn("_h", F.xxhash64(text_or_empty())).withColumn("_slot", F.pmod("_h", F.lit(256)))
-    slots = odd.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slot")) - F.col("_n")
-    place = F.row_number().over(Window.partitionBy("_key", "_slot").orderBy("_h")) + F.col("_before")
-    dealt = odd.join(slots.select("_key", "_slot", before.alias("_before")), ["_key", "_slot"]).withColumn("_copies", F.col("_copies") + (place <= F.col("_more")).cast("int"))
-    every = rows.join(copies.filter("_more = 0"), "_key").select(*docs.columns, "_copies").unionByName(dealt.select(*docs.columns, "_copies"))
-    return every.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    odd = rows.join(F.broadcast(copies.filter("more > 0")), "key").withColumn("slot", F.pmod("h", F.lit(256)))
+    slots = odd.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("slot")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("key", "slot").orderBy("h")) + F.col("before")
+    dealt = odd.join(slots.select("key", "slot", before.alias("before")), ["key", "slot"]).withColumn("copies", F.col("copies") + (place <= F.col("more")).cast("int"))
+    every = rows.join(copies.filter("more = 0"), "key").select("row", "copies").unionByName(dealt.select("row", "copies"))
+    return every.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""
