@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty
+from .common import held, shared_dir, text_or_empty
 from .ragged import WordIds
 from .wavelet import WaveletMatrix, dump, load
 
@@ -21,45 +24,65 @@ END_ID = 2
 SHARD_IDS = 4_000_000
 
 
-# The parts of a tokenizer that split_texts knows, as its file has them.
+# The parts of a tokenizer that PartIds knows, as its file has them.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: Characters that NFC leaves alone and whose letters and digits Python tells as
 #: the tokenizer does: ASCII and the letters of Latin-1.
-PLAIN = re.compile(r"[\x20-\x7e\x09-\x0DÀ-ÖØ-öø-ÿ]*")
+PLAIN = bytes([*range(0x20, 0x7F), *range(0x09, 0x0E), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 SPECIAL = "<|"
 
 
 def _plain(text: str) -> bool:
-    return PLAIN.fullmatch(text) is not None and SPECIAL not in text
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not raw.translate(None, PLAIN) and SPECIAL not in text
 
 
 def split_texts(texts: Iterable[str]) -> list[list[str]]:
-    """Each text as the strings whose ids, in order, are the text's: lower-case
-    parts of plain text, as the tokenizer would split it, and any other word as
-    it is."""
+    """Each text's words, the plain ones in lower case."""
     out = []
     for text in texts:
         if _plain(text):
-            out.append(PLAIN_PARTS.findall(text.lower()))
+            out.append(text.lower().split())
         else:
-            parts: list[str] = []
-            for word in WORDS.findall(text):
-                if _plain(word):
-                    parts += PLAIN_PARTS.findall(word.lower())
-                else:
-                    parts.append(word)
-            out.append(parts)
+            out.append([w.lower() if _plain(w) else w for w in WORDS.findall(text)])
     return out
 
 
+class PartIds(WordIds):
+    """Ids of words for a tokenizer of known steps: the parts into which it would
+    split a plain word go to its model straight; those behind or before a mark
+    are held as words too."""
+
+    def __init__(self, tokenizer, **options):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(**options)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def made(self, word: str) -> bytes:
+        core = word.rstrip(punctuation)
+        if core.isascii() and core.isalpha():
+            # Marks behind letters are one part.
+            return array("i", [x.id for x in self.model.tokenize(core)]).tobytes() if core == word else self[core] + self[word[len(core) :]]
+        if not _plain(word):
+            return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        parts = PLAIN_PARTS.findall(word)
+        if len(parts) > 1:
+            return b"".join([self[p] for p in parts])
+        return array("i", [x.id for x in self.model.tokenize(word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0])]).tobytes()
+
+
 def text_encoder(path: str) -> tuple[WordIds, Callable[[Iterable[str]], list[list[str]]], int]:
-    """For the tokenizer in path: a table of the ids of a text's strings, the
+    """For the tokenizer in path: a table of the ids of a text's words, the
     function that splits texts into them, and its number of ids. The tokenizer
-    drops white space and joins nothing across it. If its other steps are the
-    known ones, a part of plain text goes to its model straight."""
-    from tokenizers import Tokenizer, pre_tokenizers
+    drops white space and joins nothing across it."""
+    from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     steps = json.loads(tokenizer.to_str())
@@ -71,18 +94,10 @@ def text_encoder(path: str) -> tuple[WordIds, Callable[[Iterable[str]], list[lis
         and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
         and all(SPECIAL in x["content"] for x in steps["added_tokens"])
     )
-    model, as_bytes = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def whole(word: str) -> list[int]:
-        return tokenizer.encode(word, add_special_tokens=False).ids
-
-    def part(text: str) -> list[int]:
-        if not _plain(text):
-            return whole(text)
-        return [x.id for x in model.tokenize(text if text.isascii() else as_bytes.pre_tokenize_str(text)[0][0])]
-
     size = tokenizer.get_vocab_size(with_added_tokens=True)
-    return (WordIds(part), split_texts, size) if known else (WordIds(whole), lambda texts: list(map(WORDS.findall, texts)), size)
+    if known:
+        return PartIds(tokenizer), split_texts, size
+    return WordIds(lambda w: tokenizer.encode(w, add_special_tokens=False).ids), lambda texts: list(map(WORDS.findall, texts)), size
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -99,42 +114,45 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     and text are ignored. An empty table writes no shards.
     """
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, table, split, width = TaskContext.get().partitionId(), None, None, 0
-        shard, held, ids, ends = 0, 0, [], []
+        part, table, split, width, end = TaskContext.get().partitionId(), None, None, 0, np.array([end_id], np.int32).tobytes()
+        shard, so_far, ids, ends = 0, 0, [], []
 
-        def flush() -> pd.DataFrame:
-            nonlocal shard, held, ids, ends
+        def flush() -> pa.RecordBatch:
+            nonlocal shard, so_far, ids, ends
             flat, upto, base = np.concatenate([x for x, _ in ends]), [], 0
             for x, e in ends:
                 upto.append(e + base)
                 base += len(x)
             blob = dump(WaveletMatrix.build(flat, width), ids, np.concatenate(upto))
-            row = pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(flat)], "n_docs": [len(ids)], "file": [blob]})
-            shard, held, ids, ends = shard + 1, 0, [], []
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
+                ["part", "shard", "n_tokens", "n_docs", "file"],
+            )
+            shard, so_far, ids, ends = shard + 1, 0, [], []
             return row
 
         for batch in batches:
             if table is None:
-                table, split, size = text_encoder(tokenizer)
+                # Kept for the worker's next tasks: words come back.
+                table, split, size = held(("words", tokenizer), lambda: text_encoder(tokenizer))
                 width = max(size - 1, end_id, 1).bit_length()
-            for at in range(0, len(batch), 512):
-                some = batch.iloc[at : at + 512]
-                flat, stop = table.texts(split(some["_text"]))
-                flat = np.insert(flat, stop, end_id)
-                ends.append((flat.astype(np.uint32), stop + np.arange(1, len(stop) + 1)))
-                ids += [None if x is None or x != x else int(x) for x in some["_id"].astype(object)]
-                held += len(flat)
-                if held >= shard_ids:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                flat, stop = table.texts(split(some["_text"].to_pylist()), end)
+                ends.append((flat.view(np.uint32), stop))
+                ids += [None if x is None else int(x) for x in some["_id"].to_pylist()]
+                so_far += len(flat)
+                if so_far >= shard_ids:
                     yield flush()
         if ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("_id"), text_or_empty().alias("_text"), F.col("doc_id").alias("_key"))
     dealt = rows.repartitionByRange(F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first(), "_text").select("_id", "_text")
-    dealt.mapInPandas(shards, "part int, shard int, n_tokens long, n_docs long, file binary").write.parquet(path)
+    dealt.mapInArrow(shards, "part int, shard int, n_tokens long, n_docs long, file binary").write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

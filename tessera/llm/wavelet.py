@@ -3,41 +3,61 @@
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 
-MAGIC = b"WVM1"
-#: Bits between two entries of a plane's rank directory.
+MAGIC = b"WVM2"
+#: Bits of a block: between two entries of a plane's rank directory.
 BLOCK = 512
 
 
 class BitPlane:
-    """Bits with rank and select; the directory has the ones before each block."""
+    """Bits with rank and select. The directory has the ones before each block;
+    blocks of zeros alone or ones alone are told by it and aren't held, so a plane
+    is compressed and read in place, without being expanded."""
+
+    def __init__(self, n: int, directory: np.ndarray, blocks: np.ndarray):
+        self.n, self.directory, self.blocks = n, directory, blocks
+        ones = np.diff(directory)
+        self.held = (ones > 0) & (ones < BLOCK)
+        self.full = ones == BLOCK
+        #: For each block, how many blocks before it are held.
+        self.slots = np.cumsum(self.held) - self.held
 
-    def __init__(self, packed: np.ndarray, n: int, directory: np.ndarray | None = None):
-        self.packed, self.n = packed, n
-        if directory is None:
-            padded = np.zeros(-(-max(n, 1) // BLOCK) * (BLOCK // 8), np.uint8)
-            padded[: len(packed)] = packed
-            ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
-            directory = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32)
-        self.directory = directory
+    @classmethod
+    def of(cls, bits: np.ndarray) -> BitPlane:
+        n = len(bits)
+        packed = np.zeros(-(-max(n, 1) // BLOCK) * (BLOCK // 8), np.uint8)
+        packed[: -(-n // 8)] = np.packbits(bits)
+        packed = packed.reshape(-1, BLOCK // 8)
+        ones = np.bitwise_count(packed.view(np.uint64)).sum(axis=1, dtype=np.uint32)
+        return cls(n, np.concatenate(([0], np.cumsum(ones))).astype(np.uint32), packed[(ones > 0) & (ones < BLOCK)])
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n).view(bool)
+        packed = np.zeros((len(self.held), BLOCK // 8), np.uint8)
+        packed[self.full] = 255
+        packed[self.held] = self.blocks
+        return np.unpackbits(packed.ravel(), count=self.n).view(bool)
 
     def get(self, i: int) -> int:
-        return int(self.packed[i >> 3] >> (7 - (i & 7)) & 1)
+        block, at = divmod(i, BLOCK)
+        if not self.held[block]:
+            return int(self.full[block])
+        return int(self.blocks[self.slots[block], at >> 3] >> (7 - (at & 7)) & 1)
 
     def rank1(self, i: int) -> int:
         """Ones among the first i bits."""
-        block = i // BLOCK
-        part = self.packed[block * (BLOCK // 8) : (i + 7) >> 3]
+        block, at = divmod(i, BLOCK)
+        before = int(self.directory[block])
+        if not at:
+            return before
+        if not self.held[block]:
+            return before + at * int(self.full[block])
+        part = self.blocks[self.slots[block], : (at + 7) >> 3]
         ones = int(np.bitwise_count(part).sum())
-        if i & 7 and len(part):
-            ones -= int(part[-1] & (0xFF >> (i & 7))).bit_count()
-        return int(self.directory[block]) + ones
+        if at & 7:
+            ones -= int(part[-1] & (0xFF >> (at & 7))).bit_count()
+        return before + ones
 
     def rank(self, bit: int, i: int) -> int:
         return self.rank1(i) if bit else i - self.rank1(i)
@@ -64,23 +84,25 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        order, planes = np.asarray(ids, np.uint32), []
+        kind = np.uint16 if width <= 16 else np.uint32
+        order, planes = np.asarray(ids, kind), []
         for k in range(width - 1, -1, -1):
-            bit = (order >> np.uint32(k) & np.uint32(1)).astype(bool)
-            planes.append(BitPlane(np.packbits(bit), len(order)))
-            order = np.concatenate((order[~bit], order[bit]))
+            bit = order & kind(1 << k) != 0
+            planes.append(BitPlane.of(bit))
+            order = np.concatenate((np.compress(~bit, order), np.compress(bit, order)))
         return cls(planes, len(order))
 
     def to_array(self) -> np.ndarray:
         """All ids, from the lowest plane up: what follows a plane is dealt back
         to the places of its zeros and ones."""
-        low = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        low = np.zeros(self.n, kind)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit, up = plane.bits(), np.empty_like(low)
             up[~bit] = low[:zeros]
-            up[bit] = low[zeros:] | np.uint32(1 << k)
+            up[bit] = low[zeros:] | kind(1 << k)
             low = up
-        return low
+        return low.astype(np.uint32)
 
     def access(self, i: int) -> int:
         value = 0
@@ -120,20 +142,18 @@ class WaveletMatrix:
 
 def dump(matrix: WaveletMatrix, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
     """One shard as a file: header, documents (a null mask, ids, ends), and for
-    each plane its length, its bits, deflated where that is shorter, and its rank
-    directory. All numbers are little-endian."""
+    each plane its rank directory, then the number of its held blocks and these.
+    All numbers are little-endian."""
     ids = np.array([0 if x is None else x for x in doc_ids], "<i8")
     null = np.packbits([x is None for x in doc_ids]) if doc_ids else np.zeros(0, np.uint8)
     out = [MAGIC, struct.pack("<BQQ", len(matrix.planes), matrix.n, len(ids)), null.tobytes(), ids.tobytes(), np.asarray(ends, "<i8").tobytes()]
     for plane in matrix.planes:
-        raw = plane.packed.tobytes()
-        small = zlib.compress(raw, 1)
-        body = small if len(small) < len(raw) else raw
-        out += [struct.pack("<BQ", body is small, len(body)), body, plane.directory.astype("<u4").tobytes()]
+        out += [plane.directory.astype("<u4").tobytes(), struct.pack("<Q", len(plane.blocks)), plane.blocks.tobytes()]
     return b"".join(out)
 
 
 def load(blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+    """What dump wrote; planes are views of blob, so nothing is expanded."""
     if blob[:4] != MAGIC:
         raise ValueError("not a wavelet-matrix shard")
     width, n, docs = struct.unpack_from("<BQQ", blob, 4)
@@ -149,9 +169,7 @@ def load(blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     ids, ends = take("<i8", docs), take("<i8", docs)
     planes = []
     for _ in range(width):
-        deflated, size = struct.unpack_from("<BQ", blob, at)
-        at += struct.calcsize("<BQ")
-        body = take("u1", size)
-        packed = np.frombuffer(zlib.decompress(body.tobytes()), np.uint8) if deflated else body
-        planes.append(BitPlane(packed, n, take("<u4", -(-max(n, 1) // BLOCK) + 1)))
+        directory = take("<u4", -(-max(n, 1) // BLOCK) + 1)
+        (held,) = take("<u8", 1)
+        planes.append(BitPlane(n, directory, take("u1", int(held) * (BLOCK // 8)).reshape(-1, BLOCK // 8)))
     return WaveletMatrix(planes, n), [None if z else int(i) for i, z in zip(ids, null, strict=True)], ends
