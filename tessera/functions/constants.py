@@ -9,28 +9,29 @@ OTHER = (0.4, 168)
 
 # Type -> (points a keyword, keywords), in order of precedence.
 TYPE_KEYWORDS = {
-    "decision": (3, "decided|decision|chose|agreed|approved|resolved|conclusion|selected|rejected|signed off|go with"),
-    "insight": (3, "realized|insight|discovered|learned|found that|noticed|figured out|understood|revealed|breakthrough"),
-    "procedure": (3, "step|how to|guide|procedure|workflow|process|instruction|runbook|tutorial|recipe|steps|setup|configure|deploy"),
-    "fact": (1, "always|never|is|are|was|were|has|have|known|fact|truth|established"),
-    "preference": (2, "prefer|like|dislike|favorite|hate|love|want|wish|rather|better|opinion"),
-    "context": (2, "currently|now|today|this week|this month|status|progress|update|ongoing|in progress"),
-    "event": (2, "happened|occurred|took place|event|incident|meeting|call|conference|release|launch"),
-    "reference": (2, "documentation|docs|reference|manual|spec|specification|wiki|readme|guide|link|url|http"),
+    "decision": (3, ("decided", "decision", "chose", "agreed", "approved", "resolved", "conclusion", "selected", "rejected", "signed off", "go with")),
+    "insight": (3, ("realized", "insight", "discovered", "learned", "found that", "noticed", "figured out", "understood", "revealed", "breakthrough")),
+    "procedure": (3, ("step", "how to", "guide", "procedure", "workflow", "process", "instruction", "runbook", "tutorial", "recipe", "steps", "setup", "configure", "deploy")),
+    "fact": (1, ("always", "never", "is", "are", "was", "were", "has", "have", "known", "fact", "truth", "established")),
+    "preference": (2, ("prefer", "like", "dislike", "favorite", "hate", "love", "want", "wish", "rather", "better", "opinion")),
+    "context": (2, ("currently", "now", "today", "this week", "this month", "status", "progress", "update", "ongoing", "in progress")),
+    "event": (2, ("happened", "occurred", "took place", "event", "incident", "meeting", "call", "conference", "release", "launch")),
+    "reference": (2, ("documentation", "docs", "reference", "manual", "spec", "specification", "wiki", "readme", "guide", "link", "url", "http")),
 }
 
-# Technology names whose alias is the lower-cased name.
+# Technology names; the lower-cased name is an alias of each.
 TECH_NAMES = (
-    "GCP|AWS|Azure|Kubernetes|EKS|GKE|AKS|Terraform|Docker|Docker Compose|PostgreSQL|MySQL|MongoDB|Redis|SQLite|SQL|NoSQL|Kafka|ClickHouse|"
-    "Elasticsearch|Qdrant|ChromaDB|Pinecone|HNSW|FTS5|VectorDB|Go|Python|Rust|TypeScript|JavaScript|Node.js|Java|C++|C#|PHP|Ruby|Bash|Shell|"
-    "DeepSeek|OpenAI|Anthropic|Claude|Gemini|GPT|Llama|Ollama|MCP|LangChain|LangGraph|CrewAI|n8n|Dify|RAG|GraphRAG|Embeddings|Tokenizer|"
-    "GitHub|GitLab|Bitbucket|Jenkins|Notion|Slack|Jira|Confluence|Prometheus|Grafana|Datadog|Streamlit|FastAPI"
-).split("|")
-# Other aliases.
+    "GCP", "AWS", "Azure", "Kubernetes", "EKS", "GKE", "AKS", "Terraform", "Docker", "Docker Compose", "PostgreSQL", "MySQL", "MongoDB", "Redis",
+    "SQLite", "SQL", "NoSQL", "Kafka", "ClickHouse", "Elasticsearch", "Qdrant", "ChromaDB", "Pinecone", "HNSW", "FTS5", "VectorDB", "Go", "Python",
+    "Rust", "TypeScript", "JavaScript", "Node.js", "Java", "C++", "C#", "PHP", "Ruby", "Bash", "Shell", "DeepSeek", "OpenAI", "Anthropic", "Claude",
+    "Gemini", "GPT", "Llama", "Ollama", "MCP", "LangChain", "LangGraph", "CrewAI", "n8n", "Dify", "RAG", "GraphRAG", "Embeddings", "Tokenizer",
+    "GitHub", "GitLab", "Bitbucket", "Jenkins", "Notion", "Slack", "Jira", "Confluence", "Prometheus", "Grafana", "Datadog", "Streamlit", "FastAPI",
+)
+# Other aliases and their names.
 TECH_ALIASES = {
     "google cloud": "GCP", "google cloud platform": "GCP", "amazon web services": "AWS", "microsoft azure": "Azure", "k8s": "Kubernetes",
-    "postgres": "PostgreSQL", "golang": "Go", "nodejs": "Node.js", "bedrock": "AWS Bedrock", "amazon bedrock": "AWS Bedrock", "aws bedrock": "AWS Bedrock",
-    "sonnet": "Claude Sonnet", "claude sonnet": "Claude Sonnet", "model context protocol": "MCP", "embedding": "Embeddings", "openwebui": "Open WebUI", "open webui": "Open WebUI",
+    "postgres": "PostgreSQL", "golang": "Go", "nodejs": "Node.js", "bedrock": "AWS Bedrock", "amazon bedrock": "AWS Bedrock",
+    "sonnet": "Claude Sonnet", "model context protocol": "MCP", "embedding": "Embeddings", "openwebui": "Open WebUI",
 }
 TECH = {n.lower(): n for n in TECH_NAMES} | TECH_ALIASES
 
@@ -49,10 +50,10 @@ ENTITY_PATTERNS = [
 
 # Relation -> (category of the source, of the target, verbs, words that end a target).
 RELATIONS = {
-    "works_at": ("person", "org", "bekerja di|kerja di|bergabung dengan|joined|works at", "dan|di|untuk|dengan|pada|yang|sejak|sebagai|adalah"),
-    "uses": ("unknown", "tech", "menggunakan|pakai|memakai|uses", "dan|di|untuk|dengan|pada|yang|sebagai|adalah"),
-    "located_in": ("unknown", "place", "berlokasi di|located in", "dan|di|dengan|yang|sebagai|adalah"),
-    "part_of": ("unknown", "group", "(?:adalah )?bagian dari|part of", "dan|di|dengan|yang|sebagai|adalah"),
+    "works_at": ("person", "org", ("bekerja di", "kerja di", "bergabung dengan", "joined", "works at"), ("dan", "di", "untuk", "dengan", "pada", "yang", "sejak", "sebagai", "adalah")),
+    "uses": ("unknown", "tech", ("menggunakan", "pakai", "memakai", "uses"), ("dan", "di", "untuk", "dengan", "pada", "yang", "sebagai", "adalah")),
+    "located_in": ("unknown", "place", ("berlokasi di", "located in"), ("dan", "di", "dengan", "yang", "sebagai", "adalah")),
+    "part_of": ("unknown", "group", ("(?:adalah )?bagian dari", "part of"), ("dan", "di", "dengan", "yang", "sebagai", "adalah")),
 }
 
 # Fixed values: (name, pattern, replacement), in order; $n are groups.
@@ -76,6 +77,3 @@ CONTRADICTIONS = [
     ("suka", "tidak suka"), ("like", "dislike"), ("prefer", "avoid"), ("favorite", "hate"), ("recommend", "not recommend"),
     ("enable", "disable"), ("use", "don't use"), ("pakai", "jangan pakai"),
 ]
-
-# Letters with marks and the letters without, for keyword search.
-MARKED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"

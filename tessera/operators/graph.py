@@ -2,40 +2,76 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import ranked, written
 
+#: Entities of one memory that are paired in one task; a larger memory's are
+#: parted into blocks of that many.
+BLOCK = 512
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so loops stay shallow."""
-    spark = df.sparkSession
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+@dataclass
+class Graph:
+    """nodes (entity_id, name, category, access_count), membership (memory_id,
+    entity_id, weight), edges (source_id, target_id, rel_type, weight), pairs
+    (source_id, target_id, count)."""
+
+    nodes: DataFrame
+    membership: DataFrame
+    edges: DataFrame
+    pairs: DataFrame | None = None
+    _steps: DataFrame | None = field(default=None, repr=False)
+
+    def steps(self) -> DataFrame:
+        """The edges in either direction, written once for all walks."""
+        if self._steps is None:
+            self._steps = adjacency(self.edges)
+        return self._steps
+
+
+def empty_graph(spark) -> Graph:
+    frame = lambda kind: spark.createDataFrame([], kind)
+    return Graph(
+        frame("entity_id long, name string, category string, access_count long"), frame("memory_id string, entity_id long, weight double"),
+        frame("source_id long, target_id long, rel_type string, weight double"), frame("source_id long, target_id long, count long"),
+    )
 
 
 def pair_counts(membership: DataFrame) -> DataFrame:
-    """(source_id, target_id, count): memories that two entities share."""
-    a = membership.select("memory_id", F.col("entity_id").alias("source_id"))
-    b = membership.select("memory_id", F.col("entity_id").alias("target_id"))
-    return a.join(b, "memory_id").filter("source_id < target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("count"))
+    """(source_id, target_id, count): memories that two entities share. A memory's
+    entities meet in blocks, so that one of very many is no single task's."""
+    member = membership.select("memory_id", "entity_id").distinct()
+    sizes = member.groupBy("memory_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).filter("_blocks > 1")
+    rows = member.join(sizes, "memory_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    a = rows.select("memory_id", F.col("entity_id").alias("source_id"), F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int").alias("_block"))
+    b = rows.select("memory_id", F.col("entity_id").alias("target_id"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    return a.join(b, ["memory_id", "_block"]).filter("source_id < target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("count"))
 
 
 def related_edges(pairs: DataFrame, least: int = 2) -> DataFrame:
     return pairs.filter(F.col("count") >= least).select("source_id", "target_id", F.lit("related_to").alias("rel_type"), F.col("count").cast("double").alias("weight"))
 
 
-def rebuilt(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """edges with their related_to rows replaced, typed ones kept."""
-    return edges.filter("rel_type <> 'related_to'").unionByName(related_edges(pair_counts(membership)))
+def rebuilt(graph: Graph) -> tuple[Graph, DataFrame]:
+    """graph with pair counts and related_to edges from its membership, typed ones
+    kept, and a row of counters: memories scanned, pairs counted (all occurrences),
+    edges updated, edges pruned (related_to before), nodes, edges, average degree."""
+    pairs = written(pair_counts(graph.membership), "pairs")
+    typed = graph.edges.filter("rel_type <> 'related_to'")
+    out = replace(graph, edges=typed.unionByName(related_edges(pairs)), pairs=pairs, _steps=None)
+    counters = (
+        graph.membership.agg(F.countDistinct("memory_id").alias("memories_scanned"))
+        .crossJoin(pairs.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("pairs_counted"), F.count_if(F.col("count") >= 2).alias("edges_updated")))
+        .crossJoin(graph.edges.agg(F.count_if(F.col("rel_type") == "related_to").alias("edges_pruned"), F.count_if(F.col("rel_type") != "related_to").alias("_typed")))
+        .crossJoin(graph.nodes.agg(F.count(F.lit(1)).alias("nodes_total")))  # one row each
+        .withColumn("edges_total", F.col("edges_updated") + F.col("_typed")).drop("_typed")
+    )
+    return out, counters.withColumn("avg_degree", F.when(F.col("nodes_total") > 0, F.round(2.0 * F.col("edges_total") / F.col("nodes_total"), 6)).otherwise(0.0))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -43,25 +79,34 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).unionByName(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))).distinct()
 
 
-def hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(entity_id, hop) of entities within depth of seeds, at their least hop."""
-    steps = checkpointed(both_ways(edges))
+def adjacency(edges: DataFrame) -> DataFrame:
+    """both_ways as a table in the order of src: a small frontier's hop reads the
+    row groups of its nodes only."""
+    return written(both_ways(edges).sortWithinPartitions("src"), "steps")
+
+
+def hops(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """(entity_id, hop) of entities within depth of seeds, at their least hop, over
+    an adjacency."""
     seen = seeds.select("entity_id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    front = seen = written(seen, "hops")
     for hop in range(1, depth + 1):
         front = front.join(steps, front["entity_id"] == steps["src"]).select(F.col("dst").alias("entity_id")).distinct().join(seen.select("entity_id"), "entity_id", "left_anti").withColumn("hop", F.lit(hop))
-        front = checkpointed(front)
-        seen = checkpointed(seen.unionByName(front))
+        front = written(front, "hops")
+        seen = seen.unionByName(front)
     return seen
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, membership: DataFrame, depth: int = 2, limit: int | None = 10) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, membership: DataFrame, depth: int = 2, limit: int | None = 10, nodes: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """(memory_id, score, path_length): each entity reached gives its memories
-    weight * 0.5^hop / (hop + 1)."""
-    reached = hops(seeds, edges, depth)
+    weight * 0.5^hop / (hop + 1). With nodes also entity, the name of the entity,
+    first of equals, over which the memory is nearest."""
+    reached = hops(seeds, steps if steps is not None else adjacency(edges), depth)
+    reached = reached.join(nodes.select("entity_id", "name"), "entity_id") if nodes is not None else reached
     share = F.col("weight") * F.pow(F.lit(0.5), F.col("hop")) / (F.col("hop") + 1)
-    out = membership.join(reached, "entity_id").groupBy("memory_id").agg(F.round(F.sum(share), 6).alias("score"), F.min("hop").alias("path_length")).orderBy(F.desc("score"), "memory_id")
-    return out.limit(limit) if limit else out
+    by = [F.min_by("name", F.struct("hop", "name")).alias("entity")] if nodes is not None else []
+    out = membership.join(reached, "entity_id").groupBy("memory_id").agg(F.round(F.sum(share), 6).alias("score"), F.min("hop").alias("path_length"), *by)
+    return out.orderBy(F.desc("score"), "memory_id").limit(limit) if limit else out
 
 
 def seeds_by_name(nodes: DataFrame, names: list[str]) -> DataFrame:
@@ -85,14 +130,14 @@ def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, dept
     if a is None or b is None or a == b:
         return empty
     walk = F.struct("src", "dst", "rel_type", "weight")
-    steps = checkpointed(edges.selectExpr("id", "source_id src", "target_id dst", "rel_type", "weight").unionByName(edges.selectExpr("id", "target_id src", "source_id dst", "rel_type", "weight")))
+    steps = written(edges.selectExpr("id", "source_id src", "target_id dst", "rel_type", "weight").unionByName(edges.selectExpr("id", "target_id src", "source_id dst", "rel_type", "weight")))
     front = spark.range(1).select(F.lit(a).cast("long").alias("node"), F.array().cast("array<struct<src:bigint,dst:bigint,rel_type:string,weight:double>>").alias("path"))
     seen = front.select("node")
     for _ in range(depth):
         met = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node"), "id", F.concat("path", F.array(walk)).alias("path"))
         first = met.groupBy("node").agg(F.min_by("path", "id").alias("path"))
-        front = checkpointed(first.join(seen, "node", "left_anti"))
-        seen = checkpointed(seen.unionByName(front.select("node")))
+        front = written(first.join(seen, "node", "left_anti"))
+        seen = written(seen.unionByName(front.select("node")))
         done = front.filter(F.col("node") == b)
         if done.take(1):
             name = lambda c, n: nodes.select(F.col("entity_id").alias(c), F.col("name").alias(n))
@@ -101,11 +146,16 @@ def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, dept
     return empty
 
 
-def related_memories(membership: DataFrame, memory_id: int, limit: int = 10) -> DataFrame:
-    """(memory_id, shared, score) of memories that share entities with one."""
+def related_memories(membership: DataFrame, memory_id: object, limit: int = 10, nodes: DataFrame | None = None) -> DataFrame:
+    """(memory_id, shared, score) of memories that share entities with one; with
+    nodes also entity, the first by name of those shared."""
     own = membership.filter(F.col("memory_id") == memory_id).select("entity_id")
     met = membership.filter(F.col("memory_id") != memory_id).join(own, "entity_id", "left_semi")
-    return met.groupBy("memory_id").agg(F.count(F.lit(1)).alias("shared")).select("memory_id", "shared", F.round(0.1 * F.col("shared"), 6).alias("score")).orderBy(F.desc("shared"), "memory_id").limit(limit)
+    by = []
+    if nodes is not None:
+        met, by = met.join(nodes.select("entity_id", "name"), "entity_id"), [F.min("name").alias("entity")]
+    out = met.groupBy("memory_id").agg(F.count(F.lit(1)).alias("shared"), *by).withColumn("score", F.round(0.1 * F.col("shared"), 6))
+    return out.orderBy(F.desc("shared"), "memory_id").limit(limit)
 
 
 def list_entities(nodes: DataFrame, name: str = "", category: str = "", limit: int = 50) -> DataFrame:
@@ -119,17 +169,38 @@ def memories_by_entity(membership: DataFrame, nodes: DataFrame, name: str, limit
     return membership.join(hit, "entity_id", "left_semi").select("memory_id", "weight").distinct().orderBy(F.desc("weight"), "memory_id").limit(limit)
 
 
+def entities_for_memory(membership: DataFrame, nodes: DataFrame, memory_id: object) -> DataFrame:
+    return membership.filter(F.col("memory_id") == memory_id).join(nodes, "entity_id").select("entity_id", "name", "category").orderBy("name")
+
+
+def _key(name: Column) -> Column:
+    """Names are one entity without regard to the case of ASCII letters."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def named(memories: DataFrame) -> DataFrame:
+    """(memory_id, place, name, category, name_key): the names in each memory, in
+    order: technologies, people, URLs cut to 64 bytes; blank ones are left out."""
+
+    def all_of(t: Column) -> Column:
+        of = lambda names, category: F.transform(names, lambda n: F.struct(F.trim(n).alias("name"), F.lit(category).alias("category")))
+        cut = lambda e: F.transform(e["urls"], lambda n: X.first_bytes(n, 64))
+        return X.let(X.entities(t), lambda e: F.concat(of(F.concat(e["tech"], X.tech(t)), "tech"), of(e["people"], "person"), of(cut(e), "url")))
+
+    rows = memories.select(F.col("id").alias("memory_id"), F.posexplode(all_of(F.col("content"))).alias("place", "e"))
+    return rows.select("memory_id", "place", "e.name", "e.category", _key(F.col("e.name")).alias("name_key")).filter("name <> ''")
+
+
 def extracted(memories: DataFrame) -> DataFrame:
-    """(memory_id, name, category, name_key): entities of each memory, distinct
-    without case; long URLs are cut to 64 characters."""
-    e = X.entities(F.col("content"))
-    every = F.concat(
-        F.transform(F.array_union(X.tech(F.col("content")), e["tech"]), lambda n: F.struct(n.alias("name"), F.lit("tech").alias("category"))),
-        F.transform(e["people"], lambda n: F.struct(n.alias("name"), F.lit("person").alias("category"))),
-        F.transform(e["urls"], lambda n: F.struct(F.substring(n, 1, 64).alias("name"), F.lit("url").alias("category"))),
-    )
-    rows = memories.select(F.col("id").alias("memory_id"), F.explode(every).alias("e")).select("memory_id", F.trim("e.name").alias("name"), "e.category").filter("name <> ''")
-    return rows.withColumn("name_key", F.lower("name")).groupBy("memory_id", "name_key").agg(F.min("name").alias("name"), F.min("category").alias("category"))
+    """(memory_id, name_key, name, category): each memory's names, once each."""
+    first = lambda c: F.min_by(c, "place").alias(c)
+    return named(memories).groupBy("memory_id", "name_key").agg(first("name"), first("category"))
+
+
+def relations(memories: DataFrame) -> DataFrame:
+    """(memory_id, place, rel_type, source, target, both categories) of each typed
+    relation in a text; none from a name to itself."""
+    return memories.select(F.col("id").alias("memory_id"), F.posexplode(X.relations(F.col("content"))).alias("place", "r")).select("memory_id", "place", "r.*")
 
 
 def typed_edges(memories: DataFrame) -> DataFrame:
@@ -141,9 +212,87 @@ def typed_edges(memories: DataFrame) -> DataFrame:
 def upserted(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """nodes (name, category, access_count) after names (name, category) came in:
     known ones count up, new ones follow."""
-    new = names.groupBy(F.lower("name").alias("_k")).agg(F.min("name").alias("_name"), F.min("category").alias("_category"), F.count(F.lit(1)).alias("_n"))
-    both = nodes.withColumn("_k", F.lower("name")).join(new, "_k", "full_outer")
+    new = names.groupBy(_key(F.col("name")).alias("_k")).agg(F.min("name").alias("_name"), F.min("category").alias("_category"), F.count(F.lit(1)).alias("_n"))
+    both = nodes.withColumn("_k", _key(F.col("name"))).join(new, "_k", "full_outer")
     count = F.when(F.col("name").isNull(), F.col("_n") - 1).otherwise(F.col("access_count") + F.coalesce("_n", F.lit(0)))
     return both.select(F.coalesce("name", "_name").alias("name"), F.coalesce("category", "_category").alias("category"), count.alias("access_count"))
 
 
+def _with_new(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes and new ones (name_key, name, category, access_count), whose ids go on
+    behind the largest, in the order of name_key."""
+    last = nodes.agg(F.coalesce(F.max("entity_id"), F.lit(0)).cast("long").alias("_last"))
+    numbered = ranked(new, [F.col("name_key")], "_n").crossJoin(F.broadcast(last))  # one row
+    return nodes.unionByName(numbered.select((F.col("_n") + F.col("_last")).cast("long").alias("entity_id"), "name", "category", "access_count"))
+
+
+def with_entities(graph: Graph, memories: DataFrame, new_pairs: bool = True) -> tuple[Graph, DataFrame]:
+    """graph after the entities of memories came in, and (memory_id, edge_count):
+    how many entities each has. Known nodes count up once a name, new ones begin at
+    0; memberships that exist stay; with new_pairs, pairs of the memories' entities
+    count up, and those of two and more become or update related_to edges."""
+    names = written(named(memories), "names")
+    first = F.struct("memory_id", "place")
+    delta = names.groupBy("name_key").agg(F.min_by("name", first).alias("name"), F.min_by("category", first).alias("category"), F.count(F.lit(1)).alias("_n"))
+    old = graph.nodes.withColumn("name_key", _key(F.col("name")))
+    counted = old.join(delta.select("name_key", "_n"), "name_key", "left").select("entity_id", "name", "category", (F.col("access_count") + F.coalesce("_n", F.lit(0))).alias("access_count"))
+    fresh = delta.join(old.select("name_key"), "name_key", "left_anti").select("name_key", "name", "category", (F.col("_n") - 1).alias("access_count"))
+    nodes = written(_with_new(counted, fresh), "nodes")
+    ids = nodes.select("entity_id", _key(F.col("name")).alias("name_key"))
+    member = written(names.select("memory_id", "name_key").distinct().join(ids, "name_key").select("memory_id", "entity_id"), "member")
+    added = member.join(graph.membership.select("memory_id", "entity_id"), ["memory_id", "entity_id"], "left_anti").withColumn("weight", F.lit(1.0))
+    edges, pairs = graph.edges, graph.pairs
+    if new_pairs:
+        now = pair_counts(member)
+        both = graph.pairs.unionByName(now) if graph.pairs is not None else now
+        pairs = written(both.groupBy("source_id", "target_id").agg(F.sum("count").alias("count")), "pairs")
+        strong = related_edges(pairs)
+        other = edges.filter("rel_type <> 'related_to'").unionByName(edges.filter("rel_type = 'related_to'").join(strong.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti"))
+        edges = other.select("source_id", "target_id", "rel_type", "weight").unionByName(strong)
+    counts = member.groupBy("memory_id").agg(F.count(F.lit(1)).alias("edge_count"))
+    return replace(graph, nodes=nodes, membership=graph.membership.unionByName(added.select(graph.membership.columns)), edges=edges, pairs=pairs, _steps=None), counts
+
+
+def with_typed_edges(graph: Graph, memories: DataFrame) -> tuple[Graph, DataFrame]:
+    """graph after the typed relations of memories came in, and (memory_id) of
+    those that had any. Names without a node get one, of the relation's category;
+    an edge's weight goes up by one each time."""
+    found = written(relations(memories), "relations")
+    ends = found.select("memory_id", (2 * F.col("place")).alias("place"), F.col("source").alias("name"), F.col("source_category").alias("category")).unionByName(
+        found.select("memory_id", (2 * F.col("place") + 1).alias("place"), F.col("target").alias("name"), F.col("target_category").alias("category"))
+    ).withColumn("name_key", _key(F.col("name")))
+    first = F.struct("memory_id", "place")
+    fresh = ends.groupBy("name_key").agg(F.min_by("name", first).alias("name"), F.min_by("category", first).alias("category"))
+    known = graph.nodes.select(_key(F.col("name")).alias("name_key"))
+    nodes = written(_with_new(graph.nodes, fresh.join(known, "name_key", "left_anti").withColumn("access_count", F.lit(0).cast("long"))), "nodes")
+    id_of = lambda c: nodes.select(F.col("entity_id").alias(f"{c}_id"), _key(F.col("name")).alias(f"_{c}"))
+    met = found.withColumn("_source", _key(F.col("source"))).withColumn("_target", _key(F.col("target"))).join(id_of("source"), "_source").join(id_of("target"), "_target").filter("source_id <> target_id")
+    new = met.groupBy("source_id", "target_id", "rel_type").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = graph.edges.select("source_id", "target_id", "rel_type", "weight").unionByName(new).groupBy("source_id", "target_id", "rel_type").agg(F.sum("weight").alias("weight"))
+    return replace(graph, nodes=nodes, edges=edges, _steps=None), met.select("memory_id").distinct()
+
+
+def reextracted(graph: Graph, memories: DataFrame) -> tuple[Graph, DataFrame]:
+    """graph after entities and typed relations of all active memories came in
+    again, and a row of counters: memories scanned, entities added, edges added
+    (memories whose relations were looked for). Memories without a technology, URL
+    or person are left out whole. Typed edges are made anew, so a second run
+    changes no weight."""
+    live = memories.filter("superseded_at is null")
+    having = live.join(named(live).select(F.col("memory_id").alias("id")).distinct(), "id", "left_semi")
+    cleared = replace(graph, edges=graph.edges.filter("rel_type = 'related_to'"))
+    graph, counts = with_entities(cleared, having, new_pairs=False)
+    graph, _ = with_typed_edges(graph, having)
+    return graph, live.agg(F.count(F.lit(1)).alias("memories_scanned")).crossJoin(counts.agg(F.coalesce(F.sum("edge_count"), F.lit(0)).alias("entities_added"), F.count(F.lit(1)).alias("edges_added")))  # one row each
+
+
+def graph_stats(graph: Graph, inferred: DataFrame | None = None) -> DataFrame:
+    """One row: entity_nodes, entity_edges, entity_entity_edges, typed_edges and,
+    of inferred (a row a text: matched), infer_total, infer_matched and
+    infer_miss_rate, 0 of no texts."""
+    out = graph.nodes.agg(F.count(F.lit(1)).alias("entity_nodes")).crossJoin(graph.membership.agg(F.count(F.lit(1)).alias("entity_edges")))
+    out = out.crossJoin(graph.edges.agg(F.count(F.lit(1)).alias("entity_entity_edges"), F.count_if(F.col("rel_type") != "related_to").alias("typed_edges")))
+    if inferred is None:
+        return out.selectExpr("*", "0L AS infer_total", "0L AS infer_matched", "0D AS infer_miss_rate")
+    seen = inferred.agg(F.count(F.lit(1)).alias("infer_total"), F.count_if("matched").alias("infer_matched"))  # one row each
+    return out.crossJoin(seen).withColumn("infer_miss_rate", F.when(F.col("infer_total") > 0, F.round(1 - F.col("infer_matched") / F.col("infer_total"), 6)).otherwise(0.0))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import math
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
+from ..sources.tables import written
+from .graph import Graph, pair_counts, rebuilt, reextracted
 
 
 def _days_before(now: Column, days: int) -> Column:
@@ -40,55 +49,169 @@ def weakened(memories: DataFrame, found: DataFrame) -> DataFrame:
     return memories.join(F.broadcast(n), "id", "left").withColumn("importance", F.when(F.col("_n").isNull(), F.col("importance")).otherwise(new)).drop("_n")
 
 
+#: So many of the most frequent tokens are ordered by their frequency, the others
+#: by a hash: any order of all tokens finds the same pairs.
+FREQUENT = 65_536
+
+
+def _rarest(least: float, frequent: list[str]):
+    """For rows (id, w) of token lists, (older, t): of each list's distinct tokens,
+    rarest first, one more than may be missing elsewhere."""
+    rank = {t: len(frequent) - i for i, t in enumerate(frequent)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for key, w in zip(batch["id"].to_pylist(), batch["w"], strict=True):
+                tokens = w.as_py()
+                n = math.floor(len(tokens) * (1 - least) + 1e-9) + 1
+                first = heapq.nsmallest(n, set(tokens), key=lambda t: (rank.get(t, 0), zlib.crc32(t.encode("utf-8", "surrogatepass")), t))
+                ids += [key] * len(first)
+                out += first
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["older", "t"])
+
+    return run
+
+
 def overlaps(memories: DataFrame, least: float = 0.92) -> DataFrame:
     """(older, newer, overlap) of active memories: the share of the older one's
     tokens that the newer one has, above least, three tokens at least on each
     side.
 
-    Above 0.92 the older one's distinct tokens but a few are all in the newer
-    one, so among its rarest tokens, one more than may be missing, one is shared:
-    pairs come from those, never from frequent tokens.
+    Of the older one's tokens no more than a share of 1 - least is missing in the
+    newer one, so of one more distinct tokens than that one is shared: pairs come
+    from its rarest ones, never from frequent tokens.
     """
-    rows = memories.filter(LIVE).select("id", "created_at", X.fields(F.col("content")).alias("w")).withColumn("s", F.array_distinct("w")).filter(F.size("w") >= 3)
-    each = rows.select("id", F.explode("s").alias("t"))
-    df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    allowed = F.floor(F.size("w") * F.lit(1 - least)).cast("int") + 1
-    order = Window.partitionBy("id").orderBy("df", "t")
-    rare = each.join(df, "t").withColumn("_n", F.row_number().over(order)).join(rows.select("id", allowed.alias("_k")), "id").filter("_n <= _k").select(F.col("id").alias("older"), "t")
-    pairs = rare.join(each.select(F.col("id").alias("newer"), "t"), "t").filter("older <> newer").select("older", "newer").distinct()
-    a = rows.select(F.col("id").alias("older"), F.col("created_at").alias("_ca"), F.col("w").alias("_wa"))
+    rows = memories.filter(LIVE).select("id", "created_at", X.fields(F.col("content")).alias("w")).filter(F.size("w") >= 3)
+    rows = written(rows.withColumn("s", F.array_distinct("w")), "tokens")
+    each = rows.select(F.col("id").alias("newer"), F.explode("s").alias("t"))
+    # At most FREQUENT tokens.
+    frequent = [r["t"] for r in each.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()]
+    rare = rows.select("id", "w").mapInArrow(_rarest(least, frequent), "older string, t string")
+    pairs = rare.join(each, "t").filter("older <> newer").select("older", "newer").distinct()
+    a = rows.select(F.col("id").alias("older"), F.col("created_at").alias("_ca"), F.col("w").alias("_wa"), F.col("s").alias("_sa"))
     b = rows.select(F.col("id").alias("newer"), F.col("created_at").alias("_cb"), F.col("s").alias("_sb"))
     share = F.size(F.filter("_wa", lambda x: F.array_contains(F.col("_sb"), x))) / F.size("_wa")
     met = pairs.join(a, "older").join(b, "newer").filter((F.col("_ca") < F.col("_cb")) | ((F.col("_ca") == F.col("_cb")) & (F.col("older") < F.col("newer"))))
     met = met.filter(F.least(F.size("_wa"), F.size("_sb")) / F.size("_wa") >= least)
+    # Tokens that are missing count as often as they stand there, so once at least.
+    met = met.filter(F.size(F.array_except("_sa", "_sb")) <= F.size("_wa") * F.lit(1 - least) + 1e-9)
     return met.withColumn("overlap", share).filter(F.col("overlap") > least).select("older", "newer", F.round("overlap", 6).alias("overlap"))
 
 
+def duplicates(memories: DataFrame, least: float = 0.92, most: int = 10, strict: bool = False) -> DataFrame:
+    """(step, older, newer): the first `most` pairs of overlaps, by the older one's
+    age, then the newer one's, as they are taken one after the other: a memory that
+    went in an earlier step is in no later one. strict takes those too."""
+    born = memories.select("id", "created_at")
+    pairs = overlaps(memories, least).join(born.select(F.col("id").alias("older"), F.col("created_at").alias("_a")), "older").join(born.select(F.col("id").alias("newer"), F.col("created_at").alias("_b")), "newer")
+    pairs = written(pairs.select("_a", "older", "_b", "newer"), "overlaps")
+    order = ["_a", "older", "_b", "newer"]
+    if strict:
+        taken = [(r["older"], r["newer"]) for r in pairs.orderBy(*order).limit(most).collect()]
+    else:
+        taken, gone = [], []
+        while len(taken) < most:  # a row a step
+            row = pairs.filter(~F.col("older").isin(gone) & ~F.col("newer").isin(gone)).orderBy(*order).first()
+            if row is None:
+                break
+            taken.append((row["older"], row["newer"]))
+            gone.append(row["newer"])
+    return memories.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(taken)], "step int, older string, newer string")
+
+
+def deduped(memories: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """memories after duplicates (at most a few rows): the newer ones superseded,
+    edge_count of the older ones up by one for each."""
+    n = found.groupBy(F.col("older").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = memories.join(F.broadcast(found.select(F.col("newer").alias("id"), F.lit(True).alias("_gone")).distinct()), "id", "left").join(F.broadcast(n), "id", "left")
+    gone = F.when(F.col("_gone") & F.col("superseded_at").isNull(), now).otherwise(F.col("superseded_at"))
+    return rows.withColumn("superseded_at", gone).withColumn("edge_count", F.col("edge_count") + F.coalesce("_n", F.lit(0))).select(memories.columns)
+
+
 def linked(pairs: DataFrame, limit: int = 50) -> DataFrame:
     """The most frequent pairs of two or more, as the linking phase takes them."""
     return pairs.filter("count >= 2").orderBy(F.desc("count"), "source_id", "target_id").limit(limit)
 
 
+def touched(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with access_count up by one for each link (a top list) they are in."""
+    n = links.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
+    return nodes.join(F.broadcast(n), "entity_id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0))).drop("_n").select(nodes.columns)
+
+
+def _priorities(now: Column) -> tuple[Column, Column]:
+    """Which memories go up and which go down."""
+    free = F.col("superseded_at").isNull() & ~F.col("pinned")
+    return free & (F.col("access_count") > 5), free & (F.col("access_count") == 0) & (F.col("created_at") < _days_before(now, 7))
+
+
 def prioritised(memories: DataFrame, now: Column) -> DataFrame:
     own = F.col("importance")
-    new = F.when(F.col("access_count") > 5, F.least(F.lit(1.0), own + 0.05)).when((F.col("access_count") == 0) & (F.col("created_at") < _days_before(now, 7)), F.greatest(F.lit(0.1), own - 0.02)).otherwise(own)
-    return memories.withColumn("importance", F.round(F.when(F.col("superseded_at").isNull() & ~F.col("pinned"), new).otherwise(own), 6))
+    up, down = _priorities(now)
+    new = F.when(up, F.least(F.lit(1.0), own + 0.05)).when(down, F.greatest(F.lit(0.1), own - 0.02)).otherwise(own)
+    return memories.withColumn("importance", F.round(new, 6))
+
+
+def _old(memories: DataFrame, now: Column, days: int, n: int) -> DataFrame:
+    return memories.filter(LIVE).filter(~F.col("pinned") & (F.col("created_at") < _days_before(now, days))).orderBy("importance", "id").limit(n)
 
 
 def snapshot(memories: DataFrame, now: Column, days: int = 30, n: int = 5) -> DataFrame:
     """(n, content): the text that stands for the n least important old memories;
     no row where there are fewer than two."""
-    old = memories.filter(LIVE).filter(~F.col("pinned") & (F.col("created_at") < _days_before(now, days))).orderBy("importance", "id").limit(n)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("importance", "id", X.truncate(F.col("content"), 120).alias("t")))), lambda x: F.concat(F.lit("• "), x["t"], F.lit("\n")))
     # At most n rows.
-    rows = old.agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "").alias("body")).filter("n >= 2")
+    rows = _old(memories, now, days, n).agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "").alias("body")).filter("n >= 2")
     return rows.select("n", F.concat(F.lit("📦 Snapshot of "), F.col("n").cast("string"), F.lit(" old memories:\n"), "body").alias("content"))
 
 
-def cycle(memories: DataFrame, now: Column, contradiction_pairs: list | None = None) -> DataFrame:
-    """Evict, weaken contradicted, drop overlapping, prioritise, in this order."""
-    memories = evict(memories, now)
-    memories = weakened(memories, contradictions(memories, contradiction_pairs))
-    gone = overlaps(memories).select(F.col("newer").alias("id")).distinct().withColumn("_gone", F.lit(True))
-    memories = memories.join(gone, "id", "left").withColumn("superseded_at", F.when(F.col("_gone") & F.col("superseded_at").isNull(), now).otherwise(F.col("superseded_at"))).drop("_gone")
-    return prioritised(memories, now)
+def with_snapshot(memories: DataFrame, now: Column, days: int = 30, n: int = 5) -> DataFrame:
+    """memories with the snapshot as a row of type snapshot, and those it stands
+    for superseded; as they are where there is none."""
+    text = snapshot(memories, now, days, n)
+    gone = _old(memories, now, days, n).select("id").crossJoin(text.select(F.lit(True).alias("_gone")))  # n rows, one row
+    kept = memories.join(F.broadcast(gone), "id", "left").withColumn("superseded_at", F.when(F.col("_gone"), now).otherwise(F.col("superseded_at"))).select(memories.columns)
+    row = text.select(
+        F.concat(F.lit("snap_"), F.substring(F.sha2("content", 256), 1, 16)).alias("id"), "content", F.lit("snapshot").alias("mem_type"), F.lit("default").alias("namespace"), F.lit(0.5).alias("importance"),
+        F.lit(0).cast("long").alias("access_count"), F.lit(False).alias("pinned"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("superseded_at"), F.lit(0).cast("long").alias("edge_count"),
+    )
+    return kept.unionByName(row.select(*(F.col(c).cast(kind).alias(c) for c, kind in memories.select(row.columns).dtypes)))
+
+
+@dataclass(frozen=True)
+class Store:
+    """memories, vectors (id, vec) or none, and the entity graph."""
+
+    memories: DataFrame
+    graph: Graph
+    vectors: DataFrame | None = None
+
+
+def cycle(store: Store, now: Column, pairs: list | None = None, strict: bool = False) -> tuple[Store, DataFrame]:
+    """store after all phases in their order: evict, weaken contradicted ones,
+    dedup, link, prioritise, snapshot, extract entities again and rebuild the
+    graph; and a row of counters. Each phase ends in a written table."""
+    before = store.memories
+    memories = written(evict(before, now), "evicted")
+    n = {"evicted": memories.filter("superseded_at is not null").count() - before.filter("superseded_at is not null").count()}
+    found = written(contradictions(memories, pairs), "contradictions")
+    n["contradictions"] = found.count()
+    memories = written(weakened(memories, found), "weakened")
+    twins = written(duplicates(memories, strict=strict), "duplicates")
+    n["deduped"] = twins.count()
+    memories = written(deduped(memories, twins, now), "deduped")
+    graph = store.graph
+    links = written(linked(pair_counts(graph.membership)), "linked")
+    n["links_created"] = links.count()
+    graph = replace(graph, nodes=written(touched(graph.nodes, links), "touched"))
+    up, down = _priorities(now)
+    n["prioritised"] = memories.filter(up | down).count()
+    memories = written(prioritised(memories, now), "prioritised")
+    snapped = written(with_snapshot(memories, now), "snapshot")
+    n["snapshots_created"] = snapped.count() - memories.count()
+    graph, _ = reextracted(graph, snapped)
+    graph, counters = rebuilt(graph)
+    vectors = store.vectors.join(snapped.filter(LIVE).select("id"), "id", "left_semi") if store.vectors is not None else None
+    stats = counters.select(*(F.lit(v).cast("long").alias(k) for k, v in n.items()), F.col("edges_updated").alias("graph_built"), F.col("nodes_total").alias("graph_nodes"), F.col("edges_total").alias("graph_edges"))
+    return Store(snapped, graph, vectors), stats

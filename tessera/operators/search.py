@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions import text as X
+from ..functions.match import Node, Phrase, parse, phrases, plain
+from ..sources.postings import Index
+from ..sources.tables import ranked
+from .graph import Graph, seeds_in_text, traverse
 
 K1, B = 1.2, 0.75
+DEFAULT_LIMIT = 20
 
 
 def active(memories: DataFrame, at: Column | None = None, namespace: str | None = None) -> DataFrame:
@@ -17,39 +21,108 @@ def active(memories: DataFrame, at: Column | None = None, namespace: str | None
     return memories.filter(keep & (F.col("namespace") == namespace) if namespace else keep)
 
 
-def bm25(memories: DataFrame, query: list[str], k: int = 60, mode: str = "and", keep: Column | None = None) -> DataFrame:
-    """(id, score): the k best of keep's rows that have all (or any) query terms.
-
-    The corpus counts take in all rows, superseded ones too. Only query terms are
-    exploded: what shuffles is one row a document and term it has, pre-summed.
-    """
-    docs = memories.select("*", X.words(F.col("content")).alias("_w"))
-    times = lambda t: F.size(F.filter("_w", lambda w: w == t))
-    counts = F.array(*map(times, query))
-    docs = docs.select("*", F.size("_w").alias("_dl"), counts.alias("_tf")).drop("_w")
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *(F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)).alias(f"df{i}") for i in range(len(query))))
-    hit = lambda i: F.get("_tf", F.lit(i)) > 0
-    wanted = hit(0)
-    for i in range(1, len(query)):
-        wanted = wanted & hit(i) if mode == "and" else wanted | hit(i)
-    met = docs.filter(wanted if keep is None else wanted & keep).crossJoin(F.broadcast(stats))  # one row
+def _hits(index: Index, wanted: list[Phrase]) -> DataFrame:
+    """One row a text that has a term of the phrases: id and, for each phrase,
+    pN, the places where it begins. One read of the terms' postings, one shuffle
+    by id, pre-summed."""
+    words = list(dict.fromkeys(t for p in wanted for t in (p.terms[:-1] if p.prefix else p.terms)))
+    begins = list(dict.fromkeys(p.terms[-1] for p in wanted if p.prefix and p.terms))
+    parts = [index.of_terms(words)] if words else []
+    parts += [index.of_prefix(b) for b in begins]
+    rows = parts[0].select("term", "id", "at")
+    for more in parts[1:]:
+        rows = rows.unionByName(more.select("term", "id", "at"))
+    rows = rows.distinct() if len(parts) > 1 else rows
+    places = lambda hit: F.array_sort(F.flatten(F.collect_list(F.when(hit, F.col("at")))))
+    grouped = rows.groupBy("id").agg(
+        *(places(F.col("term") == t).alias(f"w{i}") for i, t in enumerate(words)), *(places(F.col("term").startswith(t)).alias(f"b{i}") for i, t in enumerate(begins))
+    )
+
+    def start(p: Phrase) -> Column:
+        if not p.terms:
+            return F.array().cast("array<int>")
+        columns = [F.col(f"w{words.index(t)}") for t in (p.terms[:-1] if p.prefix else p.terms)]
+        if p.prefix:
+            columns.append(F.col(f"b{begins.index(p.terms[-1])}"))
+
+        def follows(x: Column) -> Column:
+            out = F.lit(True)
+            for n, c in enumerate(columns[1:], 1):
+                out = out & F.array_contains(c, x + n)
+            return out
+
+        return F.filter(columns[0], follows) if len(columns) > 1 else columns[0]
+
+    return grouped.select("id", *(start(p).alias(f"p{i}") for i, p in enumerate(wanted)))
+
+
+def _near(last: Column, size: int, within: int):
+    return lambda y: (y <= last) & (last - y - size <= within)
+
+
+def _holds(node: Node, wanted: list[Phrase]) -> Column:
+    """Whether a row of _hits matches the tree."""
+    parts = [_holds(x, wanted) for x in node.parts]
+    if node.kind == "phrase":
+        # A phrase without a word, of marks alone, asks for nothing.
+        return F.size(f"p{wanted.index(node.phrase)}") > 0 if node.phrase.terms else F.lit(True)
+    if node.kind == "and":
+        return parts[0] & parts[1]
+    if node.kind == "or":
+        return parts[0] | parts[1]
+    if node.kind == "not":
+        return parts[0] & ~parts[1]
+    # near: from the last of the phrases back, each begins close enough.
+    each = [(F.col(f"p{wanted.index(x.phrase)}"), len(x.phrase.terms)) for x in node.parts]
+
+    def close(last: Column) -> Column:
+        out = F.lit(True)
+        for places, size in each:
+            out = out & F.exists(places, _near(last, size, node.within))
+        return out
+
+    return F.exists(F.concat(*(places for places, _ in each)), close)
+
+
+def bm25(index: Index, query: Node | None, k: int = 60, among: DataFrame | None = None) -> DataFrame:
+    """(id, score): the k best texts that match a query tree; of those in among
+    (id), if given. N, average length and the number of texts with a phrase take
+    in all texts of the index, superseded ones too."""
+    wanted = phrases(query) if query else []
+    if not any(p.terms for p in wanted):
+        return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = _hits(index, wanted)
+    df = hits.agg(*(F.count(F.when(F.size(f"p{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))))
+    met = hits.filter(_holds(query, wanted)).select("id", *(F.size(f"p{i}").cast("double").alias(f"tf{i}") for i in range(len(wanted))))
+    met = met.join(among.select("id"), "id", "left_semi") if among is not None else met
+    met = met.join(index.docs, "id").crossJoin(F.broadcast(df.crossJoin(index.counts)))  # one row
     score = F.lit(0.0)
-    for i in range(len(query)):
-        tf, df = F.get("_tf", F.lit(i)).cast("double"), F.col(f"df{i}")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("avgdl")))
+    for i in range(len(wanted)):
+        tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - n + 0.5) / (n + 0.5)))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 60) -> DataFrame:
+Vector = list[float] | DataFrame
+
+
+def _with_query(vectors: DataFrame, query: Vector) -> tuple[DataFrame, Column]:
+    """vectors with the query's, as a literal or, of a one-row table (q), joined."""
+    if isinstance(query, DataFrame):
+        return vectors.crossJoin(F.broadcast(query.select(F.col("q").alias("_q")).limit(1))), F.col("_q")  # one row
+    return vectors, F.array(*(F.lit(float(x)) for x in query))
+
+
+def nearest(vectors: DataFrame, query: Vector, k: int = 60) -> DataFrame:
     """(id, distance): exact k nearest by Euclidean distance; each task keeps k."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select("id", F.round(S.l2(F.col("vec"), q), 6).alias("distance")).orderBy("distance", "id").limit(k)
+    rows, q = _with_query(vectors, query)
+    return rows.select("id", F.round(S.l2(F.col("vec"), q), 6).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def most_similar(vectors: DataFrame, query: list[float], k: int = 60) -> DataFrame:
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select("id", F.round(S.cosine(F.col("vec"), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(k)
+def most_similar(vectors: DataFrame, query: Vector, k: int = 60) -> DataFrame:
+    rows, q = _with_query(vectors, query)
+    return rows.select("id", F.round(S.cosine(F.col("vec"), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(k)
 
 
 def with_rank(top: DataFrame, order: list, name: str) -> DataFrame:
@@ -73,32 +146,94 @@ def scored(fused: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("score", F.col("rrf_score") + F.col("temporal_boost") + F.col("importance_boost") + F.col("other_boost"))
 
 
+BOOSTS = ("temporal_boost", "importance_boost", "other_boost")
+
+
 def merged(results: DataFrame, graph: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
-    """results with graph's (memory_id, score): in both, half as much again; in
-    graph alone, a tenth of its score and the boosts."""
+    """id, rrf_score, boosts and score of results with graph's (memory_id, score):
+    in both, half as much again; in graph alone, a tenth of its score and the
+    boosts. graph is a top list, and is broadcast."""
     both = results.join(F.broadcast(graph.select(F.col("memory_id").alias("id"), F.lit(True).alias("_in"))), "id", "left")
-    old = both.withColumn("score", F.when(F.col("_in"), F.col("score") * 1.5).otherwise(F.col("score"))).select("id", "rrf_score", "score")
+    old = both.withColumn("score", F.when(F.col("_in"), F.col("score") * 1.5).otherwise(F.col("score"))).select("id", "rrf_score", *BOOSTS, "score")
     new = memories.join(F.broadcast(graph.select(F.col("memory_id").alias("id"), F.col("score").alias("_g"))), "id").join(results.select("id"), "id", "left_anti")
-    b = S.boosts(now)
-    new = new.select("id", F.lit(0.0).alias("rrf_score"), (0.1 * F.col("_g") + b["temporal_boost"] + b["importance_boost"] + b["other_boost"]).alias("score"))
+    new = new.withColumns(S.boosts(now)).select("id", F.lit(0.0).alias("rrf_score"), *BOOSTS, (0.1 * F.col("_g") + sum(map(F.col, BOOSTS))).alias("score"))
     return old.unionByName(new)
 
 
 def top(rows: DataFrame, limit: int | None = 20, least: float = 0.0) -> DataFrame:
-    """Rows by score, at least `least` of it where that is above 0, with rank."""
+    """Rows by score, at least `least` of it where that is above 0, with rank; with
+    no limit all rows, ranked by ranges of the score."""
     rows = rows.withColumn("score", F.round("score", 6))
     rows = rows.filter(F.col("score") >= least) if least > 0 else rows
-    rows = rows.orderBy(F.desc("score"), "id")
-    rows = rows.limit(limit) if limit else rows
-    return with_rank(rows, [F.desc("score"), "id"], "rank")
-
-
-def lsh_nearest(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 8, width: float = 4.0) -> DataFrame:
-    """Approximate k nearest by bucketed random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    rows = vectors.select("id", array_to_vector("vec").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(rows)
-    return model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="distance").select("id", F.round("distance", 6).alias("distance"))
+    order = [F.desc("score"), F.col("id")]
+    return with_rank(rows.orderBy(*order).limit(limit), order, "rank") if limit else ranked(rows, order, "rank")
+
+
+def recall(
+    memories: DataFrame, index: Index, text: str, now: Column, vectors: DataFrame | None = None, vector: Vector | None = None, graph: Graph | None = None,
+    namespace: str | None = None, at: Column | None = None, limit: int | None = 20, least: float = 0.0, grammar: bool = False,
+) -> DataFrame:
+    """id, content, type, namespace, created_at (RFC 3339), score, rrf_score,
+    temporal_boost, importance_boost, rank of the memories that a text recalls.
+
+    Keyword and vector lists of max(3 limit, 50) each are fused; without a vector
+    the keyword list is alone. Namespace and time (as of `at`) hold for both before
+    they are cut. With a graph, memories that its entities named in the text reach
+    within two steps are merged in. limit None ranks all that was found at the
+    default depth. With grammar, text is a query as parse() has it.
+    """
+    depth = max(3 * (limit or DEFAULT_LIMIT), 50)
+    live = active(memories, at, namespace)
+    query = parse(text) if grammar else plain(text)
+    words = bm25(index, query, depth, live)
+    if vectors is not None and vector is not None:
+        lists = nearest(vectors.join(live.select("id"), "id", "left_semi"), vector, depth)
+    else:
+        lists = words.select("id", F.lit(0.0).alias("distance")).limit(0)
+    rows = scored(fuse(lists, words), live, now)
+    if graph is not None:
+        seeds = seeds_in_text(graph.nodes, text)
+        reached = traverse(seeds, graph.edges, graph.membership, 2, 2 * (limit or DEFAULT_LIMIT))
+        rows = merged(rows, reached, live, now)
+    rows = top(rows, limit, least)
+    created = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    found = rows.select("id", "score", "rrf_score", *BOOSTS, "rank").join(live.select("id", "content", F.col("mem_type").alias("type"), "namespace", created.alias("created_at")), "id")
+    return found.select("id", "content", "type", "namespace", "created_at", "score", *(F.round(c, 6).alias(c) for c in ("rrf_score", "temporal_boost", "importance_boost")), "rank")
+
+
+class VectorIndex:
+    """Approximate nearest vectors by bucketed random projections. The model and
+    its hashes are fitted once, and can be saved and loaded."""
+
+    def __init__(self, model, hashed: DataFrame):
+        self.model, self.hashed = model, hashed
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, tables: int = 16, width: float = 4.0) -> VectorIndex:
+        from pyspark.ml.feature import BucketedRandomProjectionLSH
+        from pyspark.ml.functions import array_to_vector
+
+        rows = vectors.select("id", array_to_vector("vec").alias("features"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(rows)
+        return cls(model, model.transform(rows))
+
+    def save(self, path: str) -> None:
+        self.model.write().save(f"{path}/model")
+        self.hashed.write.parquet(f"{path}/hashed")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> VectorIndex:
+        from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+        return cls(BucketedRandomProjectionLSHModel.load(f"{path}/model"), spark.read.parquet(f"{path}/hashed"))
+
+    def without(self, ids: DataFrame) -> VectorIndex:
+        """The index without the vectors of some ids."""
+        return VectorIndex(self.model, self.hashed.join(ids.select("id"), "id", "left_anti"))
+
+    def nearest(self, query: list[float], k: int = 10, over: int = 4) -> DataFrame:
+        """(id, distance): of over * k candidates the k nearest by their distance."""
+        from pyspark.ml.linalg import Vectors
+
+        found = self.model.approxNearestNeighbors(self.hashed, Vectors.dense(query), over * k, distCol="distance")
+        return found.select("id", F.round("distance", 6).alias("distance")).orderBy("distance", "id").limit(k)

@@ -1,77 +1,17 @@
-"""Named queries over the driver's tables and their DuckDB SQL."""
+"""Named queries over the driver's tables and their DuckDB SQL: stores, search, texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
-from ..operators import documents as D
+from ..functions.match import parse, plain
 from ..operators import graph as G
-from ..operators import maintain as M
 from ..operators import search as Q
 from ..sources import catalog as K
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-NOW = "2024-08-01 00:00:00"
-TERMS = ["that", "rest"]
-SEEDS = range(1, 21)
-#: Word pairs that the driver's invented texts have.
-PAIRS = [("that", "the"), ("hate", "rest"), ("und", "nicht")]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def now():
-    return F.expr(f"TIMESTAMP_NTZ '{NOW}'")
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-MEM = (
-    "mem AS (SELECT 'mem_' || lpad(doc_id::VARCHAR, 8, '0') AS id, text AS content, ["
-    + ", ".join(map(q, C.TYPES))
-    + f"""][doc_id % 9 + 1] AS mem_type, lang AS namespace, ((doc_id % 11) / 10.0)::DOUBLE AS importance,
-  doc_id % 13 AS access_count, doc_id % 17 = 0 AS pinned, TIMESTAMP '2024-01-01' + to_days((doc_id % 200)::INT) AS created_at,
-  CASE WHEN doc_id % 10 = 3 THEN TIMESTAMP '2024-01-01' + to_days((doc_id % 200 + 30)::INT) END AS superseded_at, doc_id % 7 AS edge_count,
-  TIMESTAMP '{NOW}' AS now FROM documents)"""
-)
-VEC = "vec AS (SELECT 'mem_' || lpad(vec_id::VARCHAR, 8, '0') AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
-WEIGHT = "CASE mem_type " + " ".join(f"WHEN {q(t)} THEN {w}" for t, (w, _) in C.TYPES.items()) + f" ELSE {C.OTHER[0]} END"
-DECAY = "CASE mem_type " + " ".join(f"WHEN {q(t)} THEN {d}" for t, (_, d) in C.TYPES.items()) + f" ELSE {C.OTHER[1]} END"
-BOOSTS = f"(0.05 * exp(-greatest(0.0, date_diff('second', created_at, now) / 3600.0) / ({DECAY})) + 0.1 * ({WEIGHT}) * least(access_count / 10.0, 1.0) + 0.1 * pinned::INT + 0.03 * ln(1 + edge_count))"
-WORDS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(content, '')), '{C.MARKED}', '{C.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-BM25 = f"""w AS (SELECT *, {WORDS} AS ws FROM mem), tf AS (SELECT *, len(ws) AS dl, {', '.join(f"len(list_filter(ws, lambda w: w = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))} FROM w),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM tf),
-kw AS (SELECT id, round({' + '.join(f'greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))' for i in range(len(TERMS)))}, 6) AS score
- FROM tf, st WHERE superseded_at IS NULL AND {' AND '.join(f'tf{i} > 0' for i in range(len(TERMS)))} ORDER BY score DESC, id LIMIT 60)"""
-NEAR = "nn AS (SELECT vec.id, round(list_distance(v, q), 6) AS distance FROM vec JOIN mem ON mem.id = vec.id AND superseded_at IS NULL, qv ORDER BY distance, vec.id LIMIT 60)"
-FUSED = """rv AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS vector_rank FROM nn), rk AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS keyword_rank FROM kw),
-fu AS (SELECT coalesce(rv.id, rk.id) AS id, vector_rank, keyword_rank, coalesce(1 / (60.0 + vector_rank), 0) + coalesce(1 / (60.0 + keyword_rank), 0) AS rrf_score FROM rv FULL JOIN rk ON rv.id = rk.id)"""
-
-
-def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The query's vector: one row, looked up."""
-    row = K.vectors(spark, sf_dir).filter("vec_id = 0").select("vec").first()
-    return list(row[0]) if row else []
-
-
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    mem = K.memories(spark, sf_dir)
-    live = K.vectors(spark, sf_dir).join(Q.active(mem).select("id"), "id", "left_semi")
-    return mem, Q.nearest(live, _vector(spark, sf_dir)), Q.bm25(mem, TERMS, keep=F.col("superseded_at").isNull())
+from . import base
+from .base import BOOSTS, FUSED, LIVE, MEM, NOW, PAST, VEC, as_of, bm25_sql, index, lists, matching, near_sql, now, q, query, recall_sql, vector, words_sql
 
 
 @query(f"WITH {MEM} SELECT namespace, count(*) AS n FROM mem WHERE superseded_at IS NULL GROUP BY 1")
@@ -79,10 +19,11 @@ def ns_counts(spark, sf_dir):
     return Q.active(K.memories(spark, sf_dir)).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {MEM} SELECT count(*) FILTER (superseded_at IS NULL) AS active, count(*) FILTER (superseded_at IS NULL AND pinned) AS pinned, count(*) FILTER (superseded_at IS NOT NULL) AS superseded, count(DISTINCT namespace) AS namespaces FROM mem")
+@query(f"""WITH {MEM}, ns AS (SELECT namespace, count(*) AS n FROM mem WHERE {LIVE} GROUP BY 1) SELECT count(*) FILTER (superseded_at IS NULL) AS total_memories, count(*) FILTER (superseded_at IS NULL AND pinned) AS pinned_memories, count(*) FILTER (superseded_at IS NOT NULL) AS superseded,
+(SELECT count(*) FROM embeddings) AS vector_indexed, (SELECT count(*) FROM part) AS entity_nodes, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS entity_edges, (SELECT string_agg(namespace || '=' || n, ',' ORDER BY namespace) FROM ns) AS namespaces FROM mem""")
 def store_stats(spark, sf_dir):
-    live = F.col("superseded_at").isNull()
-    return K.memories(spark, sf_dir).agg(F.count_if(live).alias("active"), F.count_if(live & F.col("pinned")).alias("pinned"), F.count_if(~live).alias("superseded"), F.countDistinct("namespace").alias("namespaces"))
+    rows = K.store_stats(K.memories(spark, sf_dir), K.vectors(spark, sf_dir), K.nodes(spark, sf_dir), K.membership(spark, sf_dir))
+    return rows.withColumn("namespaces", F.array_join(F.transform(F.array_sort(F.map_entries("namespaces")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 @query(f"WITH {MEM} SELECT id, mem_type, namespace, strftime(created_at, '%Y-%m-%d') AS created FROM mem WHERE superseded_at IS NULL AND namespace = 'en' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
@@ -101,6 +42,27 @@ def multi_get(spark, sf_dir):
     return Q.active(K.memories(spark, sf_dir)).filter(F.col("id").isin("mem_00000001", "mem_00000003", "mem_00000005")).select("id", "content")
 
 
+@query(f"WITH {MEM} SELECT id, content, strftime(superseded_at, '%Y-%m-%d') AS superseded FROM mem WHERE id = 'mem_00000003'")
+def get_memory(spark, sf_dir):
+    return K.get(K.memories(spark, sf_dir), "mem_00000003").select("id", "content", F.date_format("superseded_at", "yyyy-MM-dd").alias("superseded"))
+
+
+@query(f"WITH {MEM} SELECT id, content, mem_type AS type, namespace, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, importance, pinned, edge_count FROM mem WHERE {LIVE} AND namespace = 'en' ORDER BY mem.created_at DESC, id LIMIT 7 OFFSET 14")
+def page_items(spark, sf_dir):
+    return K.page(K.memories(spark, sf_dir), "en", "3", "7")[0]
+
+
+@query(f"WITH {MEM} SELECT count(*) AS total, 1 AS page, 20 AS per_page FROM mem WHERE {LIVE} AND namespace = 'en'")
+def page_total(spark, sf_dir):
+    return K.page(K.memories(spark, sf_dir), "en", "0", "x")[1]
+
+
+@query(f"WITH {MEM} SELECT id, access_count + CASE id WHEN 'mem_00000001' THEN 2 WHEN 'mem_00000002' THEN 1 ELSE 0 END AS access_count FROM mem")
+def access_feedback(spark, sf_dir):
+    back = spark.createDataFrame([("mem_00000001",), ("mem_00000002",), ("mem_00000001",)], "id string")
+    return K.accessed(K.memories(spark, sf_dir), back).select("id", "access_count")
+
+
 @query(f"WITH {MEM} SELECT id, CASE WHEN id IN ('mem_00000001', 'mem_00000003') AND superseded_at IS NULL THEN '{NOW}' ELSE strftime(superseded_at, '%Y-%m-%d %H:%M:%S') END AS superseded FROM mem")
 def forget(spark, sf_dir):
     rows = K.forget(K.memories(spark, sf_dir), ["mem_00000001", "mem_00000003"], now())
@@ -113,42 +75,99 @@ def archive_superseded(spark, sf_dir):
     return rows.select("id", F.date_format("superseded_at", "yyyy-MM-dd").alias("superseded"), F.date_format("archived_at", "yyyy-MM-dd").alias("archived"))
 
 
-@query(f"WITH {MEM}, {BM25} SELECT id, score FROM kw")
+@query(f"WITH {MEM}, w AS (SELECT *, {base.WORDS} AS ws FROM mem) SELECT count(*) AS n, round(avg(len(ws)), 6) AS avgdl FROM w")
+def index_build(spark, sf_dir):
+    return index(spark, sf_dir).counts.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {MEM}, {words_sql()} SELECT id, score FROM kw")
 def keyword_bm25(spark, sf_dir):
-    return _lists(spark, sf_dir)[2]
+    return lists(spark, sf_dir)[2]
+
+
+def _keyword(spark, sf_dir, text: str):
+    return Q.bm25(index(spark, sf_dir, False), parse(text), 60, Q.active(K.memories(spark, sf_dir)))
+
+
+@query(f"""WITH {MEM}, {bm25_sql(["len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))"])} SELECT id, score FROM kw""")
+def keyword_phrase(spark, sf_dir):
+    return _keyword(spark, sf_dir, '"of the"')
+
+
+@query(f"""WITH {MEM}, {bm25_sql(["len(list_filter(ws, lambda w: starts_with(w, 'rest')))", matching('that')])} SELECT id, score FROM kw""")
+def keyword_prefix(spark, sf_dir):
+    return _keyword(spark, sf_dir, "rest* AND content:that")
+
+
+@query(f"""WITH {MEM}, {bm25_sql([matching('that'), matching('rest'), matching('und')], LIVE, "(tf0 > 0 OR tf1 > 0) AND tf2 = 0")} SELECT id, score FROM kw""")
+def keyword_boolean(spark, sf_dir):
+    return _keyword(spark, sf_dir, "(that OR rest) NOT und")
+
+
+@query(f"""WITH {MEM}, w AS (SELECT *, {base.WORDS} AS ws FROM mem) SELECT id FROM w WHERE {LIVE} AND len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'that' AND list_contains(ws[greatest(1, i - 6):i + 6], 'rest'))) > 0""")
+def keyword_near(spark, sf_dir):
+    return Q.bm25(index(spark, sf_dir, False), parse("NEAR(that rest, 5)"), 1 << 30, Q.active(K.memories(spark, sf_dir))).select("id")
 
 
 @query(f"WITH {VEC} SELECT id, round(list_distance(v, q), 6) AS distance FROM vec, qv ORDER BY 2, 1 LIMIT 20")
 def vector_topk_l2(spark, sf_dir):
-    return Q.nearest(K.vectors(spark, sf_dir), _vector(spark, sf_dir), 20)
+    return Q.nearest(K.vectors(spark, sf_dir), vector(spark, sf_dir), 20)
 
 
 @query(f"WITH {VEC} SELECT id, round(list_cosine_similarity(v, q), 6) AS cosine FROM vec, qv ORDER BY 2 DESC, 1 LIMIT 20")
 def vector_cosine(spark, sf_dir):
-    return Q.most_similar(K.vectors(spark, sf_dir), _vector(spark, sf_dir), 20)
+    return Q.most_similar(K.vectors(spark, sf_dir), vector(spark, sf_dir), 20)
 
 
-@query()
+@query(f"WITH {VEC} SELECT id, round(list_distance(v, q), 6) AS distance FROM vec, qv ORDER BY 2, 1 LIMIT 1")
 def lsh_knn(spark, sf_dir):
-    return Q.lsh_nearest(K.vectors(spark, sf_dir), _vector(spark, sf_dir), 10)
+    """The approximate index finds the vector itself; its recall is tested."""
+    return Q.VectorIndex.fit(K.vectors(spark, sf_dir)).nearest(list(vector(spark, sf_dir).first()[0]), 1)
 
 
-@query(f"WITH {MEM}, {VEC}, {BM25}, {NEAR}, {FUSED} SELECT id, vector_rank, keyword_rank, round(rrf_score, 6) AS rrf_score FROM fu")
+@query(f"WITH {MEM}, {VEC}, {words_sql()}, {near_sql()}, {FUSED} SELECT id, vector_rank, keyword_rank, round(rrf_score, 6) AS rrf_score FROM fu")
 def rrf_fusion(spark, sf_dir):
-    _, v, w = _lists(spark, sf_dir)
+    _, v, w = lists(spark, sf_dir)
     return Q.fuse(v, w).withColumn("rrf_score", F.round("rrf_score", 6))
 
 
-def _results(spark, sf_dir):
-    mem, v, w = _lists(spark, sf_dir)
-    live = Q.active(mem)
-    return live, Q.scored(Q.fuse(v, w), live, now())
+def _recall(spark, sf_dir, text: str = base.TEXT, vectors: bool = True, **options):
+    by = {"vectors": K.vectors(spark, sf_dir), "vector": vector(spark, sf_dir)} if vectors else {}
+    return Q.recall(K.memories(spark, sf_dir), index(spark, sf_dir), text, now(), **by, **options)
+
 
+def _short(rows):
+    return rows.withColumnRenamed("type", "mem_type").select("id", "mem_type", "namespace", "rrf_score", "score", "rank")
 
-@query(f"""WITH {MEM}, {VEC}, {BM25}, {NEAR}, {FUSED}, sc AS (SELECT mem.id, mem_type, namespace, round(rrf_score, 6) AS rrf_score, round(rrf_score + {BOOSTS}, 6) AS score FROM mem JOIN fu ON mem.id = fu.id AND superseded_at IS NULL)
-SELECT id, mem_type, namespace, rrf_score, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc ORDER BY score DESC, id LIMIT 20""")
+
+@query(recall_sql())
 def recall_scored(spark, sf_dir):
-    return Q.top(_results(spark, sf_dir)[1]).select("id", "mem_type", "namespace", F.round("rrf_score", 6).alias("rrf_score"), "score", "rank")
+    return _short(_recall(spark, sf_dir))
+
+
+@query(recall_sql(columns="id, content, mem_type AS type, namespace, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, round(full_score, 6) AS score, round(rrf_score, 6) AS rrf_score, round(0.05 * exp(-greatest(0.0, date_diff('second', sc.created_at, now) / 3600.0) / (" + base.DECAY + ")), 6) AS temporal_boost, round(0.1 * (" + base.WEIGHT + ") * least(access_count / 10.0, 1.0), 6) AS importance_boost"))
+def recall_items(spark, sf_dir):
+    return _recall(spark, sf_dir)
+
+
+@query(recall_sql(PAST))
+def recall_as_of(spark, sf_dir):
+    return _short(_recall(spark, sf_dir, at=as_of()))
+
+
+@query(recall_sql(f"{LIVE} AND namespace = 'en'"))
+def recall_namespace(spark, sf_dir):
+    return _short(_recall(spark, sf_dir, namespace="en"))
+
+
+@query(recall_sql(vectors=False))
+def recall_keyword_only(spark, sf_dir):
+    return _short(_recall(spark, sf_dir, vectors=False))
+
+
+@query(recall_sql(least=0.1))
+def recall_min_score(spark, sf_dir):
+    return _short(_recall(spark, sf_dir, least=0.1))
 
 
 SOURCES = """en AS (SELECT source AS name, regexp_extract(source, '[0-9]+')::BIGINT AS entity_id FROM documents WHERE source IS NOT NULL GROUP BY 1),
@@ -165,16 +184,17 @@ def _source_graph(spark, sf_dir):
     return names, edges, member
 
 
-@query(f"""WITH {MEM}, {VEC}, {BM25}, {NEAR}, {FUSED}, {SOURCES},
+@query(f"""WITH {MEM}, {VEC}, {words_sql()}, {near_sql()}, {FUSED}, {SOURCES},
 gr AS (SELECT memory_id, round(CASE WHEN entity_id = 3 THEN 1.0 WHEN entity_id IN (2, 4) THEN 0.5 / 2 ELSE 0.25 / 3 END, 6) AS g FROM me WHERE entity_id BETWEEN 1 AND 5 ORDER BY g DESC, memory_id LIMIT 40),
 mg AS (SELECT mem.id, coalesce(rrf_score, 0) AS rrf_score, CASE WHEN fu.id IS NULL THEN 0.1 * g + {BOOSTS} ELSE (rrf_score + {BOOSTS}) * CASE WHEN g IS NULL THEN 1 ELSE 1.5 END END AS score
  FROM mem LEFT JOIN fu ON fu.id = mem.id LEFT JOIN gr ON gr.memory_id = mem.id WHERE superseded_at IS NULL AND (fu.id IS NOT NULL OR g IS NOT NULL))
 SELECT id, round(rrf_score, 6) AS rrf_score, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM mg ORDER BY round(score, 6) DESC, id LIMIT 20""")
 def recall_graph_merged(spark, sf_dir):
-    live, rows = _results(spark, sf_dir)
+    live, v, w = lists(spark, sf_dir)
     names, edges, member = _source_graph(spark, sf_dir)
     graph = G.traverse(G.seeds_in_text(names, "that rest of src3"), edges, member, 2, 40)
-    return Q.top(Q.merged(rows, graph, live, now())).select("id", F.round("rrf_score", 6).alias("rrf_score"), "score", "rank")
+    rows = Q.merged(Q.scored(Q.fuse(v, w), live, now()), graph, live, now())
+    return Q.top(rows).select("id", F.round("rrf_score", 6).alias("rrf_score"), "score", "rank")
 
 
 # Texts with the entities and relations that the driver's texts lack.
@@ -187,65 +207,74 @@ TEXTS = [
 FX = "tx AS (SELECT -1 - i AS doc_id, t AS text FROM (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(TEXTS)) + ") v(i, t) UNION ALL SELECT doc_id, text FROM documents UNION ALL SELECT 1000000 + page_id, url FROM pages)"
 
 
-def _texts(spark, sf_dir):
+def texts(spark, sf_dir):
     own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     pages = K.table(spark, sf_dir, "pages").select((F.col("page_id") + 1000000).alias("doc_id"), F.col("url").alias("text"))
     return own.unionByName(K.table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(pages)
 
 
-def _entity_sql() -> str:
+def entity_ctes(source: str = "tx") -> str:
+    """e0 to e8: the source's rows (doc_id, text) with a list nN of what each
+    pattern found, then ent with a list of each kind."""
     kinds: dict[str, str] = {}
     seen = "[]::VARCHAR[]"
-    ctes, last = [], "tx"
+    ctes, last = [], source
     for i, (kind, p) in enumerate(C.ENTITY_PATTERNS):
         ctes.append(f"e{i} AS (SELECT *, list_filter(list_distinct(regexp_extract_all(text, {q(p)})), lambda x: NOT list_contains({seen}, x)) AS n{i} FROM {last})")
         last = f"e{i}"
         seen = f"list_concat({seen}, n{i})"
         kinds[kind] = f"list_concat({kinds[kind]}, n{i})" if kind in kinds else f"n{i}"
-    return f"WITH {FX}, " + ", ".join(ctes) + " SELECT doc_id, " + ", ".join(f"array_to_string(list_sort({v}), '|') AS {k}" for k, v in kinds.items()) + f" FROM {last}"
+    return ", ".join(ctes) + ", ent AS (SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in kinds.items()) + f" FROM {last})"
 
 
-@query(_entity_sql())
+@query(f"WITH {FX}, {entity_ctes()} SELECT doc_id, " + ", ".join(f"array_to_string(list_sort({k}), '|') AS {k}" for k in ("urls", "people", "dates", "tech", "numbers")) + " FROM ent")
 def entities_regex(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", *(F.array_join(F.sort_array(v), "|").alias(k) for k, v in X.entities(F.col("text")).items()))
+    rows = texts(spark, sf_dir).select("doc_id", X.entities(F.col("text")).alias("e"))
+    return rows.select("doc_id", *(F.array_join(F.sort_array(F.col("e")[k]), "|").alias(k) for k in ("urls", "people", "dates", "tech", "numbers")))
 
 
 def _re(alias: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in alias)
 
 
-@query(f"WITH {FX} SELECT doc_id, name FROM tx JOIN (SELECT DISTINCT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(chr(92) + 'b' + _re(a) + chr(92) + 'b')}, {q(n)})" for a, n in C.TECH.items()) + ") v(alias, pattern, name)) ON contains(lower(text), alias) AND regexp_matches(lower(text), pattern) GROUP BY 1, 2")
+def tech_ctes(source: str = "tx") -> str:
+    aliases = ", ".join(f"({q(a)}, {q(chr(92) + 'b' + _re(a) + chr(92) + 'b')}, {q(n)})" for a, n in C.TECH.items())
+    return f"td AS (SELECT doc_id, name FROM {source} JOIN (SELECT DISTINCT * FROM (VALUES {aliases}) v(alias, pattern, name)) ON contains(lower(text), alias) AND regexp_matches(lower(text), pattern) GROUP BY 1, 2)"
+
+
+@query(f"WITH {FX}, {tech_ctes()} SELECT doc_id, name FROM td")
 def tech_dictionary(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", F.explode(X.tech(F.col("text"))).alias("name"))
+    return texts(spark, sf_dir).select("doc_id", F.explode(X.tech(F.col("text"))).alias("name"))
 
 
 def _type_sql() -> str:
-    score = {t: " + ".join(f"{p} * contains(l, {q(k)})::INT" for k in words.split("|")) for t, (p, words) in C.TYPE_KEYWORDS.items()}
+    score = {t: " + ".join(f"{p} * contains(l, {q(k)})::INT" for k in words) for t, (p, words) in C.TYPE_KEYWORDS.items()}
     best = "greatest(" + ", ".join(f"s_{t}" for t in score) + ")"
     return f"WITH {FX}, l AS (SELECT doc_id, lower(text) AS l FROM tx), s AS (SELECT doc_id, " + ", ".join(f"{v} AS s_{t}" for t, v in score.items()) + f" FROM l) SELECT doc_id, CASE WHEN {best} = 0 THEN 'note' " + " ".join(f"WHEN s_{t} = {best} THEN {q(t)}" for t in score) + " END AS mem_type FROM s"
 
 
 @query(_type_sql())
 def infer_type(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", X.infer_type(F.col("text")).alias("mem_type"))
+    return texts(spark, sf_dir).select("doc_id", X.infer_type(F.col("text")).alias("mem_type"))
 
 
-def _relation_sql() -> str:
+def relation_ctes(source: str = "tx") -> str:
+    """rl (doc_id, rel_type, s, t): typed relations, each once an occurrence."""
     parts = []
     for rel in C.RELATIONS:
         p = q(X.relation_pattern(rel))
-        parts.append(f"SELECT doc_id, '{rel}' AS rel_type, unnest(regexp_extract_all(text, {p}, 1)) AS s, unnest(regexp_extract_all(text, {p}, 2)) AS t FROM tx")
-    return f"WITH {FX}, r AS ({' UNION ALL '.join(parts)}), x AS (SELECT rel_type, trim(s) AS s, trim(unnest(regexp_split_to_array(t, ' dan | and |, |,'))) AS t FROM r) SELECT lower(s) AS source, lower(t) AS target, rel_type, count(*) AS weight FROM x WHERE t <> '' AND s <> '' AND lower(s) <> lower(t) GROUP BY 1, 2, 3"
+        parts.append(f"SELECT doc_id, '{rel}' AS rel_type, unnest(regexp_extract_all(text, {p}, 1)) AS s, unnest(regexp_extract_all(text, {p}, 2)) AS t FROM {source}")
+    return f"r0 AS ({' UNION ALL '.join(parts)}), r1 AS (SELECT doc_id, rel_type, trim(s) AS s, trim(unnest(regexp_split_to_array(t, ' dan | and |, |,'))) AS t FROM r0), rl AS (SELECT * FROM r1 WHERE t <> '' AND s <> '' AND lower(s) <> lower(t))"
 
 
-@query(_relation_sql())
+@query(f"WITH {FX}, {relation_ctes()} SELECT lower(s) AS source, lower(t) AS target, rel_type, count(*) AS weight FROM rl GROUP BY 1, 2, 3")
 def typed_edges(spark, sf_dir):
-    return G.typed_edges(_texts(spark, sf_dir).select(F.col("text").alias("content")))
+    return G.typed_edges(texts(spark, sf_dir).select(F.col("text").alias("content")))
 
 
 @query(f"WITH {FX} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, {q(p)}) THEN {q(n)}" for n, p, _ in C.SECRETS) + " ELSE '' END AS secret FROM tx")
 def secret_classify(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", X.secret(F.col("text")).alias("secret"))
+    return texts(spark, sf_dir).select("doc_id", X.secret(F.col("text")).alias("secret"))
 
 
 def _censor_sql() -> str:
@@ -257,190 +286,26 @@ def _censor_sql() -> str:
 
 @query(_censor_sql())
 def censor(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", X.censor(F.col("text")).alias("text"))
-
-
-BIP = "me AS (SELECT DISTINCT l_orderkey::BIGINT AS memory_id, l_partkey::BIGINT AS entity_id FROM lineitem), pc AS (SELECT a.entity_id AS source_id, b.entity_id AS target_id, count(*) AS count FROM me a JOIN me b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id GROUP BY 1, 2), ed AS (SELECT source_id, target_id, count::DOUBLE AS weight FROM pc WHERE count >= 2)"
-NODES = "no AS (SELECT p_partkey::BIGINT AS entity_id, 'part ' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'tech' ELSE 'org' END AS category, p_partkey % 23 AS access_count FROM part)"
-HOPS = f"""bw AS (SELECT source_id AS src, target_id AS dst FROM ed UNION SELECT target_id, source_id FROM ed),
-h0 AS (SELECT entity_id, 0 AS hop FROM no WHERE entity_id BETWEEN {SEEDS.start} AND {SEEDS.stop - 1}), h1 AS (SELECT DISTINCT dst AS entity_id, 1 AS hop FROM h0 JOIN bw ON src = entity_id WHERE dst NOT IN (SELECT entity_id FROM h0)),
-h2 AS (SELECT DISTINCT dst AS entity_id, 2 AS hop FROM h1 JOIN bw ON src = entity_id WHERE dst NOT IN (SELECT entity_id FROM h0) AND dst NOT IN (SELECT entity_id FROM h1)), hp AS (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)"""
-
-
-def _edges(spark, sf_dir):
-    return G.related_edges(G.pair_counts(K.membership(spark, sf_dir)))
-
-
-def _seeds(spark, sf_dir):
-    return G.seeds_by_name(K.nodes(spark, sf_dir), [f"Part {i}" for i in SEEDS])
-
+    return texts(spark, sf_dir).select("doc_id", X.censor(F.col("text")).alias("text"))
 
-@query(f"WITH {BIP} SELECT * FROM pc WHERE count >= 2 ORDER BY count DESC, source_id, target_id LIMIT 50")
-def link(spark, sf_dir):
-    return M.linked(G.pair_counts(K.membership(spark, sf_dir)))
 
+@query(f"WITH {FX} SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)) = '' OR text IS NULL THEN 'empty' WHEN secret <> '' THEN 'blocked' ELSE 'stored' END AS status, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)) = '' OR text IS NULL THEN '' ELSE secret END AS reason FROM (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)), {q(p)}) THEN {q(n)}" for n, p, _ in C.SECRETS) + " ELSE '' END AS secret FROM tx)")
+def submit_status(spark, sf_dir):
+    rows = texts(spark, sf_dir).select(F.col("text").alias("content"), F.col("doc_id").cast("string").alias("namespace"), F.lit(None).cast("string").alias("type"))
+    return K.submitted(rows, base.NOW).select(F.col("namespace").cast("long").alias("doc_id"), "status", "reason")
 
-@query(f"WITH {BIP} SELECT count, count(*) AS pairs FROM pc GROUP BY 1")
-def pair_counts(spark, sf_dir):
-    return G.pair_counts(K.membership(spark, sf_dir)).groupBy("count").agg(F.count(F.lit(1)).alias("pairs"))
 
+# Times as text.
+TIMES = ["2024-05-06T07:08:09Z", "2024-05-06T07:08:09+02:00", "2024-05-06 07:08:09", "2024-05-06", "soon", ""]
 
-@query(f"WITH {BIP} SELECT source_id, target_id, 'related_to' AS rel_type, weight FROM ed")
-def related_edges(spark, sf_dir):
-    return _edges(spark, sf_dir)
 
+@query("SELECT * FROM (VALUES ('2024-05-06T07:08:09Z', '2024-05-06 07:08:09'), ('2024-05-06T07:08:09+02:00', '2024-05-06 05:08:09'), ('2024-05-06 07:08:09', '2024-05-06 07:08:09'), ('2024-05-06', '2024-05-06 00:00:00'), ('soon', NULL), ('', NULL)) v(given, parsed)")
+def parsed_times(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in TIMES], "given string")
+    return rows.select("given", F.date_format(K.parse_time(F.col("given")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
-@query(f"WITH {BIP}, {NODES} SELECT (SELECT count(*) FROM no) AS nodes, (SELECT count(*) FROM me) AS edges, (SELECT count(*) FROM ed) AS related, round(2.0 * (SELECT count(*) FROM ed) / (SELECT count(*) FROM no), 6) AS avg_degree")
-def graph_stats(spark, sf_dir):
-    n = K.nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"))
-    m = K.membership(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"))
-    e = _edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("related"))
-    rows = n.crossJoin(m).crossJoin(e)  # one row each
-    return rows.withColumn("avg_degree", F.when(F.col("nodes") > 0, F.round(2.0 * F.col("related") / F.col("nodes"), 6)).otherwise(0.0))
 
-
-@query(f"WITH {BIP}, {NODES}, {HOPS} SELECT entity_id, hop FROM hp")
-def hop_distances(spark, sf_dir):
-    return G.hops(_seeds(spark, sf_dir), _edges(spark, sf_dir), 2)
-
-
-@query(f"WITH {BIP}, {NODES}, {HOPS} SELECT memory_id, round(sum(pow(0.5, hop) / (hop + 1)), 6) AS score, min(hop) AS path_length FROM me JOIN hp USING (entity_id) GROUP BY 1 ORDER BY score DESC, memory_id LIMIT 100")
-def traverse(spark, sf_dir):
-    return G.traverse(_seeds(spark, sf_dir), _edges(spark, sf_dir), K.membership(spark, sf_dir), 2, 100)
-
-
-# A small graph of typed relations.
-GRAPH_NODES = [(1, "Rezky"), (2, "Bank Sinarmas"), (3, "Tim"), (4, "Kafka"), (5, "MCP")]
-GRAPH_EDGES = [(1, 1, 2, "works_at"), (2, 3, 4, "uses"), (3, 4, 5, "part_of"), (4, 2, 4, "related_to")]
-
-
-@query("SELECT * FROM (VALUES (1, 'Rezky', 'Bank Sinarmas', 'works_at', 1.0::DOUBLE), (2, 'Bank Sinarmas', 'Kafka', 'related_to', 1.0), (3, 'Kafka', 'MCP', 'part_of', 1.0)) v(hop, \"from\", \"to\", rel_type, weight)")
-def shortest_path(spark, sf_dir):
-    nodes = spark.createDataFrame(GRAPH_NODES, "entity_id long, name string")
-    edges = spark.createDataFrame([(*e, 1.0) for e in GRAPH_EDGES], "id long, source_id long, target_id long, rel_type string, weight double")
-    return G.find_path(nodes, edges, "rezky", "mcp", 4)
-
-
-@query(f"WITH {BIP} SELECT memory_id, count(*) AS shared, round(0.1 * count(*), 6) AS score FROM me WHERE entity_id IN (SELECT entity_id FROM me WHERE memory_id = 1) AND memory_id <> 1 GROUP BY 1 ORDER BY shared DESC, memory_id LIMIT 10")
-def related_memories(spark, sf_dir):
-    return G.related_memories(K.membership(spark, sf_dir), 1)
-
-
-@query(f"WITH {BIP}, {NODES} SELECT DISTINCT memory_id, 1.0::DOUBLE AS weight FROM me JOIN no USING (entity_id) WHERE name ILIKE '%part 12%' ORDER BY memory_id LIMIT 10")
-def memories_by_entity(spark, sf_dir):
-    return G.memories_by_entity(K.membership(spark, sf_dir), K.nodes(spark, sf_dir), "PART 12")
-
-
-@query(f"WITH {NODES} SELECT entity_id, name, category, access_count FROM no WHERE name ILIKE '%part 1%' AND category = 'tech' ORDER BY access_count DESC, entity_id LIMIT 50")
-def list_entities(spark, sf_dir):
-    return G.list_entities(K.nodes(spark, sf_dir), "Part 1", "tech")
-
-
-@query(f"WITH {BIP}, {NODES} SELECT entity_id, name, category FROM me JOIN no USING (entity_id) WHERE memory_id = 1")
-def entities_for_memory(spark, sf_dir):
-    return K.membership(spark, sf_dir).filter("memory_id = 1").join(K.nodes(spark, sf_dir), "entity_id").select("entity_id", "name", "category")
-
-
-@query(f"WITH {MEM} SELECT id FROM mem WHERE superseded_at IS NULL AND created_at < now - INTERVAL 90 DAY AND access_count < 2 AND importance < 0.3 AND NOT pinned")
-def evict(spark, sf_dir):
-    mem = K.memories(spark, sf_dir).filter("superseded_at is null")
-    return M.evict(mem, now()).filter("superseded_at is not null").select("id")
-
-
-def _side(w: str, c: str) -> str:
-    return f"(SELECT id AS {c} FROM mem WHERE superseded_at IS NULL AND contains(lower(content), {q(w)}) ORDER BY id LIMIT 20)"
-
-
-FOUND = "ct AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS pair, a, b FROM {_side(a, 'a')}, {_side(b, 'b')} WHERE a <> b" for i, (a, b) in enumerate(PAIRS)) + ") ORDER BY pair, a, b LIMIT 20)"
-
-
-@query(f"WITH {MEM}, {FOUND} SELECT * FROM ct")
-def contradiction(spark, sf_dir):
-    return M.contradictions(K.memories(spark, sf_dir), PAIRS)
-
-
-@query(f"WITH {MEM}, {FOUND}, n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM ct UNION ALL SELECT b FROM ct) GROUP BY 1) SELECT mem.id, round(CASE WHEN n IS NULL THEN importance ELSE greatest(0.3, importance * pow(0.9, n)) END, 6) AS importance FROM mem LEFT JOIN n USING (id)")
-def weaken(spark, sf_dir):
-    mem = K.memories(spark, sf_dir)
-    return M.weakened(mem, M.contradictions(mem, PAIRS)).select("id", F.round("importance", 6).alias("importance"))
-
-
-@query(f"""WITH {MEM}, w AS (SELECT id, created_at, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '\\s+'), lambda x: x <> '') AS w FROM mem WHERE superseded_at IS NULL), s AS (SELECT *, list_distinct(w) AS s FROM w WHERE len(w) >= 3)
-SELECT a.id AS older, b.id AS newer, round(len(list_filter(a.w, lambda x: list_contains(b.s, x)))::DOUBLE / len(a.w), 6) AS overlap FROM s a JOIN s b ON (a.created_at < b.created_at OR (a.created_at = b.created_at AND a.id < b.id))
- AND least(len(a.w), len(b.s))::DOUBLE / len(a.w) >= 0.92 AND len(list_intersect(a.s, b.s)) > 0.5 * len(a.s) - 1 WHERE len(list_filter(a.w, lambda x: list_contains(b.s, x)))::DOUBLE / len(a.w) > 0.92""")
-def dedup_overlap(spark, sf_dir):
-    return M.overlaps(K.memories(spark, sf_dir))
-
-
-@query(f"WITH {MEM} SELECT id, round(CASE WHEN superseded_at IS NOT NULL OR pinned THEN importance WHEN access_count > 5 THEN least(1.0, importance + 0.05) WHEN access_count = 0 AND created_at < now - INTERVAL 7 DAY THEN greatest(0.1, importance - 0.02) ELSE importance END, 6) AS importance FROM mem")
-def prioritise(spark, sf_dir):
-    return M.prioritised(K.memories(spark, sf_dir), now()).select("id", "importance")
-
-
-@query(f"""WITH {MEM}, o AS (SELECT * FROM mem WHERE superseded_at IS NULL AND NOT pinned AND created_at < now - INTERVAL 30 DAY ORDER BY importance, id LIMIT 5)
-SELECT count(*) AS n, '📦 Snapshot of ' || count(*) || ' old memories:' || chr(10) || string_agg('• ' || CASE WHEN length(content) > 120 THEN substr(content, 1, 117) || '...' ELSE content END || chr(10), '' ORDER BY importance, id) AS content FROM o HAVING count(*) >= 2""")
-def snapshot(spark, sf_dir):
-    return M.snapshot(K.memories(spark, sf_dir), now())
-
-
-@query("""WITH RECURSIVE c AS (SELECT doc_id, 0 AS i, '' AS chunk, text AS rest FROM documents WHERE text <> '' UNION ALL
-SELECT doc_id, i + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (SELECT *, CASE WHEN length(rest) <= 500 THEN 500 WHEN a > 250 THEN a + 2 WHEN b > 250 THEN b + 2 WHEN n > 250 THEN n + 1 ELSE 500 END AS cut FROM (
-SELECT *, 500 - instr(reverse(substr(rest, 1, 500)), chr(10) || chr(10)) - 1 + CASE WHEN instr(reverse(substr(rest, 1, 500)), chr(10) || chr(10)) = 0 THEN -1000 ELSE 0 END AS a,
-500 - instr(reverse(substr(rest, 1, 500)), ' .') - 1 + CASE WHEN instr(reverse(substr(rest, 1, 500)), ' .') = 0 THEN -1000 ELSE 0 END AS b,
-500 - instr(reverse(substr(rest, 1, 500)), chr(10)) + CASE WHEN instr(reverse(substr(rest, 1, 500)), chr(10)) = 0 THEN -1000 ELSE 0 END AS n FROM c WHERE rest <> '')))
-SELECT doc_id, (i - 1)::INT AS chunk_index, chunk AS content FROM c WHERE i > 0""")
-def rag_chunks(spark, sf_dir):
-    return D.chunks(K.table(spark, sf_dir, "documents"))
-
-
-@query(f"WITH {VEC} SELECT doc_id, source AS collection, round(1 / (1 + list_distance(v, q)), 6) AS score FROM vec JOIN documents ON vec_id = doc_id, qv WHERE source = 'src3' ORDER BY score DESC, doc_id LIMIT 5")
-def rag_query(spark, sf_dir):
-    return D.rag_query(K.vectors(spark, sf_dir), K.table(spark, sf_dir, "documents"), _vector(spark, sf_dir), 5, "src3")
-
-
-@query("SELECT source AS collection, count(*) AS doc_count FROM documents GROUP BY 1")
-def collection_stats(spark, sf_dir):
-    return K.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("collection")).agg(F.count(F.lit(1)).alias("doc_count"))
-
-
-PRUNED = """pr AS (SELECT conv_id, turn, role, CASE WHEN big THEN '[tool result stored in engine:' || coalesce(sum(big::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT || ']' ELSE text END AS content
-FROM (SELECT *, lower(role) = 'assistant' AND strlen(text) > 500 AS big FROM conversations))"""
-SEG = f"{PRUNED}, sp AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) - 2 AS l FROM pr), sg AS (SELECT conv_id, s::INT AS segment, turn, role, content FROM sp, generate_series(0, 100) g(s) WHERE p < l AND s * 2 <= p AND p < s * 2 + 3 AND s < CASE WHEN l <= 3 THEN 1 ELSE ceil((l - 3) / 2.0) + 1 END)"
-TOKENS = "(CASE WHEN {0} = '' THEN 0 ELSE greatest(1, strlen({0}) // 4) END)"
-
-
-def _pruned(spark, sf_dir):
-    return D.pruned(K.messages(spark, sf_dir), "assistant", 500)
-
-
-@query(f"WITH {PRUNED} SELECT * FROM pr")
-def prune_tool_results(spark, sf_dir):
-    return _pruned(spark, sf_dir)
-
-
-@query(f"WITH {SEG} SELECT * FROM sg")
-def segments(spark, sf_dir):
-    return D.segments(_pruned(spark, sf_dir), 3, 1, 2)
-
-
-@query(f"SELECT conv_id, count(*) AS messages, sum({TOKENS.format('role')} + {TOKENS.format('text')})::BIGINT AS tokens FROM conversations GROUP BY 1")
-def token_stats(spark, sf_dir):
-    return D.token_stats(K.messages(spark, sf_dir))
-
-
-@query(f"WITH {SEG} SELECT conv_id, segment, string_agg(role || ': ' || content || chr(10), '' ORDER BY turn) AS summary FROM sg GROUP BY 1, 2")
-def summary_text(spark, sf_dir):
-    return D.summaries(D.segments(_pruned(spark, sf_dir), 3, 1, 2))
-
-
-@query(f"""WITH {SEG}, su AS (SELECT conv_id, segment, string_agg(role || ': ' || content || chr(10), '' ORDER BY turn) AS t FROM sg GROUP BY 1, 2), tx AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY segment) AS t FROM su GROUP BY 1),
-i AS (SELECT conv_id, sum({TOKENS.format('role')} + {TOKENS.format('text')})::BIGINT AS tokens_in FROM conversations GROUP BY 1), o AS (SELECT conv_id, sum({TOKENS.format('role')} + {TOKENS.format('content')})::BIGINT AS tail FROM sp WHERE p >= l GROUP BY 1)
-SELECT conv_id, tokens_in, ({TOKENS.format('t')} + coalesce(tail, 0))::BIGINT AS tokens_out, round(CASE WHEN tokens_in > 0 THEN greatest(0.0, (tokens_in - ({TOKENS.format('t')} + coalesce(tail, 0))) / tokens_in::DOUBLE * 100) ELSE 0 END, 6) AS reduction FROM tx JOIN i USING (conv_id) LEFT JOIN o USING (conv_id)""")
-def compaction(spark, sf_dir):
-    return D.compaction(K.messages(spark, sf_dir), 3, 1, 2, "assistant", 500)
-
-
-@query("SELECT url AS name, CASE WHEN lower(url) LIKE '%.txt' THEN 'text' WHEN lower(url) LIKE '%.md' THEN 'markdown' WHEN lower(url) LIKE '%.json' THEN 'json' WHEN lower(url) LIKE '%.csv' THEN 'csv' ELSE 'file' END AS source_type FROM (SELECT 'a.TXT' AS url UNION ALL SELECT 'b.md' UNION ALL SELECT 'c.json' UNION ALL SELECT 'd.csv' UNION ALL SELECT url FROM pages)")
+@query("""SELECT name, source_type FROM (SELECT url AS name, CASE WHEN lower(url) LIKE '%.txt' THEN 'text' WHEN lower(url) LIKE '%.md' THEN 'markdown' WHEN lower(url) LIKE '%.json' THEN 'json' WHEN lower(url) LIKE '%.csv' THEN 'csv' ELSE 'file' END AS source_type FROM (SELECT 'a.TXT' AS url UNION ALL SELECT 'b.md' UNION ALL SELECT 'c.json' UNION ALL SELECT 'd.csv' UNION ALL SELECT url FROM pages))""")
 def source_types(spark, sf_dir):
     own = spark.createDataFrame([("a.TXT",), ("b.md",), ("c.json",), ("d.csv",)], "name string")
     rows = own.unionByName(K.table(spark, sf_dir, "pages").select(F.col("url").alias("name")))
@@ -448,8 +313,12 @@ def source_types(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from . import graph_queries, library_queries  # noqa: F401 - they register theirs
+
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import graph_queries, library_queries  # noqa: F401 - they register theirs
+
+    return dict(base.SQL)
