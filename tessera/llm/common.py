@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, a local
-    session), a new temporary folder, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session
+    takes a new temporary folder, which is then set; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster's machines need a folder that they share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -61,5 +63,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh_names(docs: DataFrame, other: DataFrame) -> DataFrame:
+    """other with names that docs doesn't have, in the same order."""
+    return other.toDF(*fresh(docs, *other.columns))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that docs doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

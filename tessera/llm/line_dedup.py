@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import let, materialize, text_or_empty
 
 #: Lines within this edit distance are alike.
 EDITS = 2
@@ -106,10 +106,52 @@ def candidates(rows: DataFrame) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def within(a: Column, b: Column) -> Column:
+    """Whether two lines are within EDITS, by a bit-parallel automaton in a band.
+
+    For each number of edits up to EDITS, the bits of one number are the diagonals
+    of the band on which the characters so far can be aligned with as many edits.
+    A character moves all of them at once: matched diagonals stay; with one edit
+    more all stay (it is replaced), go down (it is deleted) or, from the new bits,
+    up (one is inserted). The lines are within EDITS if the last bits have the
+    diagonal of their lengths' difference.
+    """
+    width = 2 * EDITS + 1
+    full = (1 << width) - 1
+    start = [sum(1 << (EDITS + d) for d in range(e + 1)) for e in range(EDITS + 1)]
+
+    def run(pair: Column) -> Column:
+        one, two = pair["a"], pair["b"]
+
+        def step(state: Column, i: Column) -> Column:
+            c = F.get(one, i)
+            same = F.lit(0)
+            for d in range(width):
+                same = same.bitwiseOR(F.when(F.get(two, i + (d - EDITS)) == c, 1 << d).otherwise(0))
+
+            def moved(m: Column) -> Column:
+                new = [state["r0"].bitwiseAND(m)]
+                for e in range(1, EDITS + 1):
+                    old = state[f"r{e - 1}"]
+                    up = F.shiftleft(new[-1], 1).bitwiseAND(full)
+                    new.append(state[f"r{e}"].bitwiseAND(m).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(up))
+                return F.struct(*(r.alias(f"r{e}") for e, r in enumerate(new)))
+
+            return let(same, moved)
+
+        first = F.struct(*(F.lit(r).alias(f"r{e}") for e, r in enumerate(start)))
+        last = F.aggregate(F.sequence(F.lit(0), F.size(one) - 1), first, step)
+        return F.call_function("shiftright", last[f"r{EDITS}"], F.size(two) - F.size(one) + EDITS).bitwiseAND(1) == 1
+
+    near = F.abs(F.length(a) - F.length(b)) <= EDITS
+    short = F.least(F.length(a), F.length(b)) == 0
+    letters = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    return F.when(~near, False).when(short, True).otherwise(let(letters, run))
+
+
 def links(rows: DataFrame) -> DataFrame:
     """All pairs (a, b) of ids, a < b, of different lines within EDITS. The texts
-    of the candidates' lines are fetched once, and the distance is computed in a
-    band of that width."""
+    of the candidates' lines are fetched once, and verified in a band."""
     pairs = materialize(candidates(rows), "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
@@ -117,7 +159,7 @@ def links(rows: DataFrame) -> DataFrame:
     texts = materialize(rows.filter(F.length("line") >= NEAR).select("id", "line").join(wanted, "id", "left_semi").distinct(), "lines")
     one = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(one, "a").join(two, "b").filter(F.levenshtein("la", "lb", EDITS).between(1, EDITS)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").filter(within(F.col("la"), F.col("lb"))).select("a", "b").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -160,8 +202,11 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, with all columns, each text without the lines that go. Null texts
-    stay null."""
-    gone = removals(docs).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("removed").alias("_removed")).filter(F.size("_removed") > 0)
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(text_or_empty()) == gone["_copy"]), "left")
-    return rows.select(*(F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    stay null; an empty table stays empty."""
+    gone = removals(docs).filter(F.size("removed") > 0).select("doc", "copy", "removed")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_or_empty()).alias("_copy"))
+    met = rows.join(gone, F.col("row")["doc_id"].eqNullSafe(F.col("doc")) & (F.col("_copy") == F.col("copy")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(F.col("row")["text"], "\n")) - 1), F.col("removed"))
+    kept = let(F.split(F.col("row")["text"], "\n"), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("removed").isNull(), F.col("row")["text"]).otherwise(kept)
+    return met.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
