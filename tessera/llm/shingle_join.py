@@ -1,4 +1,4 @@
-"""Near dedup by an exact join on the Jaccard similarity of word shingles."""
+"""An exact join on the Jaccard similarity of word shingles, for near dedup."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ WORDS, LEAST, SEED = 5, 0.8, 42
 SAMPLE, FREQUENT, ORDERED = 16, 4, 100_000
 #: Bits of a set's parity sketch: each shingle flips one.
 PARITY = 1_024
+#: Texts are looked up by broadcast up to this many ids of 8 bytes, by a shuffle
+#: of the texts beyond it.
+BROADCAST_IDS = 1_000_000
+#: Sets of one list that a task takes together; a longer list is parted into
+#: blocks of that many, and each pair of blocks is a task's.
+LIST = 2_048
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -78,10 +84,17 @@ def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.array([r["g"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def _majority(grams: np.ndarray) -> int:
+    """The 64 majority bits of the shingles; 0 of none."""
+    ones = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view("<u8")[0])
+
+
 def prefixes(docs: DataFrame, words: int, least: Fraction, last: np.ndarray) -> DataFrame:
     """doc_id, copy (the text's hash), set, n (how many shingles), prefix (the
-    first n - ceil(least n) + 1 shingles in the order) and parity (for each of
-    PARITY bits, whether an odd number of shingles has it) for each row of docs."""
+    first n - ceil(least n) + 1 shingles in the order), parity (for each of PARITY
+    bits, whether an odd number of shingles has it) and fp (the SimHash of the
+    different shingles) for each row of docs."""
     by_value = np.argsort(last)
     ordered, rank = last[by_value], by_value + 1
 
@@ -97,11 +110,11 @@ def prefixes(docs: DataFrame, words: int, least: Fraction, last: np.ndarray) ->
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 grams = [shingles(t.as_py(), words) for t in some["_text"]]
-                columns = [some["doc_id"], some["copy"], _signed([_set_id(g) for g in grams]), pa.array([len(g) for g in grams], pa.int64()), _lists([prefix(g) for g in grams]), _parities(grams)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "set", "n", "prefix", "parity"])
+                columns = [some["doc_id"], some["copy"], _signed([_set_id(g) for g in grams]), pa.array([len(g) for g in grams], pa.int64()), _lists([prefix(g) for g in grams]), _parities(grams), _signed([_majority(g) for g in grams])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "set", "n", "prefix", "parity", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("copy"), text_or_empty().alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, copy long, set long, n long, prefix array<long>, parity array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, copy long, set long, n long, prefix array<long>, parity array<long>, fp long")
 
 
 def _possible(a: dict[str, Column], b: dict[str, Column], least: Fraction) -> Column:
@@ -111,6 +124,87 @@ def _possible(a: dict[str, Column], b: dict[str, Column], least: Fraction) -> Co
     return most * (least.numerator + least.denominator) >= need
 
 
+def _pairs_in(sets: np.ndarray, n: np.ndarray, at: np.ndarray, of: np.ndarray, parity: np.ndarray, least: Fraction) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of one list, the pairs that aren't connected yet and that sizes, places and
+    parities let be alike, a row against all behind it at a time."""
+    num, den, a, b = least.numerator, least.denominator, [], []
+    left = n - at
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero((of[i + 1 :] != of[i]) & (np.minimum(left[i + 1 :], left[i]) * (num + den) >= (n[i + 1 :] + n[i]) * num))
+        if len(j):
+            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            j = j[apart * (num + den) <= (n[j] + n[i]) * (den - num)]
+        if len(j):
+            a.append(np.full(len(j), sets[i]))
+            b.append(sets[j])
+    return a, b
+
+
+def _candidates(least: Fraction):
+    """Rows (list, set, n, at, of, parity), sorted by list, to pairs (a, b)."""
+    names = ["list", "set", "n", "at", "of", "parity"]
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        cols = [rows[c].to_numpy() for c in names[:5]]
+        parity = rows["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
+        starts = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [len(cols[0])]))
+        a, b = [], []
+        for x, y in zip(starts, starts[1:], strict=False):
+            more = _pairs_in(*(c[x:y] for c in cols[1:]), parity[x:y], least)
+            a += more[0]
+            b += more[1]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (a, b))
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).select(names)
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            if not rows.num_rows:
+                continue
+            # The last list may go on in the next batch.
+            last = rows["list"].to_numpy()
+            cut = int(np.searchsorted(last, last[-1]))
+            if cut:
+                yield work(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield work(held)
+
+    return run
+
+
+def unconnected(shared: DataFrame, up: DataFrame, prints: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of sets in one list that roots (node, root) don't connect and
+    that can be alike. Lists whose sets are all connected go; in the others sets
+    meet in arrays with their sketches, so that pairs which can't be alike, nearly
+    all in a dense group, are no rows."""
+    of_key = Window.partitionBy("key")
+    named = shared.join(up, shared["set"] == up["node"], "left").select("key", "set", "n", "at", F.coalesce("root", "set").alias("of"))
+    apart = materialize(named.withColumn("_low", F.min("of").over(of_key)).withColumn("_high", F.max("of").over(of_key)).filter("_low <> _high").drop("_low", "_high"), "apart")
+    sketches = prints.groupBy("set").agg(F.first("parity").alias("parity"))
+    hot = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > LIST).select("key", F.ceil(F.col("_m") / LIST).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int")
+    cells = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.greatest(b, own) * F.col("_blocks") + F.least(b, own)))
+    placed = apart.join(hot, "key", "left").withColumn("cell", F.explode(cells)).withColumn("list", F.when(F.col("cell") == 0, F.col("key")).otherwise(F.xxhash64("key", "cell")))
+    rows = placed.join(sketches, "set").select("list", "set", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "of", "parity")
+    return rows.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(least), "a long, b long").distinct()
+
+
+def hubs(shared: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of each list's sets with one of them: the set whose lists are
+    the longest, such as a text of which the others are copies."""
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
+    weight = shared.join(sizes, "key").groupBy("set").agg(F.sum("_m").alias("w"))
+    one = shared.join(weight, "set").select("key", F.struct("w", "set", "n", "at").alias("x"))
+    first = one.groupBy("key").agg(F.max("x").alias("y"))
+    x, y = ({c: F.col(f"{p}.{c}") for c in ("set", "n", "at")} for p in "xy")
+    met = one.join(first, "key").filter((x["set"] != y["set"]) & _possible(x, y, least))
+    return met.select(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard similarity is least or more.
     Two sets differ in at least as many shingles as their parities in bits, so
@@ -123,7 +217,9 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, l
     near = apart * (least.numerator + least.denominator) <= (F.col("_na") + F.col("_nb")) * (least.denominator - least.numerator)
     pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b"), "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
-    ids = prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = materialize(prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     # A doc_id may repeat with other texts; equal sets have equal shingles.
     grams = shingle_sets(texts, words).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("grams").alias("grams"))
@@ -133,49 +229,26 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, l
     return both.filter(shared * (least.numerator + least.denominator) >= (F.size("_ga") + F.size("_gb")) * least.numerator).select("a", "b")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """doc_id, copy (the text's hash) and component_id for each row of docs.
+def shared_postings(prints: DataFrame) -> DataFrame:
+    """(key, set, n, at): each set under the shingles of its prefix, of the
+    shingles that several sets have."""
+    posted = prints.select("set", "n", F.posexplode("prefix").alias("at", "key"))
+    of_key = Window.partitionBy("key")
+    several = posted.withColumn("_low", F.min("set").over(of_key)).withColumn("_high", F.max("set").over(of_key)).filter("_low <> _high")
+    return several.drop("_low", "_high").distinct()
+
 
-    Two texts are linked where the Jaccard similarity of their shingle sets is
-    least (above 0) or more: all such pairs, by prefix filtering. Two such sets
-    have their first common shingle, in any one order of all shingles, within
-    both prefixes; sets are listed under each shingle of their prefix, and the
-    sizes and that shingle's places bound what else they can share. Candidates
-    are verified on all their shingles.
+def alike(docs: DataFrame, prints: DataFrame, words: int, least: Fraction, candidates: DataFrame) -> DataFrame:
+    """Links (a, b) that connect sets as all pairs of a Jaccard similarity of least
+    or more do; candidates are pairs that are looked at first.
 
-    In each list all are first paired with one, and what these links connect
-    isn't paired again, so a dense group costs rows in proportion. component_id
-    is the smallest doc_id that links reach; null doc_ids give way to others.
-    Null, empty and wordless texts are one group.
+    By prefix filtering: two such sets have their first common shingle, in any one
+    order of all shingles, within both prefixes; sets are listed under each
+    shingle of their prefix, and sizes and that shingle's places bound what else
+    they can share. In each list all are first paired with one; pairs that links
+    connect by then are left out. Candidates are verified on all their shingles.
     """
-    least = Fraction(str(least))
-    prints = materialize(prefixes(docs, words, least, frequent(docs, words)), "prefixes")
-    posted = prints.select("set", "n", F.posexplode("prefix").alias("at", "key"))
-    of_key = Window.partitionBy("key")
-    shared = materialize(
-        posted.withColumn("_low", F.min("set").over(of_key)).withColumn("_high", F.max("set").over(of_key)).filter("_low <> _high").drop("_low", "_high").distinct(), "postings"
-    )
-    cols = lambda p: {c: F.col(f"{p}.{c}") for c in ("set", "n", "at")}
-    pair = lambda a, b: (F.least(a["set"], b["set"]).alias("a"), F.greatest(a["set"], b["set"]).alias("b"))
-    one = shared.select("key", F.struct("set", "n", "at").alias("x"))
-    first = one.groupBy("key").agg(F.min("x").alias("y"))
-    x, y = cols("x"), cols("y")
-    stars = one.join(first, "key").filter((x["set"] != y["set"]) & _possible(x, y, least)).select(*pair(x, y)).distinct()
-    links = materialize(verified(stars, prints, docs, words, least), "stars")
+    shared = materialize(shared_postings(prints), "postings")
+    links = materialize(verified(candidates.unionByName(hubs(shared, least)).distinct(), prints, docs, words, least), "near")
     up = materialize(roots(links), "roots")
-    # Lists whose sets aren't all connected yet.
-    named = shared.join(up, shared["set"] == up["node"], "left").select("key", F.struct("set", "n", "at").alias("x"), F.coalesce("root", "set").alias("of"))
-    apart = materialize(named.withColumn("_low", F.min("of").over(of_key)).withColumn("_high", F.max("of").over(of_key)).filter("_low <> _high").drop("_low", "_high"), "apart")
-    two = apart.select(F.col("key").alias("_key"), F.col("x").alias("y"), F.col("of").alias("_of"))
-    rest = apart.join(two, (F.col("key") == F.col("_key")) & (x["set"] < y["set"]) & (F.col("of") != F.col("_of")) & _possible(x, y, least)).select(*pair(x, y)).distinct()
-    more = verified(rest, prints, docs, words, least)
-    up = materialize(roots(links.unionByName(more)), "roots")
-    rooted = prints.join(up, prints["set"] == up["node"], "left").select("doc_id", "copy", F.coalesce("root", "set").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root").select("doc_id", "copy", "component_id")
-
-
-def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The rows of docs that stay: of each group, that of its smallest doc_id."""
-    kept = near_groups(docs, words, least).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("copy").alias("_copy")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (F.xxhash64(text_or_empty()) == kept["_copy"]), "left_semi")
+    return links.unionByName(verified(unconnected(shared, up, prints, least), prints, docs, words, least))

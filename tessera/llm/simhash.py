@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -10,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from . import shingle_join
+from .common import fresh_names, materialize, text_or_empty
 from .components import roots
 
 WORDS, DISTANCE, SEED = 4, 4, 42
+#: Fingerprints within DISTANCE share so many of their eight bytes at least.
+BYTES = 8 - DISTANCE
 #: Postings of one key that a task takes together; a longer list is parted into
 #: blocks of that many, and each pair of blocks is a task's.
 LIST = 4_096
@@ -62,6 +66,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs are within DISTANCE bits: the positions at which they share a
+    byte are tallied, and only pairs with BYTES of them or more are verified."""
+    apart = np.atleast_1d(x ^ y)
+    near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= BYTES
+    near[near] = np.bitwise_count(apart[near].view(np.uint64)) <= DISTANCE
+    return near
+
+
 def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
     """Links of a spanning forest of one list: from each fingerprint reached, its
     neighbours among those not reached yet, so a cluster costs a few sweeps."""
@@ -89,7 +102,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lag in range(1, min(16, int(sizes.max(initial=1)))):
             same = (lists[lag:] == lists[:-lag]) & small[lag:]
             x, y = fps[lag:][same], fps[:-lag][same]
-            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= DISTANCE) & (x != y)
+            near = _alike(x, y) & (x != y)
             a.append(x[near])
             b.append(y[near])
         for i in np.flatnonzero(sizes > 16):
@@ -152,7 +165,38 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rooted.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component, that of its smallest doc_id."""
-    kept = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, copy (the text's hash) and component_id for each row of docs.
+
+    Two texts are linked where the Jaccard similarity of their sets of word
+    shingles is least (above 0) or more. First by SimHash: texts whose
+    fingerprints differ in at most DISTANCE bits, by the byte-position index, are
+    candidates, verified on all their shingles. At 0.8 about ten of 64 bits differ
+    and no byte of the eight need agree, so no index of them finds all such pairs:
+    those that are left come from an exact join on the shingles (see
+    shingle_join.alike), which leaves out what is connected already.
+
+    component_id is the smallest doc_id that links reach; null doc_ids give way to
+    others. Null, empty and wordless texts are one group. Repeated rows are each
+    returned, other columns are ignored, an empty table gives no rows.
+    """
+    least = Fraction(str(least))
+    prints = materialize(shingle_join.prefixes(docs, words, least, shingle_join.frequent(docs, words)), "prints")
+    # One set stands for all of a fingerprint.
+    named = prints.groupBy("fp").agg(F.min("set").alias("rep"))
+    same = prints.join(named, "fp").filter("set <> rep").select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b"))
+    other = lambda c: named.select(F.col("fp").alias(c), F.col("rep").alias(f"_{c}"))
+    near = fingerprint_links(named.select("fp")).join(other("a"), "a").join(other("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    up = materialize(roots(shingle_join.alike(docs, prints, words, least, same.unionByName(near))), "roots")
+    rooted = materialize(prints.join(up, prints["set"] == up["node"], "left").select("doc_id", "copy", F.coalesce("root", "set").alias("root")), "rooted")
+    # Hot groups combine before the shuffle, and the join can split them.
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(names, "root").select("doc_id", "copy", "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with all columns: of each group of near_copies,
+    that of its smallest doc_id. Rows that repeat that doc_id and text all stay."""
+    kept = near_copies(docs, words, least).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("copy").alias("_copy")).distinct()
+    texts = fresh_names(docs, kept)
+    return docs.join(texts, docs["doc_id"].eqNullSafe(texts[texts.columns[0]]) & (F.xxhash64(text_or_empty()) == texts[texts.columns[1]]), "left_semi")
