@@ -12,7 +12,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact_dedup, html_text, language_id, line_dedup, minhash, mixing, piece_codec, pieces, queries, shingle_join, simhash, suffix_dedup, token_files, wavelet
+from tessera.llm import components, exact_dedup, html_text, language_id, line_dedup, minhash, mixing, piece_codec, pieces, queries, ragged, shingle_join, simhash, suffix_dedup, token_files, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key long, fp long, size string, line string, target string, root string, list string"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -280,11 +280,11 @@ def test_near_stage_links_all_texts_of_jaccard_08(spark, sf_dir, documents, text
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in shingle_join.near_groups(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert got == {d: root(d) for d in sets}
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, df, sf_dir).collect()) == sorted({root(d) for d in sets})
-    assert Counter(r["doc_id"] for r in shingle_join.near_groups(messy).collect()) == Counter(r[0] for r in messy_rows())
-    assert shingle_join.near_dedup(messy).columns == messy.columns and shingle_join.near_groups(empty).collect() == []
+    assert Counter(r["doc_id"] for r in simhash.near_copies(messy).collect()) == Counter(r[0] for r in messy_rows())
+    assert simhash.near_dedup(messy).columns == messy.columns and simhash.near_copies(empty).collect() == []
 
 
 PAGE = """<html><head><title>T</title><script>a < b</script></head><body class="nav-open"><header><h1>Site</h1></header><nav><a href=x>m</a></nav>
@@ -293,6 +293,68 @@ PAGE = """<html><head><title>T</title><script>a < b</script></head><body class="
 <aside>side</aside><div id="comments"><p>a, b, c, d, e, f, g, h, i</p></div><footer>&copy;</footer><p"""
 
 
+def test_near_copies_around_a_hub(spark, monkeypatch):
+    """A dense group, of which many are alike the original alone, in long lists."""
+    monkeypatch.setattr(shingle_join, "LIST", 16)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(n):
+        out = list(base)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = f"x{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    rows = [(i, edited(i % 7)) for i in range(140)] + [(1000 + i, " ".join(f"v{rng.randrange(50)}" for _ in range(60))) for i in range(30)]
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for d, t in rows}
+    want = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in combinations(sets, 2):
+            if want[a] != want[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {d: low if x == high else x for d, x in want.items()}
+                changed = True
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 40
+
+
+def test_names_that_operators_use_themselves(spark):
+    names = "score lang_pred _removed _doc _copies _key removed doc copy row key copies more sum n h slot before _kept _copy set root _text lines".split()
+    rows = [(i, f"the cat sat on a mat number {i} of all\nthe same line in each of the texts here", "en", "s", *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    for f in (exact_dedup.exact_dedup, line_dedup.dedup_lines, simhash.near_dedup, mixing.mixed_documents, language_id.spoken):
+        got = f(df)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert found and all(r[c] == f"{c}{r['doc_id']}" for r in found for c in names)
+
+
+def test_edits_by_the_automaton(spark):
+    rng = random.Random(21)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    word = lambda n: "".join(rng.choice("ab😀é") for _ in range(n))
+    pairs = [("", ""), ("", "ab"), ("abc", ""), ("a" * 100, "a" * 98)]
+    for _ in range(1500):
+        a = word(rng.randint(0, 30))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = word(rng.randint(0, 1))
+        pairs.append((a, "".join(b)))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within(F.col("a"), F.col("b")).alias("near")).collect()
+    assert all(r["near"] == (distance(r["a"], r["b"]) <= line_dedup.EDITS) for r in got) and len({r["near"] for r in got}) == 2
+
+
 def test_html():
     assert html_text.main_text(PAGE) == "Headé\n\nFirst, of some, length & more bold text.\n\nSecond line"
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "plain", "<nav>x</nav>")] == ["", "", "<", "", "plain", ""]
@@ -349,6 +411,49 @@ def test_language_accuracy_and_parse(spark):
     assert parser.predict([None, "", "12 !", "the cat"])[0] == ["und", "und", "und", "a"]
 
 
+def test_language_of_long_texts_in_lanes(spark, texts, monkeypatch):
+    references = {"a": texts[0][1][:3000] or "a b", "b": texts[7][1][:3000] or "c d", "c": texts[20][1][:3000] or "e f"}
+    given = [t[:3000] for t in sorted((t for _, t in texts), key=len)[-6:]] + ["", "x", "ab " * 700, texts[0][1][:2500]]
+    whole = None
+    for lane in (1 << 30, 1024, 50, 7):
+        monkeypatch.setattr(language_id, "LANE", lane)
+        counts = language_id.CrossParser(references).phrases(given)[0].tolist()
+        whole = whole or counts
+        assert counts == whole
+
+
+def test_language_predictions_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    references = language_id.sample(docs)
+    parser = language_id.CrossParser(references)
+    whole = {k: "".join(map(chr, parser.symbols(t).tolist())) for k, t in references.items()}
+
+    def phrases(text, known):
+        n = i = 0
+        while i < len(text):
+            k = 1
+            while i + k < len(text) and text[i : i + k + 1] in known:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+
+    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    checked = 0
+    for r in docs.collect():
+        text = (r["text"] or "")
+        if not any(c.isalpha() for c in text):
+            assert rows[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        if len(text) > 1500:
+            continue
+        symbols = "".join(map(chr, parser.symbols(text).tolist()))
+        rates = [(phrases(symbols, whole[k]) * np.log2(max(2, len(whole[k]))), k) for k in sorted(references)]
+        best = min(x for x, _ in rates)
+        assert rows[r["doc_id"]]["lang_pred"] in [k for x, k in rates if x <= best * (1 + 1e-12)]
+        checked += 1
+    assert checked > 50
+
+
 def test_language_of_large_alphabets_and_many_names(spark, monkeypatch):
     rng = random.Random(8)
     words = lambda low, n: [chr(low + rng.randrange(n)) + chr(low + rng.randrange(n)) for _ in range(300)]
@@ -451,12 +556,40 @@ def test_pieces_match_the_library(spark, documents):
     for _ in range(3000):
         text = "".join(rng.choice("aeinrstl.,é\n0▁") for _ in range(rng.randint(1, 25)))
         assert all(model.word(w) == model.merge(w) for w in pieces.WORDS.findall(text))
-    for chunk in (300, piece_codec.CHUNK):
-        rows = piece_codec.encode_and_decode(documents, PIECES, chunk).join(documents.select("doc_id", "text"), "doc_id").collect()
+    for chunk, fan in ((300, 3), (piece_codec.CHUNK, piece_codec.FAN)):
+        rows = piece_codec.encode_and_decode(documents, PIECES, chunk, fan).join(documents.select("doc_id", "text"), "doc_id").collect()
         for r in rows:
             assert r["ids"] == lib.encode(r["text"]) and r["text_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
 
+def test_neighbours_as_by_merges():
+    model, rng = pieces.PieceModel(PIECES), random.Random(5)
+    names = list(model.ids)
+    for _ in range(4000):
+        left, right = rng.choice(names), rng.choice(names)
+        if rng.random() < 0.5 and len(left + right) > 1:
+            cut = rng.randint(1, len(left + right) - 1)
+            left, right = (left + right)[:cut], (left + right)[cut:]
+        if model.known(left) and model.known(right) and not (left[-1] != pieces.SPACE and right[0] == pieces.SPACE):
+            assert model.fits(left, right) == (model.merge(left + right) == [left, right])
+
+
+def test_word_table_is_bounded():
+    calls = []
+
+    def ids(word):
+        calls.append(word)
+        return [len(word), ord(word[0])]
+
+    table = ragged.WordIds(ids, limit=50)
+    words = [[f"{'x' * (i % 7)}{i * j % 90}" for i in range(100)] for j in range(30)]
+    for _ in range(2):
+        flat, ends = table.texts(words)
+        assert flat.tolist() == [x for t in words for w in t for x in (len(w), ord(w[0]))] and ends.tolist() == [200 * (i + 1) for i in range(30)]
+        assert len(table) <= 50 and len(table.older) <= 50
+    assert table.texts([])[0].size == 0
+
+
 def test_mix_reaches_its_targets(messy, documents):
     got = mixing.mix(documents).collect()
     by = {}
@@ -480,15 +613,42 @@ def test_mixed_documents_deal_repeated_rows(spark):
         assert got == want
 
 
+def test_stages_on_messy_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([r[:5] for r in messy_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+        rows = stage(spark, rows, sf_dir)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert rows.columns == docs.columns
+            rows = spark.createDataFrame(rows.collect(), docs.schema)
+            assert rows.filter("text is null").count() == 0, name
+    assert rows.count() > 0
+
+
 def test_pipeline(spark, sf_dir, documents):
     import corpus_pipeline
 
     docs, rows = documents, {r["doc_id"]: r for r in documents.collect()}
-    counts = [docs.count()]
+    counts, after = [docs.count()], {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), documents.schema)
         assert docs.columns == documents.columns, name
         counts.append(docs.count())
+        after[name] = docs.collect()
+    # Each stage's rows, from plain versions of what it does.
+    letters = {d for d, r in rows.items() if any(c.isalpha() for c in r["text"] or "")}
+    assert {r["doc_id"] for r in after["language_id"]} == letters
+    gone = near_lines([(r["doc_id"], r["text"]) for r in after["language_id"]])
+    left = {r["doc_id"]: "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in set(gone[r["doc_id"]][0])) for r in after["language_id"]}
+    assert {r["doc_id"]: r["text"] for r in after["line_dedup"]} == {d: t for d, t in left.items() if t.strip(" \t\n\v\f\r")}
+    assert all(r["n_chars"] == len(r["text"]) for r in after["line_dedup"])
+    assert {r["doc_id"] for r in after["simhash_near_dedup"]} <= {r["doc_id"] for r in after["line_dedup"]}
+    copies = Counter(r["doc_id"] for r in after["mixing"])
+    taken = spark.createDataFrame(after["simhash_near_dedup"], documents.schema)
+    assert copies == {r["doc_id"]: r["copies"] for r in mixing.mix(taken).collect() if r["copies"]}
     assert counts[1] >= 0.95 * counts[0] and counts[3] <= counts[2] <= counts[1]
     kept = {r["doc_id"] for r in docs.collect()}
     assert kept <= set(rows)
