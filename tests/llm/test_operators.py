@@ -87,6 +87,38 @@ def test_minhash_estimates_and_equal_texts(documents, texts):
     assert max(map(len, prints.values())) == 1
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash by its definition: bins, least hashes, walks, four bits."""
+    import xxhash
+
+    words = SPACES.sub(" ", text.lower()).strip(" ").split(" ")
+    if words == [""]:
+        return ""
+    rng = random.Random(minhash.BINS)
+    starts = [rng.randrange(minhash.BINS) for _ in range(minhash.BINS)]
+    steps = [rng.randrange(minhash.BINS) | 1 for _ in range(minhash.BINS)]
+    least = {}
+    for i in range(max(1, len(words) - minhash.SHINGLE + 1)):
+        h = 42
+        for w in words[i : i + minhash.SHINGLE]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        h -= (h >> 63) << 64
+        b = (h >> 56) + 128
+        least[b] = min(least.get(b, h), h)
+    out = []
+    for b in range(minhash.BINS):
+        j, at = 0, b
+        while at not in least:
+            at, j = (starts[b] + steps[b] * j) % minhash.BINS, j + 1
+        out.append(least[at] & 15)
+    return "".join(f"{x:x}" for x in out)
+
+
+def test_minhash_by_its_definition(spark, documents, texts):
+    got = {r["doc_id"]: r["f"] for r in minhash.fingerprints(documents).select("doc_id", minhash.as_hex(F.col("fingerprint")).alias("f")).collect()}
+    assert got == {d: plain_fingerprint(t) for d, t in texts}
+
+
 def near_lines(rows):
     """Brute force: positions that go and numbers of links, by document."""
 
