@@ -75,6 +75,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import build, search
+
+    return search(build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .late_rows import late_overwrite, with_copies
+
+    sales = table(spark, sf_dir, "sales")
+    return late_overwrite(with_copies(sales), until="2024-03-01", per_file=1 + sales.count() // 900)
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import report
 
@@ -86,6 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, mixing
+    from . import exact_dedup, lexical, mixing
 
-    return {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_ranked_search": lexical.ORACLE_SQL}
