@@ -19,21 +19,23 @@ TYPE_KEYWORDS = {
     "reference": (2, ("documentation", "docs", "reference", "manual", "spec", "specification", "wiki", "readme", "guide", "link", "url", "http")),
 }
 
-# Technology names; the lower-cased name is an alias of each.
-TECH_NAMES = (
-    "GCP", "AWS", "Azure", "Kubernetes", "EKS", "GKE", "AKS", "Terraform", "Docker", "Docker Compose", "PostgreSQL", "MySQL", "MongoDB", "Redis",
-    "SQLite", "SQL", "NoSQL", "Kafka", "ClickHouse", "Elasticsearch", "Qdrant", "ChromaDB", "Pinecone", "HNSW", "FTS5", "VectorDB", "Go", "Python",
-    "Rust", "TypeScript", "JavaScript", "Node.js", "Java", "C++", "C#", "PHP", "Ruby", "Bash", "Shell", "DeepSeek", "OpenAI", "Anthropic", "Claude",
-    "Gemini", "GPT", "Llama", "Ollama", "MCP", "LangChain", "LangGraph", "CrewAI", "n8n", "Dify", "RAG", "GraphRAG", "Embeddings", "Tokenizer",
-    "GitHub", "GitLab", "Bitbucket", "Jenkins", "Notion", "Slack", "Jira", "Confluence", "Prometheus", "Grafana", "Datadog", "Streamlit", "FastAPI",
-)
-# Other aliases and their names.
-TECH_ALIASES = {
-    "google cloud": "GCP", "google cloud platform": "GCP", "amazon web services": "AWS", "microsoft azure": "Azure", "k8s": "Kubernetes",
-    "postgres": "PostgreSQL", "golang": "Go", "nodejs": "Node.js", "bedrock": "AWS Bedrock", "amazon bedrock": "AWS Bedrock",
-    "sonnet": "Claude Sonnet", "model context protocol": "MCP", "embedding": "Embeddings", "openwebui": "Open WebUI",
+# Names and aliases of technologies, in lower case, and their canonical names.
+TECH = {
+    "gcp": "GCP", "google cloud": "GCP", "google cloud platform": "GCP", "aws": "AWS", "amazon web services": "AWS", "azure": "Azure",
+    "microsoft azure": "Azure", "kubernetes": "Kubernetes", "k8s": "Kubernetes", "eks": "EKS", "gke": "GKE", "aks": "AKS", "terraform": "Terraform",
+    "docker": "Docker", "docker compose": "Docker Compose", "postgresql": "PostgreSQL", "postgres": "PostgreSQL", "mysql": "MySQL",
+    "mongodb": "MongoDB", "redis": "Redis", "sqlite": "SQLite", "sql": "SQL", "nosql": "NoSQL", "kafka": "Kafka", "clickhouse": "ClickHouse",
+    "elasticsearch": "Elasticsearch", "qdrant": "Qdrant", "chromadb": "ChromaDB", "pinecone": "Pinecone", "hnsw": "HNSW", "fts5": "FTS5",
+    "vectordb": "VectorDB", "go": "Go", "golang": "Go", "python": "Python", "rust": "Rust", "typescript": "TypeScript", "javascript": "JavaScript",
+    "node.js": "Node.js", "nodejs": "Node.js", "java": "Java", "c++": "C++", "c#": "C#", "php": "PHP", "ruby": "Ruby", "bash": "Bash",
+    "shell": "Shell", "deepseek": "DeepSeek", "openai": "OpenAI", "anthropic": "Anthropic", "claude": "Claude", "gemini": "Gemini", "gpt": "GPT",
+    "llama": "Llama", "ollama": "Ollama", "mcp": "MCP", "model context protocol": "MCP", "langchain": "LangChain", "langgraph": "LangGraph",
+    "crewai": "CrewAI", "n8n": "n8n", "dify": "Dify", "rag": "RAG", "graphrag": "GraphRAG", "embeddings": "Embeddings", "embedding": "Embeddings",
+    "tokenizer": "Tokenizer", "github": "GitHub", "gitlab": "GitLab", "bitbucket": "Bitbucket", "jenkins": "Jenkins", "notion": "Notion",
+    "slack": "Slack", "jira": "Jira", "confluence": "Confluence", "prometheus": "Prometheus", "grafana": "Grafana", "datadog": "Datadog",
+    "streamlit": "Streamlit", "fastapi": "FastAPI", "bedrock": "AWS Bedrock", "amazon bedrock": "AWS Bedrock", "sonnet": "Claude Sonnet",
+    "openwebui": "Open WebUI",
 }
-TECH = {n.lower(): n for n in TECH_NAMES} | TECH_ALIASES
 
 # Entity patterns by kind, in order.
 ENTITY_PATTERNS = [

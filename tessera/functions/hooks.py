@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import AccumulatorParam
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scoring import normalise
@@ -16,19 +17,50 @@ from .scoring import normalise
 Vectors = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 
 
+class _First(AccumulatorParam):
+    """(how many, the first message)."""
+
+    def zero(self, value: tuple) -> tuple:
+        return 0, ""
+
+    def addInPlace(self, a: tuple, b: tuple) -> tuple:  # noqa: N802 - Spark's name
+        return a[0] + b[0], a[1] or b[1]
+
+
+class Errors:
+    """Errors of a hook in workers, once the job that ran it is over. A task that is
+    run again counts its errors again."""
+
+    def __init__(self, spark: SparkSession):
+        self._seen = spark.sparkContext.accumulator((0, ""), _First())
+
+    def add(self, error: Exception) -> None:
+        self._seen.add((1, f"{type(error).__name__}: {error}"))
+
+    @property
+    def count(self) -> int:
+        return self._seen.value[0]
+
+    @property
+    def first(self) -> str:
+        return self._seen.value[1]
+
+
 @dataclass(frozen=True)
 class Embedder:
     """run gives a vector, or none, for each of some texts; it runs in workers. An
-    error is no vector for all of them. available tells whether to try at all."""
+    error is no vector for all of them; Errors, if given, counts them and keeps the
+    first message. available tells whether to try at all."""
 
     name: str
     dims: int
     run: Vectors
     available: Callable[[], bool] = lambda: True
+    errors: Errors | None = None
 
     def embed(self, rows: DataFrame) -> DataFrame:
         """(id, vec) of (id, content); vec is null where there is none."""
-        run = self.run
+        run, errors = self.run, self.errors
 
         def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -36,8 +68,10 @@ class Embedder:
                     some = part.iloc[at : at + 256]
                     try:
                         vecs = [None if v is None else [float(x) for x in v] for v in run([t or "" for t in some["content"]])]
-                    except Exception:  # noqa: BLE001 - a failing model is like an absent one
+                    except Exception as e:  # noqa: BLE001 - a failing model is like an absent one
                         vecs = [None] * len(some)
+                        if errors is not None:
+                            errors.add(e)
                     yield pd.DataFrame({"id": some["id"], "vec": pd.Series(vecs, index=some.index, dtype=object)})
 
         return rows.select("id", "content").mapInPandas(batches, f"id {dict(rows.dtypes)['id']}, vec array<float>")
@@ -45,7 +79,9 @@ class Embedder:
     def one(self, text: str) -> list[float] | None:
         try:
             v = self.run([text])[0]
-        except Exception:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001
+            if self.errors is not None:
+                self.errors.add(e)
             return None
         return None if v is None else [float(x) for x in v]
 

@@ -166,10 +166,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def terms(text: str) -> list[str]:
-    """The stemmed words of a query's text, as words() and stems() have them."""
+def plain_terms(text: str) -> list[str]:
+    """The words of a query's text, as words() has them."""
     folded = text.lower().translate(str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :]))
-    return [stem(w) for w in re.findall(r"[^\W_]+", folded)]
+    return re.findall(r"[^\W_]+", folded)
+
+
+def terms(text: str) -> list[str]:
+    """The stemmed words of a query's text, as a stemmed index has them."""
+    return [stem(w) for w in plain_terms(text)]
 
 
 def fields(text: Column) -> Column:
@@ -200,6 +205,13 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.octet_length(text) > n, F.concat(first_bytes(text, n - 3), F.lit("..."))).otherwise(text)
 
 
+def content_id(prefix: str, *parts: Column) -> Column:
+    """prefix and 128 bits of a hash of some texts: of their lengths too, so that no
+    two lists of texts are one where they are joined, and nulls are not empty."""
+    told = [F.concat(F.coalesce(F.octet_length(p).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(p, F.lit(""))) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(*told), 256), 1, 32))
+
+
 def source_type(name: Column) -> Column:
     # File extension and source type.
     kinds = {"txt": "text", "md": "markdown", "json": "json", "csv": "csv"}

@@ -90,7 +90,7 @@ def ingested(library: Library, files: DataFrame, now: Column, embedder: H.Embedd
     content, so a repeated file is one document."""
     library = with_collections(library, files.select(F.col("collection").alias("name")).distinct(), now)
     meta = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in files.columns else F.lit("{}")
-    key = F.concat(F.lit("rag_doc_"), F.substring(F.sha2(F.concat_ws("|", "collection", "filename", F.coalesce("content", F.lit(""))), 256), 1, 16))
+    key = X.content_id("rag_doc_", F.col("collection"), F.col("filename"), F.coalesce("content", F.lit("")))
     rows = files.select(key.alias("document_id"), F.col("collection").alias("name"), "filename", F.coalesce("content", F.lit("")).alias("text"), meta.alias("metadata")).dropDuplicates(["document_id"])
     rows = rows.join(library.documents.select("document_id"), "document_id", "left_anti").join(library.collections.select("name", "collection_id", "chunk_size"), "name")
     cut = chunks(rows.select(F.col("document_id").alias("doc_id"), "text", "chunk_size"), F.col("chunk_size"))
@@ -315,7 +315,7 @@ def compacted(
         "conv_id", "messages_in", "messages_out", "tokens_in", "tokens_out", F.round(cut, 6).alias("reduction"), F.coalesce("segments", F.lit(0)).alias("segments"),
         F.when(F.col("segments").isNull(), 0).otherwise(F.coalesce("_pruned", F.lit(0))).cast("long").alias("pruned"), F.col("segments").isNull().alias("noop"),
     )
-    ident = F.concat(F.lit("summary_"), F.substring(F.sha2(F.concat_ws("|", "session", "text"), 256), 1, 16))
+    ident = X.content_id("summary_", F.col("session"), F.col("text"))
     memories = named.select(
         ident.alias("id"), F.col("text").alias("content"), F.lit("context").alias("mem_type"), F.lit(namespace).alias("namespace"), F.lit(0.4).alias("importance"),
         F.lit(0).cast("long").alias("access_count"), F.lit(False).alias("pinned"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("superseded_at"), F.lit(0).cast("long").alias("edge_count"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -15,6 +19,30 @@ from ..sources.tables import ranked, written
 BLOCK = 512
 
 
+#: Steps of a folder of the adjacency, on average.
+FOLDER = 2_000_000
+
+
+@dataclass(frozen=True)
+class Steps:
+    """An adjacency (src, dst, ...) in folders by a hash of src, written once."""
+
+    rows: DataFrame
+    folders: int
+
+    def of(self, front: DataFrame, column: str = "entity_id") -> DataFrame:
+        """The steps out of a frontier's folders; the others aren't listed or read.
+        What the driver gets is the numbers of folders."""
+        if self.folders == 1:
+            return self.rows
+        wanted = [r[0] for r in front.select(_folder(F.col(column), self.folders)).distinct().collect()]
+        return self.rows.filter(F.col("folder").isin(sorted(wanted)))
+
+
+def _folder(node: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(folders)).cast("int").alias("folder")
+
+
 @dataclass
 class Graph:
     """nodes (entity_id, name, category, access_count), membership (memory_id,
@@ -25,9 +53,9 @@ class Graph:
     membership: DataFrame
     edges: DataFrame
     pairs: DataFrame | None = None
-    _steps: DataFrame | None = field(default=None, repr=False)
+    _steps: Steps | None = field(default=None, repr=False)
 
-    def steps(self) -> DataFrame:
+    def steps(self) -> Steps:
         """The edges in either direction, written once for all walks."""
         if self._steps is None:
             self._steps = adjacency(self.edges)
@@ -44,13 +72,21 @@ def empty_graph(spark) -> Graph:
 
 def pair_counts(membership: DataFrame) -> DataFrame:
     """(source_id, target_id, count): memories that two entities share. A memory's
-    entities meet in blocks, so that one of very many is no single task's."""
-    member = membership.select("memory_id", "entity_id").distinct()
-    sizes = member.groupBy("memory_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).filter("_blocks > 1")
-    rows = member.join(sizes, "memory_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    a = rows.select("memory_id", F.col("entity_id").alias("source_id"), F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int").alias("_block"))
-    b = rows.select("memory_id", F.col("entity_id").alias("target_id"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    return a.join(b, ["memory_id", "_block"]).filter("source_id < target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("count"))
+    entities are paired within its row; those of a memory that has more than a BLOCK,
+    as a count before tells, meet in blocks, so that it is no single task's."""
+    member = membership.select("memory_id", "entity_id")
+    large = written(member.groupBy("memory_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).filter("_blocks > 1"), "large")
+    some = bool(large.take(1))
+    small = member.join(large, "memory_id", "left_anti") if some else member
+    own = small.groupBy("memory_id").agg(F.array_sort(F.collect_set("entity_id")).alias("_e")).filter(F.size("_e") > 1)
+    first = own.select("_e", F.posexplode("_e").alias("_at", "source_id"))
+    pairs = first.select("source_id", F.explode(F.slice("_e", F.col("_at") + 2, F.size("_e"))).alias("target_id"))
+    if some:
+        rows = member.join(large, "memory_id").distinct()
+        a = rows.select("memory_id", F.col("entity_id").alias("source_id"), F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int").alias("_block"))
+        b = rows.select("memory_id", F.col("entity_id").alias("target_id"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+        pairs = pairs.unionByName(a.join(b, ["memory_id", "_block"]).filter("source_id < target_id").select("source_id", "target_id"))
+    return pairs.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("count"))
 
 
 def related_edges(pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -79,25 +115,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).unionByName(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))).distinct()
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """both_ways as a table in the order of src: a small frontier's hop reads the
-    row groups of its nodes only."""
-    return written(both_ways(edges).sortWithinPartitions("src"), "steps")
+def adjacency(edges: DataFrame, folder: int = FOLDER) -> Steps:
+    """both_ways as a table in folders of about so many steps."""
+    return stepped(both_ways(edges), folder)
+
 
+def stepped(steps: DataFrame, folder: int = FOLDER) -> Steps:
+    """steps (src, dst, ...) as an adjacency in folders; one of very many steps from
+    one node is several tasks'."""
+    folders = max(1, math.ceil(steps.count() / folder))
+    rows = steps.withColumn("folder", _folder(F.col("src"), folders)).repartition("folder", F.pmod(F.xxhash64("dst"), F.lit(4))).sortWithinPartitions("folder", "src")
+    return Steps(written(rows, "steps", "folder"), folders)
 
-def hops(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+
+def hops(seeds: DataFrame, steps: Steps, depth: int) -> DataFrame:
     """(entity_id, hop) of entities within depth of seeds, at their least hop, over
-    an adjacency."""
+    an adjacency. A hop reads the folders of its frontier."""
     seen = seeds.select("entity_id").distinct().withColumn("hop", F.lit(0))
     front = seen = written(seen, "hops")
     for hop in range(1, depth + 1):
-        front = front.join(steps, front["entity_id"] == steps["src"]).select(F.col("dst").alias("entity_id")).distinct().join(seen.select("entity_id"), "entity_id", "left_anti").withColumn("hop", F.lit(hop))
+        own = steps.of(front)
+        front = front.join(own, front["entity_id"] == own["src"]).select(F.col("dst").alias("entity_id")).distinct().join(seen.select("entity_id"), "entity_id", "left_anti").withColumn("hop", F.lit(hop))
         front = written(front, "hops")
         seen = seen.unionByName(front)
     return seen
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, membership: DataFrame, depth: int = 2, limit: int | None = 10, nodes: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, membership: DataFrame, depth: int = 2, limit: int | None = 10, nodes: DataFrame | None = None, steps: Steps | None = None) -> DataFrame:
     """(memory_id, score, path_length): each entity reached gives its memories
     weight * 0.5^hop / (hop + 1). With nodes also entity, the name of the entity,
     first of equals, over which the memory is nearest."""
@@ -119,6 +163,155 @@ def seeds_in_text(nodes: DataFrame, query: str, n: int = 3) -> DataFrame:
     return nodes.filter(hit).orderBy(F.desc("access_count"), "entity_id").limit(n).select("entity_id")
 
 
+#: Bits of the table that tells which beginnings names have.
+BITS = 20
+#: Lengths of the beginnings that names are looked up by, in bytes.
+BEGINNINGS = (8, 4, 3)
+
+
+def _spread(values: np.ndarray) -> np.ndarray:
+    """Places in the table of bits, for beginnings as numbers."""
+    return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
+def _begins(raw: np.ndarray, size: int) -> np.ndarray:
+    """For each place of some bytes the next `size` of them as a number."""
+    n = max(0, len(raw) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out |= raw[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(size, begin) of names (name)."""
+    for batch in batches:
+        sizes, begins = [], []
+        for name in batch.column(0).cast(pa.binary()).to_pylist():
+            size = next(s for s in BEGINNINGS if len(name) >= s)
+            sizes.append(size)
+            begins.append(int.from_bytes(name[:size], "little", signed=False) - (1 << 64) * (size == 8 and name[7] > 127))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(begins, pa.int64())], names=["name", "size", "begin"])
+
+
+def _found_beginnings(bits: np.ndarray, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1).cast(pa.large_string()).cast(pa.large_binary()), strict=True):
+                raw = np.frombuffer(text.as_py() or b"", np.uint8)
+                for size in sizes:
+                    own = np.concatenate([np.unique(part[bits[_spread(part)]]) for at in range(0, len(raw), 1 << 20) if len(part := _begins(raw[at : at + (1 << 20) + size - 1], size))] or [np.zeros(0, np.uint64)])
+                    own = np.unique(own).view(np.int64)
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), batch.column(0).type), pa.array([size] * len(own), pa.int32()), pa.array(own)], names=["id", "size", "begin"])
+
+    return run
+
+
+def names_in_texts(names: DataFrame, texts: DataFrame, least: int = 3) -> DataFrame:
+    """(id, entity_id): the names (entity_id, name), of so many bytes at least (3 or
+    more), that stand anywhere in texts (id, text), without regard to case.
+
+    A name is known by its first eight bytes, or four or three. A small table of bits
+    tells a text's places at which some name may begin; what stands there meets the
+    names in a join, and the few pairs left are verified in the text. So neither the
+    number of names nor that of texts is bounded, and no name is tried on a text that
+    hasn't its beginning. Texts with ids of their own, each once.
+    """
+    spark = texts.sparkSession
+    kind = texts.schema["id"].dataType.simpleString()
+    low = names.select("entity_id", F.lower("name").alias("name")).filter(F.octet_length("name") >= max(3, least)).distinct()
+    keyed = written(low.select("name").distinct().mapInArrow(_beginnings, "name string, size int, begin long"), "beginnings")
+    told = keyed.select("size", "begin").distinct()
+    spread = told.mapInArrow(_bits_of, "size int, bit int").distinct().collect()  # at most 3 * 2^BITS
+    if not spread:
+        return spark.createDataFrame([], f"id {kind}, entity_id {names.schema['entity_id'].dataType.simpleString()}")
+    bits = np.zeros(1 << BITS, bool)
+    bits[[r["bit"] for r in spread]] = True
+    rows = texts.select("id", F.lower("text").alias("text"))
+    met = rows.mapInArrow(_found_beginnings(bits, sorted({r["size"] for r in spread})), f"id {kind}, size int, begin long")
+    pairs = met.join(keyed, ["size", "begin"]).select("id", "name")
+    held = pairs.join(rows, "id").filter(F.contains("text", "name")).select("id", "name")
+    return held.join(low, "name").select("id", "entity_id").distinct()
+
+
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = _spread(batch["begin"].to_numpy().view(np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch["size"], pa.array(bits)], names=["size", "bit"])
+
+
+def seeds_in_texts(nodes: DataFrame, texts: DataFrame, n: int = 3) -> DataFrame:
+    """(id, entity_id): for each of many texts what seeds_in_text finds."""
+    met = names_in_texts(nodes, texts).join(nodes.select("entity_id", "access_count"), "entity_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("access_count"), "entity_id"))
+    return met.withColumn("_n", rank).filter(F.col("_n") <= n).select("id", "entity_id")
+
+
+def shortest_paths(pairs: DataFrame, steps: Steps, depth: int = 4) -> DataFrame:
+    """(source, target, hop, `from`, `to`): for each pair (source, target) the
+    shortest path of at most depth steps, of several the one whose nodes come first
+    in order; no rows where there is none, or where both are the same.
+
+    The search goes on from that end of all pairs whose frontier is smaller, and keeps
+    for each node found the distance alone: levels are tables of (pair, node). When
+    ends meet, the steps between levels are read once more, from the meeting nodes
+    outwards, and a path is chosen step by step.
+    """
+    asked = written(pairs.select("source", "target").distinct().filter("source <> target").withColumn("pair", F.xxhash64("source", "target")), "asked")
+    sides = {s: [written(asked.select("pair", F.col(s).alias("node")), s)] for s in ("source", "target")}
+    left, met = asked.select("pair"), None
+    while len(sides["source"]) + len(sides["target"]) - 2 < depth:
+        sizes = {s: sides[s][-1].join(left, "pair", "left_semi").count() for s in sides}
+        if not all(sizes.values()):
+            break
+        side = min(sizes, key=sizes.get)
+        other = "target" if side == "source" else "source"
+        front = written(sides[side][-1].join(left, "pair", "left_semi"), "front")
+        own = steps.of(front, "node")
+        reached = front.join(own, front["node"] == own["src"]).select("pair", F.col("dst").alias("node")).distinct()
+        for level in sides[side]:
+            reached = reached.join(level, ["pair", "node"], "left_anti")
+        sides[side].append(written(reached, side))
+        # Levels of the other end overlap in its last one first.
+        hit = sides[side][-1].join(sides[other][-1], ["pair", "node"], "left_semi").select("pair", "node", F.lit(len(sides["source"]) - 1).alias("a"), F.lit(len(sides["target"]) - 1).alias("b"))
+        met = written(hit if met is None else met.unionByName(hit), "met")
+        left = written(left.join(met.select("pair").distinct(), "pair", "left_anti"), "left")
+    if met is None:
+        return asked.select("source", "target", F.lit(0).alias("hop"), F.col("source").alias("from"), F.col("target").alias("to")).limit(0)
+
+    def links(side: str) -> list[DataFrame]:
+        """Per level, nearest the meeting nodes first, the steps (pair, far, near, n)
+        of shortest paths: n is how far from `side` the step's outer end is."""
+        out, own = [], "a" if side == "source" else "b"
+        here = None
+        for n in range(len(sides[side]) - 1, 0, -1):
+            begun = met.filter(F.col(own) == n).select("pair", "node")
+            here = begun if here is None else here.unionByName(begun).distinct()
+            here = written(here, "here")
+            near = steps.of(here, "node")
+            back = here.join(near, here["node"] == near["src"]).select("pair", F.col("dst").alias("node"), F.col("src").alias("inner")).join(sides[side][n - 1], ["pair", "node"], "left_semi")
+            back = written(back, "links")
+            out.append(back.select("pair", F.lit(n - 1).alias("n"), F.col("node").alias("outer"), "inner"))
+            here = back.select("pair", "node").distinct()
+        return out
+
+    ways = met.groupBy("pair").agg((F.first("a") + F.first("b")).alias("length"))
+    parts = [x.select("pair", F.col("n").alias("hop"), F.col("outer").alias("from"), F.col("inner").alias("to")) for x in links("source")]
+    parts += [x.join(ways, "pair").select("pair", (F.col("length") - 1 - F.col("n")).alias("hop"), F.col("inner").alias("from"), F.col("outer").alias("to")) for x in links("target")]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = written(every.distinct(), "ways")
+    at, out = asked.join(met.select("pair").distinct(), "pair", "left_semi").select("pair", F.col("source").alias("from")), None
+    for hop in range(depth):
+        step = every.filter(F.col("hop") == hop).join(at, ["pair", "from"]).groupBy("pair", "from").agg(F.min("to").alias("to")).withColumn("hop", F.lit(hop + 1))
+        step = written(step, "step")
+        out = step if out is None else out.unionByName(step)
+        at = step.select("pair", F.col("to").alias("from"))
+    return out.join(asked, "pair").select("source", "target", "hop", "from", "to")
+
+
 def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, depth: int = 4) -> DataFrame:
     """(hop, from, to, rel_type, weight) of a shortest path, in walking order;
     no rows where a name is unknown, both are the same or the path is longer.

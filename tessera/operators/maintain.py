@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -25,21 +24,28 @@ def _days_before(now: Column, days: int) -> Column:
 LIVE = "superseded_at is null"
 
 
+def _stale(now: Column, days: int, least_access: int, least_importance: float) -> Column:
+    return F.col("superseded_at").isNull() & (F.col("created_at") < _days_before(now, days)) & (F.col("access_count") < least_access) & (F.col("importance") < least_importance) & ~F.col("pinned")
+
+
 def evict(memories: DataFrame, now: Column, days: int = 90, least_access: int = 2, least_importance: float = 0.3) -> DataFrame:
-    stale = F.col("superseded_at").isNull() & (F.col("created_at") < _days_before(now, days)) & (F.col("access_count") < least_access) & (F.col("importance") < least_importance) & ~F.col("pinned")
+    stale = _stale(now, days, least_access, least_importance)
     return memories.withColumn("superseded_at", F.when(stale, now).otherwise(F.col("superseded_at")))
 
 
 def contradictions(memories: DataFrame, pairs: list | None = None, each: int = 20, limit: int = 20) -> DataFrame:
     """(pair, a, b): for each pair of words in turn, each first memories by id
-    with the one against each first with the other, limit pairs in all. Both
-    lists are top-k's, so their product is bounded."""
-    out = None
-    for i, (one, two) in enumerate(pairs or C.CONTRADICTIONS):
-        side = lambda w, c: memories.filter(LIVE).filter(F.lower("content").contains(w)).select(F.col("id").alias(c)).orderBy(c).limit(each)
-        met = side(one, "a").join(F.broadcast(side(two, "b")), F.col("a") != F.col("b")).select(F.lit(i).alias("pair"), "a", "b")
-        out = met if out is None else out.unionByName(met)
-    return out.orderBy("pair", "a", "b").limit(limit)
+    with the one against each first with the other, limit pairs in all. Contents are
+    read once for all words; both lists are top-k's, cut in each task before they
+    meet, so their product is bounded."""
+    words = [w for pair in (pairs or C.CONTRADICTIONS) for w in pair]
+    sides = X.let(F.lower("content"), lambda low: F.array_compact(F.array(*(F.when(low.contains(w), F.lit(i)) for i, w in enumerate(words)))))
+    rows = memories.filter(LIVE).select("id", F.explode(sides).alias("side"))
+    rank = F.row_number().over(Window.partitionBy("side").orderBy("id"))
+    first = written(rows.withColumn("n", rank).filter(F.col("n") <= each), "sides")
+    a = first.filter("side % 2 = 0").select(F.expr("side div 2").cast("int").alias("pair"), F.col("id").alias("a"))
+    b = first.filter("side % 2 = 1").select(F.expr("side div 2").cast("int").alias("pair"), F.col("id").alias("b"))
+    return a.join(b, "pair").filter("a <> b").select("pair", "a", "b").orderBy("pair", "a", "b").limit(limit)
 
 
 def weakened(memories: DataFrame, found: DataFrame) -> DataFrame:
@@ -54,21 +60,36 @@ def weakened(memories: DataFrame, found: DataFrame) -> DataFrame:
 FREQUENT = 65_536
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, created_at, w) with tokens as (n, t, c): how many, which and how
+    often each."""
+    for batch in batches:
+        lists = [Counter(w.as_py()) for w in batch["w"]]
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["created_at"], pa.array([sum(x.values()) for x in lists], pa.int32()), pa.array([list(x) for x in lists], pa.list_(pa.string())), pa.array([list(x.values()) for x in lists], pa.list_(pa.int32()))],
+            names=["id", "created_at", "n", "t", "c"],
+        )
+
+
 def _rarest(least: float, frequent: list[str]):
-    """For rows (id, w) of token lists, (older, t): of each list's distinct tokens,
-    rarest first, one more than may be missing elsewhere."""
+    """For rows (id, created_at, n, t, c), (older, ca, n, t): of each list its rarest
+    tokens, until these stand in it more often than may be missing elsewhere."""
     rank = {t: len(frequent) - i for i, t in enumerate(frequent)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for key, w in zip(batch["id"].to_pylist(), batch["w"], strict=True):
-                tokens = w.as_py()
-                n = math.floor(len(tokens) * (1 - least) + 1e-9) + 1
-                first = heapq.nsmallest(n, set(tokens), key=lambda t: (rank.get(t, 0), zlib.crc32(t.encode("utf-8", "surrogatepass")), t))
-                ids += [key] * len(first)
-                out += first
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["older", "t"])
+            rows, out = [], []
+            for i, (n, tokens, counts) in enumerate(zip(batch["n"].to_pylist(), batch["t"].to_pylist(), batch["c"].to_pylist(), strict=True)):
+                order = sorted(zip(tokens, counts, strict=True), key=lambda x: (rank.get(x[0], 0), zlib.crc32(x[0].encode("utf-8", "surrogatepass")), x[0]))
+                may = n * (1 - least) + 1e-9
+                for t, c in order:
+                    rows.append(i)
+                    out.append(t)
+                    may -= c
+                    if may < 0:
+                        break
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["created_at"].take(at), batch["n"].take(at), pa.array(out, pa.string())], names=["older", "ca", "n", "t"])
 
     return run
 
@@ -79,24 +100,30 @@ def overlaps(memories: DataFrame, least: float = 0.92) -> DataFrame:
     side.
 
     Of the older one's tokens no more than a share of 1 - least is missing in the
-    newer one, so of one more distinct tokens than that one is shared: pairs come
-    from its rarest ones, never from frequent tokens.
+    newer one, so of its rarest tokens, until they make up more than that, one is
+    shared: pairs come from those, never from frequent tokens. Lengths and ages stand
+    beside the tokens and rule pairs out before any list is fetched; of the lists,
+    what is missing is looked for, which is little.
     """
+    kind = {c: k for c, k in memories.dtypes}
     rows = memories.filter(LIVE).select("id", "created_at", X.fields(F.col("content")).alias("w")).filter(F.size("w") >= 3)
-    rows = written(rows.withColumn("s", F.array_distinct("w")), "tokens")
-    each = rows.select(F.col("id").alias("newer"), F.explode("s").alias("t"))
+    own = f"id {kind['id']}, created_at {kind['created_at']}, n int, t array<string>, c array<int>"
+    rows = written(rows.mapInArrow(_counted, own), "tokens")
+    each = rows.select(F.col("id").alias("newer"), F.col("created_at").alias("cb"), F.size("t").alias("s"), F.explode("t").alias("t"))
     # At most FREQUENT tokens.
-    frequent = [r["t"] for r in each.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()]
-    rare = rows.select("id", "w").mapInArrow(_rarest(least, frequent), "older string, t string")
-    pairs = rare.join(each, "t").filter("older <> newer").select("older", "newer").distinct()
-    a = rows.select(F.col("id").alias("older"), F.col("created_at").alias("_ca"), F.col("w").alias("_wa"), F.col("s").alias("_sa"))
-    b = rows.select(F.col("id").alias("newer"), F.col("created_at").alias("_cb"), F.col("s").alias("_sb"))
-    share = F.size(F.filter("_wa", lambda x: F.array_contains(F.col("_sb"), x))) / F.size("_wa")
-    met = pairs.join(a, "older").join(b, "newer").filter((F.col("_ca") < F.col("_cb")) | ((F.col("_ca") == F.col("_cb")) & (F.col("older") < F.col("newer"))))
-    met = met.filter(F.least(F.size("_wa"), F.size("_sb")) / F.size("_wa") >= least)
+    frequent = [r["t"] for r in each.groupBy("t").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "t").limit(FREQUENT).collect()]
+    rare = rows.mapInArrow(_rarest(least, frequent), f"older {kind['id']}, ca {kind['created_at']}, n int, t string")
+    later = (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("older") < F.col("newer")))
+    met = rare.join(each, "t").filter(later & (F.least("n", "s") / F.col("n") >= least))
+    pairs = written(met.select("older", "newer").distinct(), "candidates")
+    a = rows.select(F.col("id").alias("older"), "n", F.col("t").alias("ta"), F.col("c").alias("_c"))
+    b = rows.select(F.col("id").alias("newer"), F.col("t").alias("tb"))
+    gone = pairs.join(a, "older").join(b, "newer").withColumn("gone", F.array_except("ta", "tb"))
     # Tokens that are missing count as often as they stand there, so once at least.
-    met = met.filter(F.size(F.array_except("_sa", "_sb")) <= F.size("_wa") * F.lit(1 - least) + 1e-9)
-    return met.withColumn("overlap", share).filter(F.col("overlap") > least).select("older", "newer", F.round("overlap", 6).alias("overlap"))
+    gone = gone.filter(F.size("gone") <= F.col("n") * F.lit(1 - least) + 1e-9)
+    missing = F.aggregate(F.arrays_zip("ta", "_c"), F.lit(0), lambda s, x: s + F.when(F.array_contains("gone", x["ta"]), x["_c"]).otherwise(0))
+    out = gone.withColumn("overlap", (F.col("n") - missing) / F.col("n")).filter(F.col("overlap") > least)
+    return out.select("older", "newer", F.round("overlap", 6).alias("overlap"))
 
 
 def duplicates(memories: DataFrame, least: float = 0.92, most: int = 10, strict: bool = False) -> DataFrame:
@@ -173,7 +200,7 @@ def with_snapshot(memories: DataFrame, now: Column, days: int = 30, n: int = 5)
     gone = _old(memories, now, days, n).select("id").crossJoin(text.select(F.lit(True).alias("_gone")))  # n rows, one row
     kept = memories.join(F.broadcast(gone), "id", "left").withColumn("superseded_at", F.when(F.col("_gone"), now).otherwise(F.col("superseded_at"))).select(memories.columns)
     row = text.select(
-        F.concat(F.lit("snap_"), F.substring(F.sha2("content", 256), 1, 16)).alias("id"), "content", F.lit("snapshot").alias("mem_type"), F.lit("default").alias("namespace"), F.lit(0.5).alias("importance"),
+        X.content_id("snap_", F.col("content")).alias("id"), "content", F.lit("snapshot").alias("mem_type"), F.lit("default").alias("namespace"), F.lit(0.5).alias("importance"),
         F.lit(0).cast("long").alias("access_count"), F.lit(False).alias("pinned"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("superseded_at"), F.lit(0).cast("long").alias("edge_count"),
     )
     return kept.unionByName(row.select(*(F.col(c).cast(kind).alias(c) for c, kind in memories.select(row.columns).dtypes)))
@@ -188,28 +215,39 @@ class Store:
     vectors: DataFrame | None = None
 
 
+def _observed(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """df, written, and counts over its rows, which the same write observes. A
+    column _hit is there for the counts only."""
+    seen = Observation()
+    out = written(df.observe(seen, *(c.alias(k) for k, c in counts.items())).drop("_hit"), label)
+    return out, {k: int(v or 0) for k, v in seen.get.items()}
+
+
 def cycle(store: Store, now: Column, pairs: list | None = None, strict: bool = False) -> tuple[Store, DataFrame]:
     """store after all phases in their order: evict, weaken contradicted ones,
     dedup, link, prioritise, snapshot, extract entities again and rebuild the
-    graph; and a row of counters. Each phase ends in a written table."""
-    before = store.memories
-    memories = written(evict(before, now), "evicted")
-    n = {"evicted": memories.filter("superseded_at is not null").count() - before.filter("superseded_at is not null").count()}
-    found = written(contradictions(memories, pairs), "contradictions")
-    n["contradictions"] = found.count()
+    graph; and a row of counters. Each phase ends in a written table, and its counter
+    is observed on the way there."""
+    every, hit, n = F.count(F.lit(1)), F.count_if("_hit"), {}
+    before = store.memories.withColumn("_hit", _stale(now, 90, 2, 0.3))
+    memories, seen = _observed(evict(before, now), "evicted", evicted=hit)
+    n |= seen
+    found, seen = _observed(contradictions(memories, pairs), "contradictions", contradictions=every)
+    n |= seen
     memories = written(weakened(memories, found), "weakened")
-    twins = written(duplicates(memories, strict=strict), "duplicates")
-    n["deduped"] = twins.count()
+    twins, seen = _observed(duplicates(memories, strict=strict), "duplicates", deduped=every)
+    n |= seen
     memories = written(deduped(memories, twins, now), "deduped")
     graph = store.graph
-    links = written(linked(pair_counts(graph.membership)), "linked")
-    n["links_created"] = links.count()
+    links, seen = _observed(linked(pair_counts(graph.membership)), "linked", links_created=every)
+    n |= seen
     graph = replace(graph, nodes=written(touched(graph.nodes, links), "touched"))
     up, down = _priorities(now)
-    n["prioritised"] = memories.filter(up | down).count()
-    memories = written(prioritised(memories, now), "prioritised")
-    snapped = written(with_snapshot(memories, now), "snapshot")
-    n["snapshots_created"] = snapped.count() - memories.count()
+    memories, seen = _observed(prioritised(memories.withColumn("_hit", up | down), now), "prioritised", prioritised=hit, rows=every)
+    rows = seen.pop("rows")
+    n |= seen
+    snapped, seen = _observed(with_snapshot(memories, now), "snapshot", rows=every)
+    n["snapshots_created"] = seen["rows"] - rows
     graph, _ = reextracted(graph, snapped)
     graph, counters = rebuilt(graph)
     vectors = store.vectors.join(snapped.filter(LIVE).select("id"), "id", "left_semi") if store.vectors is not None else None

@@ -18,6 +18,8 @@ AS_OF = "2024-03-01 00:00:00"
 TEXT = "that rest"
 #: For each word of TEXT, the words with its stem.
 STEMS = ["thats?", "rest(es?|s|ed|ings?)?"]
+#: Likewise of other words.
+OF, THE, UND = "ofs?", "thes?", "unds?"
 SEEDS = range(1, 21)
 
 
@@ -103,7 +105,7 @@ def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> P.Index:
     """The keyword index of the memories, written once a session."""
-    return P.kept(K.memories(spark, sf_dir), sf_dir, stemmed)
+    return P.kept(K.memories(spark, sf_dir), sf_dir, stemmed, f"{sf_dir}/documents.parquet")
 
 
 def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

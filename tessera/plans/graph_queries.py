@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import maintain as M
 from ..operators import search as Q
 from ..sources import catalog as K
+from ..sources.postings import state_of
 from ..sources.tables import written
 from .base import LIVE, MEM, NOW, SEEDS, now, q, query
 from .registry import FX, entity_ctes, relation_ctes, tech_ctes, texts
@@ -29,11 +30,12 @@ _STEPS: dict = {}
 
 
 def _steps(spark, sf_dir):
-    """The adjacency of the related entities, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STEPS:
-        _STEPS[key] = G.adjacency(_edges(spark, sf_dir))
-    return _STEPS[key]
+    """The adjacency of the related entities, written once a session, in folders of
+    few steps, so that the pruning of hops is run."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), state_of(spark, f"{sf_dir}/lineitem.parquet")
+    if key not in _STEPS or _STEPS[key][0] != state:
+        _STEPS[key] = state, G.adjacency(_edges(spark, sf_dir), 2000)
+    return _STEPS[key][1]
 
 
 def _seeds(spark, sf_dir):
@@ -79,11 +81,47 @@ GRAPH_NODES = [(1, "Rezky"), (2, "Bank Sinarmas"), (3, "Tim"), (4, "Kafka"), (5,
 GRAPH_EDGES = [(1, 1, 2, "works_at"), (2, 3, 4, "uses"), (3, 4, 5, "part_of"), (4, 2, 4, "related_to")]
 
 
-@query("SELECT * FROM (VALUES (1, 'Rezky', 'Bank Sinarmas', 'works_at', 1.0::DOUBLE), (2, 'Bank Sinarmas', 'Kafka', 'related_to', 1.0), (3, 'Kafka', 'MCP', 'part_of', 1.0)) v(hop, \"from\", \"to\", rel_type, weight)")
+#: Pairs of entities: of a memory of three and more the first and the last, of those divisible by 50.
+PAIRS = "pa AS (SELECT DISTINCT source, target FROM (SELECT min(entity_id) AS source, max(entity_id) AS target FROM me WHERE memory_id % 50 = 1 GROUP BY memory_id HAVING count(*) >= 3) WHERE source <> target)"
+WALKS = """bw AS (SELECT source_id AS src, target_id AS dst FROM ed UNION SELECT target_id, source_id FROM ed),
+w0 AS (SELECT source, target, [source] AS p FROM pa), w1 AS (SELECT source, target, list_append(p, dst) AS p FROM w0 JOIN bw ON src = p[-1]),
+w2 AS (SELECT source, target, list_append(p, dst) AS p FROM w1 JOIN bw ON src = p[-1] WHERE NOT list_contains(p, dst)), w3 AS (SELECT source, target, list_append(p, dst) AS p FROM w2 JOIN bw ON src = p[-1] WHERE NOT list_contains(p, dst)),
+wk AS (SELECT source, target, arg_min(p, (len(p), p)) AS p FROM (FROM w1 UNION ALL FROM w2 UNION ALL FROM w3) WHERE p[-1] = target GROUP BY 1, 2)"""
+
+
+@query(f'WITH {BIP}, {PAIRS}, {WALKS} SELECT source, target, h::INT AS hop, p[h] AS "from", p[h + 1] AS "to" FROM wk, generate_series(1, 3) g(h) WHERE h < len(p)')
+def shortest_paths(spark, sf_dir):
+    """Shortest paths of at most three steps between pairs of entities."""
+    own = K.membership(spark, sf_dir).filter("memory_id % 50 = 1").groupBy("memory_id").agg(F.min("entity_id").alias("source"), F.max("entity_id").alias("target"), F.count(F.lit(1)).alias("n"))
+    return G.shortest_paths(own.filter("n >= 3").select("source", "target"), _steps(spark, sf_dir), 3)
+
+
+@query(f"""WITH {BIP}, st AS (SELECT source_id AS s, min(target_id) AS t FROM ed GROUP BY 1 ORDER BY 1 LIMIT 1) SELECT 1 AS hop, 'part ' || s AS "from", 'part ' || t AS "to", 'related_to' AS rel_type, weight FROM st JOIN ed ON s = source_id AND t = target_id""")
 def shortest_path(spark, sf_dir):
-    nodes = spark.createDataFrame(GRAPH_NODES, "entity_id long, name string")
-    edges = spark.createDataFrame([(*e, 1.0) for e in GRAPH_EDGES], "id long, source_id long, target_id long, rel_type string, weight double")
-    return G.find_path(nodes, edges, "rezky", "mcp", 4)
+    """The path between the first related pair of parts, by their names."""
+    edges = _edges(spark, sf_dir).withColumn("id", F.xxhash64("source_id", "target_id"))
+    first = edges.groupBy("source_id").agg(F.min("target_id").alias("target_id")).orderBy("source_id").first()
+    return G.find_path(K.nodes(spark, sf_dir), edges, f"PART {first[0]}", f"part {first[1]}", 4)
+
+
+NAMED = "nt AS (SELECT DISTINCT r_name AS name FROM region UNION SELECT n_name FROM nation UNION SELECT regexp_extract(text, '^[^ .,]+') FROM benchmark), nn AS (SELECT name, lower(name) AS low FROM nt WHERE strlen(name) >= 3)"
+
+
+def _names(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(K.table(spark, sf_dir, "nation").select("n_name")).union(K.table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[^ .,]+", 0)))
+    return rows.distinct().select(F.col("name").alias("entity_id"), "name")
+
+
+@query(f"WITH {NAMED} SELECT doc_id AS id, name AS entity_id FROM documents JOIN nn ON contains(lower(text), low)")
+def names_in_texts(spark, sf_dir):
+    """Regions, nations and the first words of benchmark items in all documents."""
+    return G.names_in_texts(_names(spark, sf_dir), K.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"WITH {NAMED}, hit AS (SELECT doc_id AS id, name AS entity_id, strlen(name) AS access_count FROM documents JOIN nn ON contains(lower(text), low)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY access_count DESC, entity_id) AS n FROM hit) SELECT id, entity_id FROM r WHERE n <= 3")
+def seeds_in_texts(spark, sf_dir):
+    nodes = _names(spark, sf_dir).withColumn("access_count", F.octet_length("name"))
+    return G.seeds_in_texts(nodes, K.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"WITH {BIP}, {NODES} SELECT memory_id, count(*) AS shared, round(0.1 * count(*), 6) AS score, min(name) AS entity FROM me JOIN no USING (entity_id) WHERE entity_id IN (SELECT entity_id FROM me WHERE memory_id = 1) AND memory_id <> 1 GROUP BY 1 ORDER BY shared DESC, memory_id LIMIT 10")
@@ -117,15 +155,15 @@ _GRAPHS: dict = {}
 
 def _stored(spark, sf_dir):
     """The graph of all texts, with typed relations, and which texts had any."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRAPHS:
+    key, state = (spark.sparkContext.applicationId, sf_dir), state_of(spark, f"{sf_dir}/documents.parquet") + state_of(spark, f"{sf_dir}/pages.parquet")
+    if key not in _GRAPHS or _GRAPHS[key][0] != state:
         rows = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
         graph, counts = G.with_entities(G.empty_graph(spark), rows)
         graph = G.replace(graph, edges=written(graph.edges, "edges"), membership=written(graph.membership, "membership"))
         counts = written(counts, "counts")
         graph, matched = G.with_typed_edges(graph, rows)
-        _GRAPHS[key] = rows, G.replace(graph, edges=written(graph.edges, "edges")), counts, written(matched, "matched")
-    return _GRAPHS[key]
+        _GRAPHS[key] = state, (rows, G.replace(graph, edges=written(graph.edges, "edges")), counts, written(matched, "matched"))
+    return _GRAPHS[key][1]
 
 
 def _named_edges(graph):
@@ -205,6 +243,23 @@ def _side(w: str, c: str) -> str:
 FOUND = "ct AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS pair, a, b FROM {_side(a, 'a')}, {_side(b, 'b')} WHERE a <> b" for i, (a, b) in enumerate(C.CONTRADICTIONS)) + ") ORDER BY pair, a, b LIMIT 20)"
 
 
+#: Pairs of words that the driver's texts have.
+HAD = [("rest", "that"), ("und", "der"), ("als", "mit"), ("los", "del"), ("than", "with")]
+MET = "cm AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS pair, a, b FROM {_side(a, 'a')}, {_side(b, 'b')} WHERE a <> b" for i, (a, b) in enumerate(HAD)) + ") ORDER BY pair, a, b LIMIT 500)"
+
+
+@query(f"WITH {MEM}, {MET} SELECT * FROM cm")
+def contradiction_words(spark, sf_dir):
+    """As contradiction, for words that occur."""
+    return M.contradictions(K.memories(spark, sf_dir), HAD, limit=500)
+
+
+@query(f"WITH {MEM}, {MET}, n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM cm UNION ALL SELECT b FROM cm) GROUP BY 1) SELECT mem.id, round(CASE WHEN n IS NULL THEN importance ELSE greatest(0.3, importance * pow(0.9, n)) END, 6) AS importance FROM mem LEFT JOIN n USING (id)")
+def weaken_words(spark, sf_dir):
+    mem = K.memories(spark, sf_dir)
+    return M.weakened(mem, M.contradictions(mem, HAD, limit=500)).select("id", F.round("importance", 6).alias("importance"))
+
+
 @query(f"WITH {MEM}, {FOUND} SELECT * FROM ct")
 def contradiction(spark, sf_dir):
     return M.contradictions(K.memories(spark, sf_dir))
@@ -245,7 +300,7 @@ def snapshot(spark, sf_dir):
     return M.snapshot(K.memories(spark, sf_dir), now())
 
 
-@query(f"WITH {MEM}, {OLD}, {SNAPSHOT} SELECT id, CASE WHEN id IN (SELECT id FROM o) THEN '{NOW}' ELSE strftime(superseded_at, '%Y-%m-%d %H:%M:%S') END AS superseded, mem_type FROM mem UNION ALL SELECT 'snap_' || substr(sha256(content), 1, 16), NULL, 'snapshot' FROM sn")
+@query(f"WITH {MEM}, {OLD}, {SNAPSHOT} SELECT id, CASE WHEN id IN (SELECT id FROM o) THEN '{NOW}' ELSE strftime(superseded_at, '%Y-%m-%d %H:%M:%S') END AS superseded, mem_type FROM mem UNION ALL SELECT 'snap_' || substr(sha256(strlen(content) || ':' || content), 1, 32), NULL, 'snapshot' FROM sn")
 def snapshot_applied(spark, sf_dir):
     rows = M.with_snapshot(K.memories(spark, sf_dir), now())
     return rows.select("id", F.date_format("superseded_at", "yyyy-MM-dd HH:mm:ss").alias("superseded"), "mem_type")

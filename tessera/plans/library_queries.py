@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..sources import catalog as K
+from ..sources.postings import state_of
 from ..sources.tables import written
 from .base import NOW, VEC, now, q, query, vector
 
@@ -29,25 +30,40 @@ def rag_query(spark, sf_dir):
     return D.rag_query(K.vectors(spark, sf_dir), K.table(spark, sf_dir, "documents"), vector(spark, sf_dir), 5, "src3")
 
 
-NAMED = "nd AS (SELECT doc_id, source AS collection, 'doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '' END AS filename, coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL), dd AS (SELECT *, 'rag_doc_' || substr(sha256(collection || '|' || filename || '|' || text), 1, 16) AS document_id FROM nd)"
+NAMED = "nd AS (SELECT doc_id, source AS collection, 'doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '' END AS filename, coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL), dd AS (SELECT *, 'rag_doc_' || substr(sha256(strlen(collection) || ':' || collection || strlen(filename) || ':' || filename || strlen(text) || ':' || text), 1, 32) AS document_id FROM nd)"
 _LIBRARIES: dict = {}
+#: Parts of a chunk's vector: how often each of these strings stands in it.
+GRAMS = ("e", "th", "en", "on", "as", "un", "er", "la")
+COUNTS = ", ".join(f"((length(x) - length(replace(x, '{g}', ''))) / {len(g)})::DOUBLE" for g in GRAMS)
+
+
+def chunk_vector(text):
+    """Counts of some strings, as a model that SQL can follow."""
+    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(g), F.lit("")))) / len(g) for g in GRAMS)).cast("array<double>")
+
+
+PROBE = "the song of the last season"
+NEAREST = f"qc AS (SELECT [{COUNTS}] AS q FROM (SELECT '{PROBE}' AS x)), ck AS (SELECT 'rag_chk_' || document_id || '_' || (i - 1) AS chunk_id, replace(chunk, chr(1), '') AS x, filename AS document, (i - 1)::INT AS chunk_index, collection FROM dd JOIN c USING (doc_id) WHERE i > 0), ch AS (SELECT chunk_id, x AS content, document, chunk_index, round(1 / (1 + list_distance([{COUNTS}], q)), 6) AS score, collection FROM ck, qc)"
+
+
+def _probe(spark):
+    return spark.createDataFrame([(PROBE,)], "x string").select(chunk_vector(F.col("x")).alias("q"))
 
 
 def _library(spark, sf_dir):
     """Documents as files, their sources as collections, and an empty collection;
-    each document's vector belongs to its first chunk."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LIBRARIES:
+    each chunk has the vector of chunk_vector()."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), state_of(spark, f"{sf_dir}/documents.parquet")
+    if key not in _LIBRARIES or _LIBRARIES[key][0] != state:
         docs = K.table(spark, sf_dir, "documents").filter("source is not null")
         end = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".txt").otherwise("")
         files = docs.select("doc_id", F.col("source").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), end).alias("filename"), F.col("text").alias("content"))
         library = D.with_collections(D.empty_library(spark), spark.createDataFrame([("zz empty", "none yet")], "name string, description string"), now())
         library = D.ingested(library, files, now())
         library = D.replace(library, documents=written(library.documents, "documents"), chunks=written(library.chunks, "chunks"))
-        first = library.documents.select("document_id", F.regexp_extract("filename", "[0-9]+", 0).cast("long").alias("vec_id"))
-        vectors = K.vectors(spark, sf_dir).select("vec_id", "vec").join(first, "vec_id").select(F.concat(F.lit("rag_chk_"), "document_id", F.lit("_0")).alias("id"), "vec")
-        _LIBRARIES[key] = D.replace(library, vectors=vectors)
-    return _LIBRARIES[key]
+        vectors = library.chunks.select(F.col("chunk_id").alias("id"), chunk_vector(F.col("content")).alias("vec"))
+        _LIBRARIES[key] = state, D.replace(library, vectors=written(vectors, "chunk_vectors"))
+    return _LIBRARIES[key][1]
 
 
 @query("SELECT source AS name, 'Auto-created for ' || source AS description, 500 AS chunk_size, count(*) AS doc_count FROM documents WHERE source IS NOT NULL GROUP BY 1 UNION ALL SELECT 'zz empty', 'none yet', 500, 0")
@@ -71,15 +87,15 @@ def collection_deleted(spark, sf_dir):
     return D.library_stats(D.without_collection(_library(spark, sf_dir), "src3"))
 
 
-@query(f"WITH RECURSIVE {VEC}, {NAMED}, {CHUNKS} SELECT 'rag_chk_' || document_id || '_0' AS chunk_id, replace(chunk, chr(1), '') AS content, filename AS document, 0 AS chunk_index, round(1 / (1 + list_distance(v, q)), 6) AS score FROM vec JOIN dd ON vec_id = doc_id JOIN c ON c.doc_id = dd.doc_id AND i = 1, qv WHERE collection = 'src3' ORDER BY score DESC, chunk_id LIMIT 5")
+@query(f"WITH RECURSIVE {NAMED}, {CHUNKS}, {NEAREST} SELECT chunk_id, content, document, chunk_index, score FROM ch WHERE collection = 'src3' ORDER BY score DESC, chunk_id LIMIT 5")
 def rag_query_chunks(spark, sf_dir):
-    return D.query_chunks(_library(spark, sf_dir), "that", vector(spark, sf_dir), 5, "src3")
+    return D.query_chunks(_library(spark, sf_dir), PROBE, _probe(spark), 5, "src3")
 
 
-@query(f"WITH RECURSIVE {VEC}, {NAMED}, {CHUNKS}, f AS (SELECT 'rag_chk_' || document_id || '_0' AS chunk_id, replace(chunk, chr(1), '') AS content, filename AS document, round(1 / (1 + list_distance(v, q)), 6) AS near FROM vec JOIN dd ON vec_id = doc_id JOIN c ON c.doc_id = dd.doc_id AND i = 1, qv ORDER BY near DESC, chunk_id LIMIT 50) SELECT chunk_id, document, length(content)::DOUBLE AS score FROM f ORDER BY score DESC, chunk_id LIMIT 5")
+@query(f"WITH RECURSIVE {NAMED}, {CHUNKS}, {NEAREST}, f AS (SELECT * FROM ch ORDER BY score DESC, chunk_id LIMIT 50) SELECT chunk_id, document, length(content)::DOUBLE AS score FROM f ORDER BY 3 DESC, chunk_id LIMIT 5")
 def rag_query_reranked(spark, sf_dir):
     by_length = D.H.Reranker("length", lambda query, texts: [float(len(t)) for t in texts])
-    return D.query_chunks(_library(spark, sf_dir), "that", vector(spark, sf_dir), 5, None, [by_length]).select("chunk_id", "document", "score")
+    return D.query_chunks(_library(spark, sf_dir), PROBE, _probe(spark), 5, None, [by_length]).select("chunk_id", "document", "score")
 
 
 PRUNED = """pr AS (SELECT conv_id, turn, role, CASE WHEN big THEN '[tool result stored in engine:' || coalesce(sum(big::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT || ']' ELSE text END AS content
@@ -151,12 +167,12 @@ def compaction_stats(spark, sf_dir):
     return _compacted(spark, sf_dir).stats
 
 
-@query(f"WITH {SEG}, {JOINED} SELECT 'summary_' || substr(sha256(conv_id || '|' || t), 1, 16) AS id, t AS content, 'context' AS mem_type, 'context' AS namespace, 0.4::DOUBLE AS importance FROM ct")
+@query(f"WITH {SEG}, {JOINED} SELECT 'summary_' || substr(sha256(strlen(conv_id::VARCHAR) || ':' || conv_id || strlen(t) || ':' || t), 1, 32) AS id, t AS content, 'context' AS mem_type, 'context' AS namespace, 0.4::DOUBLE AS importance FROM ct")
 def compaction_memories(spark, sf_dir):
     return _compacted(spark, sf_dir).memories.select("id", "content", "mem_type", "namespace", "importance")
 
 
-@query(f"WITH {SEG}, {JOINED} SELECT conv_id::VARCHAR AS session_key, 'summary_' || substr(sha256(conv_id || '|' || t), 1, 16) AS summary_id, '{NOW}' AS created_at FROM ct")
+@query(f"WITH {SEG}, {JOINED} SELECT conv_id::VARCHAR AS session_key, 'summary_' || substr(sha256(strlen(conv_id::VARCHAR) || ':' || conv_id || strlen(t) || ':' || t), 1, 32) AS summary_id, '{NOW}' AS created_at FROM ct")
 def compaction_log(spark, sf_dir):
     return _compacted(spark, sf_dir).log.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 

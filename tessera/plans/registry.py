@@ -9,7 +9,9 @@ from ..functions import text as X
 from ..functions.match import parse, plain
 from ..operators import graph as G
 from ..operators import search as Q
+from ..operators.vectors import CellIndex, knn
 from ..sources import catalog as K
+from ..sources import postings as P
 from . import base
 from .base import BOOSTS, FUSED, LIVE, MEM, NOW, PAST, VEC, as_of, bm25_sql, index, lists, matching, near_sql, now, q, query, recall_sql, vector, words_sql
 
@@ -85,28 +87,49 @@ def keyword_bm25(spark, sf_dir):
     return lists(spark, sf_dir)[2]
 
 
-def _keyword(spark, sf_dir, text: str):
-    return Q.bm25(index(spark, sf_dir, False), parse(text), 60, Q.active(K.memories(spark, sf_dir)))
+def _keyword(spark, sf_dir, text: str, k: int | None = 60):
+    own = index(spark, sf_dir)
+    return Q.bm25(own, parse(text, words=own.terms_of), k, Q.active(K.memories(spark, sf_dir)))
 
 
-@query(f"""WITH {MEM}, {bm25_sql(["len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))"])} SELECT id, score FROM kw""")
+THAT, REST = base.STEMS
+
+
+def _is(word: str, pattern: str) -> str:
+    return f"regexp_full_match({word}, '{pattern}')"
+
+
+@query(f"""WITH {MEM}, {bm25_sql([f"len(list_filter(range(1, len(ws)), lambda i: {_is('ws[i]', base.OF)} AND {_is('ws[i + 1]', base.THE)}))"])} SELECT id, score FROM kw""")
 def keyword_phrase(spark, sf_dir):
     return _keyword(spark, sf_dir, '"of the"')
 
 
-@query(f"""WITH {MEM}, {bm25_sql(["len(list_filter(ws, lambda w: starts_with(w, 'rest')))", matching('that')])} SELECT id, score FROM kw""")
+@query(f"""WITH {MEM}, {bm25_sql(["len(list_filter(ws, lambda w: starts_with(w, 'rest')))", matching(THAT)])} SELECT id, score FROM kw""")
 def keyword_prefix(spark, sf_dir):
     return _keyword(spark, sf_dir, "rest* AND content:that")
 
 
-@query(f"""WITH {MEM}, {bm25_sql([matching('that'), matching('rest'), matching('und')], LIVE, "(tf0 > 0 OR tf1 > 0) AND tf2 = 0")} SELECT id, score FROM kw""")
+@query(f"""WITH {MEM}, {bm25_sql([matching(THAT), matching(REST), matching(base.UND)], LIVE, "(tf0 > 0 OR tf1 > 0) AND tf2 = 0")} SELECT id, score FROM kw""")
 def keyword_boolean(spark, sf_dir):
-    return _keyword(spark, sf_dir, "(that OR rest) NOT und")
+    return _keyword(spark, sf_dir, "(that OR resting) NOT und")
 
 
-@query(f"""WITH {MEM}, w AS (SELECT *, {base.WORDS} AS ws FROM mem) SELECT id FROM w WHERE {LIVE} AND len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'that' AND list_contains(ws[greatest(1, i - 6):i + 6], 'rest'))) > 0""")
+@query(f"""WITH {MEM}, w AS (SELECT *, {base.WORDS} AS ws FROM mem) SELECT id FROM w WHERE {LIVE} AND len(list_filter(range(1, len(ws) + 1), lambda i: {_is('ws[i]', THAT)} AND len(list_filter(ws[greatest(1, i - 6):i + 6], lambda x: {_is('x', REST)})) > 0)) > 0""")
 def keyword_near(spark, sf_dir):
-    return Q.bm25(index(spark, sf_dir, False), parse("NEAR(that rest, 5)"), 1 << 30, Q.active(K.memories(spark, sf_dir))).select("id")
+    return _keyword(spark, sf_dir, "NEAR(that rested, 5)", None).select("id")
+
+
+@query(f"""WITH {MEM}, {bm25_sql([matching(THAT), matching(REST)], "TRUE", "(tf0 > 0 OR tf1 > 0)", 100)} SELECT id, score FROM kw""")
+def keyword_any(spark, sf_dir):
+    """Any of two words, superseded memories too."""
+    own = index(spark, sf_dir)
+    return Q.bm25(own, plain("that rest", "or", own.terms_of), 100)
+
+
+@query(f"""WITH {MEM}, w AS (SELECT *, {base.WORDS} AS ws FROM mem), sd AS (SELECT CASE WHEN regexp_full_match(t, 'thats?') THEN 'that' WHEN regexp_full_match(t, '{REST}') THEN 'rest' ELSE 'the' END AS term, id FROM (SELECT DISTINCT id, unnest(ws) AS t FROM w) WHERE {_is('t', THAT)} OR {_is('t', REST)} OR {_is('t', base.THE)}) SELECT term, count(DISTINCT id) AS df FROM sd GROUP BY 1""")
+def index_heads(spark, sf_dir):
+    """Texts of a term, as the heads of its blocks count them."""
+    return index(spark, sf_dir).blocks(["that", "rest", "the"], positions=False).groupBy("term").agg(F.sum("n").alias("df"))
 
 
 @query(f"WITH {VEC} SELECT id, round(list_distance(v, q), 6) AS distance FROM vec, qv ORDER BY 2, 1 LIMIT 20")
@@ -125,6 +148,54 @@ def lsh_knn(spark, sf_dir):
     return Q.VectorIndex.fit(K.vectors(spark, sf_dir)).nearest(list(vector(spark, sf_dir).first()[0]), 1)
 
 
+ASKED = f"{VEC}, kq AS (SELECT id AS query_id, v AS q FROM vec WHERE vec_id % 100 = 0)"
+
+
+def _asked(spark, sf_dir):
+    return K.vectors(spark, sf_dir).filter("vec_id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+
+
+def _nearest_sql(measure: str) -> str:
+    return f"WITH {ASKED}, d AS (SELECT query_id, id, round({measure}, 6) AS distance FROM kq, vec), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM d) SELECT * FROM r WHERE rank <= 10"
+
+
+@query(_nearest_sql("list_distance(v, q)"))
+def vector_knn(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 100, of all."""
+    return knn(K.vectors(spark, sf_dir), _asked(spark, sf_dir), 10)
+
+
+@query(_nearest_sql("1 - list_cosine_similarity(v, q)"))
+def vector_knn_cosine(spark, sf_dir):
+    return knn(K.vectors(spark, sf_dir), _asked(spark, sf_dir), 10, "cosine")
+
+
+_CELLS: dict = {}
+
+
+def _cells(spark, sf_dir):
+    """The index of cells of all vectors, written once a session."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), P.state_of(spark, f"{sf_dir}/embeddings.parquet")
+    if key not in _CELLS or _CELLS[key][0] != state:
+        _CELLS[key] = state, CellIndex.fit(K.vectors(spark, sf_dir))
+    return _CELLS[key][1]
+
+
+@query(f"WITH {ASKED} SELECT query_id, query_id AS id, 0.0::DOUBLE AS distance, 1 AS rank FROM kq")
+def cells_nearest(spark, sf_dir):
+    """Of the ten that the index of cells finds for each vector, the first: itself."""
+    return _cells(spark, sf_dir).search(_asked(spark, sf_dir), 10).filter("rank = 1").select("query_id", "id", "distance", "rank")
+
+
+@query(f"{_nearest_sql('list_distance(v, q)').replace('SELECT * FROM r WHERE rank <= 10', 'SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, TRUE AS found FROM r WHERE rank <= 10')}")
+def cells_recall(spark, sf_dir):
+    """Whether the index of cells finds nine in ten of the exact neighbours."""
+    exact = knn(K.vectors(spark, sf_dir), _asked(spark, sf_dir), 10).select("query_id", "id")
+    near = _cells(spark, sf_dir).search(_asked(spark, sf_dir), 10).select("query_id", "id", F.lit(True).alias("_in"))
+    both = exact.join(near, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("_in") >= 0.9 * F.count(F.lit(1))).alias("found"))
+
+
 @query(f"WITH {MEM}, {VEC}, {words_sql()}, {near_sql()}, {FUSED} SELECT id, vector_rank, keyword_rank, round(rrf_score, 6) AS rrf_score FROM fu")
 def rrf_fusion(spark, sf_dir):
     _, v, w = lists(spark, sf_dir)
@@ -184,17 +255,56 @@ def _source_graph(spark, sf_dir):
     return names, edges, member
 
 
-@query(f"""WITH {MEM}, {VEC}, {words_sql()}, {near_sql()}, {FUSED}, {SOURCES},
+@query(f"""WITH {MEM}, {VEC}, {bm25_sql([matching(THAT), matching(REST), "len(list_filter(ws, lambda w: w = 'src3'))"], LIVE, "(tf0 > 0 AND tf1 > 0 OR tf2 > 0)")}, {near_sql()}, {FUSED}, {SOURCES},
 gr AS (SELECT memory_id, round(CASE WHEN entity_id = 3 THEN 1.0 WHEN entity_id IN (2, 4) THEN 0.5 / 2 ELSE 0.25 / 3 END, 6) AS g FROM me WHERE entity_id BETWEEN 1 AND 5 ORDER BY g DESC, memory_id LIMIT 40),
 mg AS (SELECT mem.id, coalesce(rrf_score, 0) AS rrf_score, CASE WHEN fu.id IS NULL THEN 0.1 * g + {BOOSTS} ELSE (rrf_score + {BOOSTS}) * CASE WHEN g IS NULL THEN 1 ELSE 1.5 END END AS score
  FROM mem LEFT JOIN fu ON fu.id = mem.id LEFT JOIN gr ON gr.memory_id = mem.id WHERE superseded_at IS NULL AND (fu.id IS NOT NULL OR g IS NOT NULL))
 SELECT id, round(rrf_score, 6) AS rrf_score, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM mg ORDER BY round(score, 6) DESC, id LIMIT 20""")
 def recall_graph_merged(spark, sf_dir):
-    live, v, w = lists(spark, sf_dir)
     names, edges, member = _source_graph(spark, sf_dir)
-    graph = G.traverse(G.seeds_in_text(names, "that rest of src3"), edges, member, 2, 40)
-    rows = Q.merged(Q.scored(Q.fuse(v, w), live, now()), graph, live, now())
-    return Q.top(rows).select("id", F.round("rrf_score", 6).alias("rrf_score"), "score", "rank")
+    rows = _recall(spark, sf_dir, f"{base.TEXT} OR src3", graph=G.Graph(names, member, edges), grammar=True)
+    return rows.select("id", "rrf_score", "score", "rank")
+
+
+#: A query a document whose id is divisible by 10: its first two words of three letters and more, and the vector of that id.
+MANY = f"""{MEM}, {VEC}, w AS (SELECT *, {base.WORDS} AS ws FROM mem), qs AS (SELECT doc_id AS query_id, coalesce(list_aggregate(list_filter({base.WORDS.replace("content", "text")}, lambda x: regexp_full_match(x, '[a-z]*[bdfgkmo]'))[1:2], 'string_agg', ' '), '') AS text FROM documents WHERE doc_id % 10 = 0 AND doc_id < 1000)"""
+
+
+def _many(spark, sf_dir):
+    docs = K.table(spark, sf_dir, "documents").filter("doc_id % 10 = 0 and doc_id < 1000")
+    words = F.slice(F.filter(X.words(F.col("text")), lambda w: w.rlike("^[a-z]*[bdfgkmo]$")), 1, 2)
+    return docs.select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+
+
+@query(f"""WITH {MANY}, qt AS (SELECT DISTINCT query_id, unnest(string_split(text, ' ')) AS term FROM qs WHERE text <> ''), st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
+ps AS (SELECT id, len(ws) AS dl, unnest(ws) AS term, superseded_at FROM w), tf AS (SELECT id, term, any_value(dl) AS dl, count(*) AS tf, any_value(superseded_at) AS superseded_at FROM ps WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), ct AS (SELECT query_id, count(*) AS many FROM qt GROUP BY 1),
+sc AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS have FROM qt JOIN tf USING (term) JOIN df USING (term), st WHERE superseded_at IS NULL GROUP BY 1, 2),
+rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc JOIN ct USING (query_id) WHERE have = many) SELECT query_id, id, score FROM rk WHERE r <= 60""")
+def keyword_lists(spark, sf_dir):
+    """The keyword lists of a hundred queries at once, over unstemmed words."""
+    return Q.keyword_lists(index(spark, sf_dir, False), _many(spark, sf_dir), 60, Q.active(K.memories(spark, sf_dir)))
+
+
+def _batch(spark, sf_dir):
+    at = F.concat(F.lit("mem_"), F.lpad(F.col("query_id").cast("string"), 8, "0"))
+    vectors = K.vectors(spark, sf_dir).select("id", "vec")
+    return _many(spark, sf_dir).withColumn("id", at).join(vectors, "id", "left").select("query_id", "text", "vec")
+
+
+@query(f"""WITH {MANY}, qt AS (SELECT DISTINCT query_id, unnest(string_split(text, ' ')) AS term FROM qs WHERE text <> ''), st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
+ps AS (SELECT id, len(ws) AS dl, unnest(ws) AS term, superseded_at FROM w), tf AS (SELECT id, term, any_value(dl) AS dl, count(*) AS tf, any_value(superseded_at) AS superseded_at FROM ps WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), ct AS (SELECT query_id, count(*) AS many FROM qt GROUP BY 1),
+bm AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS have FROM qt JOIN tf USING (term) JOIN df USING (term), st WHERE superseded_at IS NULL GROUP BY 1, 2),
+rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS keyword_rank FROM bm JOIN ct USING (query_id) WHERE have = many),
+dv AS (SELECT qs.query_id, b.id, row_number() OVER (PARTITION BY qs.query_id ORDER BY round(list_distance(a.v, b.v), 6), b.id) AS vector_rank FROM qs JOIN vec a ON a.vec_id = qs.query_id, vec b JOIN mem ON mem.id = b.id AND superseded_at IS NULL),
+fm AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.id, y.id) AS id, coalesce(1 / (60.0 + vector_rank), 0) + coalesce(1 / (60.0 + keyword_rank), 0) AS rrf_score FROM (SELECT * FROM dv WHERE vector_rank <= 60) x FULL JOIN (SELECT * FROM rk WHERE keyword_rank <= 60) y ON x.query_id = y.query_id AND x.id = y.id),
+rs AS (SELECT query_id, mem.id, round(rrf_score, 6) AS rrf_score, round(rrf_score + {BOOSTS}, 6) AS score FROM fm JOIN mem ON mem.id = fm.id AND superseded_at IS NULL),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM rs) SELECT query_id, id, rrf_score, score, rank FROM rr WHERE rank <= 20""")
+def recall_batch(spark, sf_dir):
+    """A hundred recalls at once."""
+    rows = Q.recall_many(K.memories(spark, sf_dir), index(spark, sf_dir, False), _batch(spark, sf_dir), now(), K.vectors(spark, sf_dir).select("id", "vec"))
+    return rows.select("query_id", "id", "rrf_score", "score", "rank")
 
 
 # Texts with the entities and relations that the driver's texts lack.
@@ -295,14 +405,11 @@ def submit_status(spark, sf_dir):
     return K.submitted(rows, base.NOW).select(F.col("namespace").cast("long").alias("doc_id"), "status", "reason")
 
 
-# Times as text.
-TIMES = ["2024-05-06T07:08:09Z", "2024-05-06T07:08:09+02:00", "2024-05-06 07:08:09", "2024-05-06", "soon", ""]
-
-
-@query("SELECT * FROM (VALUES ('2024-05-06T07:08:09Z', '2024-05-06 07:08:09'), ('2024-05-06T07:08:09+02:00', '2024-05-06 05:08:09'), ('2024-05-06 07:08:09', '2024-05-06 07:08:09'), ('2024-05-06', '2024-05-06 00:00:00'), ('soon', NULL), ('', NULL)) v(given, parsed)")
+@query("""SELECT stamp_id, strftime(CASE WHEN regexp_full_match(raw, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(Z|[+-]\\d{2}:\\d{2})') THEN try_strptime(raw[1:19], '%Y-%m-%dT%H:%M:%S') - CASE WHEN right(raw, 1) = 'Z' THEN INTERVAL 0 MINUTE ELSE to_minutes((CASE WHEN raw[20] = '-' THEN -1 ELSE 1 END * (raw[21:22]::INT * 60 + raw[24:25]::INT))::BIGINT) END
+WHEN regexp_full_match(raw, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN try_strptime(raw, '%Y-%m-%d %H:%M:%S') WHEN regexp_full_match(raw, '\\d{4}-\\d{2}-\\d{2}') THEN try_strptime(raw, '%Y-%m-%d') END, '%Y-%m-%d %H:%M:%S') AS parsed FROM stamps""")
 def parsed_times(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in TIMES], "given string")
-    return rows.select("given", F.date_format(K.parse_time(F.col("given")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+    rows = K.table(spark, sf_dir, "stamps")
+    return rows.select("stamp_id", F.date_format(K.parse_time(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("""SELECT name, source_type FROM (SELECT url AS name, CASE WHEN lower(url) LIKE '%.txt' THEN 'text' WHEN lower(url) LIKE '%.md' THEN 'markdown' WHEN lower(url) LIKE '%.json' THEN 'json' WHEN lower(url) LIKE '%.csv' THEN 'csv' ELSE 'file' END AS source_type FROM (SELECT 'a.TXT' AS url UNION ALL SELECT 'b.md' UNION ALL SELECT 'c.json' UNION ALL SELECT 'd.csv' UNION ALL SELECT url FROM pages))""")
@@ -313,12 +420,12 @@ def source_types(spark, sf_dir):
 
 
 def queries() -> dict:
-    from . import graph_queries, library_queries  # noqa: F401 - they register theirs
+    from . import graph_queries, library_queries, store_queries  # noqa: F401 - they register theirs
 
     return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import graph_queries, library_queries  # noqa: F401 - they register theirs
+    from . import graph_queries, library_queries, store_queries  # noqa: F401 - they register theirs
 
     return dict(base.SQL)

@@ -70,7 +70,7 @@ def submitted(rows: DataFrame, now: str, gate: bool = True) -> DataFrame:
     at = F.lit(now).cast("timestamp_ntz")
     marked = clean.withColumn("reason", reason).withColumn("status", F.when(F.col("content") == "", "empty").when(F.col("reason") != "", "blocked").otherwise("stored"))
     return marked.select(
-        F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("|", "namespace", "content"), 256), 1, 16)).alias("id"), "content",
+        X.content_id("mem_", F.col("namespace"), F.col("content")).alias("id"), "content",
         F.when(F.col("type") == "note", X.infer_type(F.col("content"))).otherwise(F.col("type")).alias("mem_type"), "namespace",
         F.lit(0.4).alias("importance"), F.lit(0).cast("long").alias("access_count"), F.lit(False).alias("pinned"), at.alias("created_at"), at.alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("superseded_at"), F.lit(0).cast("long").alias("edge_count"), "status", "reason",
@@ -147,6 +147,21 @@ def write_json(rows: DataFrame, path: str) -> None:
     as_json(rows).write.text(path)
 
 
+def as_lines(rows: DataFrame) -> DataFrame:
+    """(rank, value): recalled rows as lines for people: rank, score, type and the
+    content's beginning, its white space as single blanks."""
+    content = X.truncate(F.regexp_replace(F.btrim("content", F.lit(BLANKS)), r"\s+", " "), 200)
+    return rows.select("rank", F.format_string("%d. [%.3f] (%s) %s", F.col("rank").cast("int"), F.col("score").cast("double"), F.col("type"), content).alias("value")).orderBy("rank")
+
+
+def as_object(rows: DataFrame, name: str = "results", **more: Column) -> DataFrame:
+    """(value): a list's rows, by rank, as one JSON object: {name: [...], "count": n}
+    and what else is given. For lists that are cut; a whole table goes to as_json."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*rows.columns).alias("r")))), lambda x: x["r"])
+    out = rows.agg(own.alias(name), F.count(F.lit(1)).alias("count"))
+    return out.select(F.to_json(F.struct(name, "count", *(c.alias(k) for k, c in more.items())), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def log_compaction(log: DataFrame, path: str) -> None:
     """Append rows of a compaction log."""
     log.write.mode("append").parquet(path)

@@ -1,105 +1,357 @@
-"""The keyword index: postings and corpus counts as tables, written once."""
+"""The keyword index: blocks of postings in segments, with what bounds their scores.
+
+A segment's texts are dealt to parts: of texts of about one length, of so many at
+most. A block is a term's postings in a part, with the highest count of the term and
+the least length, so a query's best score in a part is bounded without its postings
+being read. Lengths stand in the postings; nothing else is read to score them.
+
+Segments are added, and those of forgotten texts count against the ones before;
+levels of segments are merged as they fill.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 from ..functions import text as X
 from ..functions.stem import stem
 from .tables import shared_dir
+from .versions import Files, Versions
+
+#: Texts of a part at most, on average.
+PART = 64
+#: Postings of a folder of terms, on average.
+FOLDER = 4_000_000
+#: Length classes a doubling of the length.
+CLASSES = 4
+#: Segments of a level that are merged into one of the next.
+FAN = 4
+BLOCK = "bucket int, term string, part long, n int, most int, least int, ids array<string>, tfs array<int>, dls array<int>, ats array<array<int>>"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """path: where its blocks and docs lie; counts of texts and of their words;
+    dead: its texts are gone from the segments before it."""
 
-#: Postings lie in so many folders by a hash of the term, sorted by term in each.
-BUCKETS = 32
-#: A folder's postings are dealt to so many tasks.
-SALT = 4
+    path: str
+    buckets: int
+    n: int
+    words: int
+    level: int = 0
+    dead: bool = False
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (bucket, term, id, tf, at), docs (id, dl), counts (n, avgdl)."""
+    """What a version of the index consists of, the oldest segment first."""
+
+    spark: SparkSession
+    segments: tuple[Segment, ...]
+    stemmed: bool = True
+
+    @property
+    def n(self) -> int:
+        return sum(-s.n if s.dead else s.n for s in self.segments)
+
+    @property
+    def avgdl(self) -> float:
+        return sum(-s.words if s.dead else s.words for s in self.segments) / max(self.n, 1)
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.spark.createDataFrame([(self.n, self.avgdl if self.n else None)], "n long, avgdl double")
+
+    def blocks(self, terms: list[str] | None = None, prefix: str | None = None, positions: bool = True) -> DataFrame:
+        """Blocks (seg, dead, term, part, n, most, least, ...) of terms or of those
+        with a beginning: folders and, by their statistics, row groups of other terms
+        aren't read; where the arrays aren't used, they aren't either."""
+        out = None
+        for number, s in enumerate(self.segments):
+            rows = self.spark.read.schema(BLOCK).parquet(f"{s.path}/blocks")
+            if terms is not None:
+                rows = rows.filter(F.col("bucket").isin(sorted({bucket_of(t, s.buckets) for t in terms})) & F.col("term").isin(sorted(set(terms))))
+            elif prefix is not None:
+                rows = rows.filter(F.col("term").startswith(prefix))
+            rows = rows.select(F.lit(number).alias("seg"), F.lit(s.dead).alias("dead"), *([c for c in rows.columns if c != "bucket" and (positions or c != "ats")]))
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], f"seg int, dead boolean, {BLOCK.split(', ', 1)[1]}")
+
+    def gone(self) -> DataFrame | None:
+        """(id, killed): texts forgotten, and the last segment that forgets them."""
+        out = None
+        for number, s in enumerate(self.segments):
+            if s.dead:
+                rows = self.spark.read.schema("id string, dl int").parquet(f"{s.path}/docs").select("id", F.lit(number).alias("killed"))
+                out = rows if out is None else out.unionByName(rows)
+        return out.groupBy("id").agg(F.max("killed").alias("killed")) if out is not None else None
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """rows (id, seg, ...) of texts that no later segment forgets."""
+        gone = self.gone()
+        return rows if gone is None else rows.join(gone, "id", "left").filter(F.col("killed").isNull() | (F.col("killed") < F.col("seg"))).drop("killed")
+
+    def postings(self, blocks: DataFrame) -> DataFrame:
+        """(term, id, tf, dl, at) of blocks, without forgotten texts."""
+        at = ["ats"] if "ats" in blocks.columns else []
+        rows = blocks.filter(~F.col("dead")).select("seg", "term", F.explode(F.arrays_zip("ids", "tfs", "dls", *at)).alias("p"))
+        rows = rows.select("seg", "term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), *(F.col(f"p.{c}").alias("at") for c in at))
+        return self.alive(rows).drop("seg")
+
+    def query_terms(self, text: Column) -> Column:
+        """The words of many queries' texts (each once) as an array column."""
+        if not self.stemmed:
+            return F.array_distinct(X.words(text))
+        return F.array_distinct(F.pandas_udf(_stems, "array<string>")(X.words(text)))
+
+    def terms_of(self, text: str) -> list[str]:
+        """The words of a query's text, as this index has them."""
+        return X.terms(text) if self.stemmed else X.plain_terms(text)
+
+
+def _stems(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda words: [stem(w) for w in words])
+
+
+def bucket_of(term: str, buckets: int) -> int:
+    """The folder of a term, as a segment's writer computes it."""
+    return zlib.crc32(term.encode()) % buckets
+
+
+def _class(dl: Column) -> Column:
+    return F.floor(CLASSES * F.log2(F.greatest(dl, F.lit(1)).cast("double"))).cast("int")
+
 
-    postings: DataFrame
-    docs: DataFrame
-    counts: DataFrame
+def _parts(docs: DataFrame) -> Column:
+    """The part of a row (id, dl) of docs: its length class and, by a hash, one of as
+    many parts as the class needs. A row a class goes to the driver."""
+    sizes = {r["c"]: math.ceil(r["n"] / PART) for r in docs.groupBy(_class(F.col("dl")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = F.coalesce(F.create_map(*(F.lit(x) for kv in (sizes or {0: 1}).items() for x in kv))[_class(F.col("dl"))], F.lit(1))
+    return (_class(F.col("dl")).cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), many.cast("long"))).alias("part")
 
-    def of_terms(self, terms: list[str]) -> DataFrame:
-        """Postings of some terms: folders and, by their statistics, row groups
-        of other terms aren't read."""
-        buckets = sorted({bucket_of(t) for t in terms})
-        return self.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(set(terms))))
 
-    def of_prefix(self, prefix: str) -> DataFrame:
-        return self.postings.filter(F.col("term").startswith(prefix))
+POSTED = pa.schema(
+    [("term", pa.string()), ("part", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("least", pa.int32()), ("ids", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32())), ("dls", pa.list_(pa.int32())), ("ats", pa.list_(pa.list_(pa.int32())))]
+)
 
 
-def bucket_of(term: str) -> int:
-    """The folder of a term, as build() computes it."""
-    return zlib.crc32(term.encode()) % BUCKETS
+def _blocks(part: int, ids: list[str], texts: list[list[str]], stems: dict[str, str] | None) -> pa.RecordBatch:
+    """The blocks of a part's texts (lists of words), a row a term, in order."""
+    codes: dict[str, int] = defaultdict()
+    codes.default_factory = codes.__len__
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter((codes[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+    words = list(codes)
+    if stems is not None:
+        words = [stems[w] if w in stems else stems.setdefault(w, stem(w)) for w in words]
+    terms = sorted(set(words))
+    number = {t: i for i, t in enumerate(terms)}
+    flat = np.array([number[w] for w in words], np.int64)[flat]
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keys = flat * len(texts) + doc
+    order = np.argsort(keys, kind="stable")
+    keys, place = keys[order], place[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))  # of each posting
+    term, own = np.divmod(keys[first], len(texts))
+    tf, dl = np.diff(first, append=len(keys)), sizes[own]
+    begin = np.flatnonzero(np.diff(term, prepend=-1))  # of each block
+    offsets = pa.array(np.append(begin, len(term)), pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+    ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), pa.array(place, pa.int32()))
+    columns = [
+        pa.array(terms), pa.array(np.full(len(terms), part)), pa.array(np.diff(begin, append=len(term)), pa.int32()), pa.array(np.maximum.reduceat(tf, begin), pa.int32()), pa.array(np.minimum.reduceat(dl, begin), pa.int32()),
+        lists(pa.array(ids, pa.string()).take(pa.array(own))), lists(pa.array(tf, pa.int32())), lists(pa.array(dl, pa.int32())), lists(ats),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=POSTED)
 
 
 def _posted(stemmed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (part, id, w), those of a part one after the other, its blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, str] = {}
+        stems: dict[str, str] | None = {} if stemmed else None
+        now, ids, texts = None, [], []
         for batch in batches:
-            if len(held) > 300_000:
-                held.clear()
-            for begin in range(0, batch.num_rows, 256):
-                some = batch.slice(begin, 256)
-                ids, terms, places = [], [], []
-                for key, words in zip(some["id"].to_pylist(), some["w"].to_pylist(), strict=True):
-                    found: dict[str, list[int]] = {}
-                    for i, w in enumerate(words):
-                        if stemmed:
-                            if w not in held:
-                                held[w] = stem(w)
-                            w = held[w]
-                        found.setdefault(w, []).append(i)
-                    ids += [key] * len(found)
-                    terms += found
-                    places += found.values()
-                columns = [pa.array(terms, pa.string()), pa.array(ids, pa.string()), pa.array(map(len, places), pa.int32()), pa.array(places, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "tf", "at"])
+            if stems is not None and len(stems) > 300_000:
+                stems.clear()
+            for part, key, words in zip(batch["part"].to_pylist(), batch["id"].to_pylist(), batch["w"].to_pylist(), strict=True):
+                if part != now:
+                    if ids:
+                        yield _blocks(now, ids, texts, stems)
+                    now, ids, texts = part, [], []
+                if words:
+                    ids.append(key)
+                    texts.append(words.split(" "))
+        if ids:
+            yield _blocks(now, ids, texts, stems)
 
     return run
 
 
+def _write(blocks: DataFrame, docs: DataFrame, path: str, level: int, dead: bool) -> Segment:
+    """Write blocks (without a bucket) to path/blocks; docs are there already. There
+    are as many tasks as the words need, and a term that stands in all texts is as
+    many tasks' as these need."""
+    spark = blocks.sparkSession
+    told = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    n, words = int(told[0]), int(told[1])
+    salts = max(1, math.ceil(n / FOLDER))
+    buckets = max(1, math.ceil(words / FOLDER / salts))
+    placed = blocks.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+    dealt = placed.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("part"), F.lit(salts)))
+    dealt.sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    segment = Segment(path, buckets, n, words, level, dead)
+    spark.createDataFrame([(json.dumps(segment.__dict__ | {"path": ""}),)], "told string").coalesce(1).write.parquet(f"{path}/segment")
+    return segment
+
+
+def write_segment(memories: DataFrame, path: str, stemmed: bool = True, level: int = 0, dead: bool = False) -> Segment:
+    """Write the postings of memories (id, content) as a segment. Texts are shuffled
+    once, to their parts, blocks once, to their terms."""
+    spark = memories.sparkSession
+    rows = memories.select("id", X.words(F.col("content")).alias("w")).select("id", F.size("w").alias("dl"), F.array_join("w", " ").alias("w"))
+    rows.write.parquet(f"{path}/words")
+    rows = spark.read.schema("id string, dl int, w string").parquet(f"{path}/words")
+    rows.select("id", "dl").write.parquet(f"{path}/docs")
+    docs = spark.read.schema("id string, dl int").parquet(f"{path}/docs")
+    dealt = rows.select(_parts(docs), "id", "w").repartition("part").sortWithinPartitions("part", "id")
+    segment = _write(dealt.mapInArrow(_posted(stemmed), BLOCK.split(", ", 1)[1]), docs, path, level, dead)
+    Files(spark, path).delete("words")
+    return segment
+
+
+def merged_segment(index: Index, path: str, level: int) -> Segment:
+    """The segments of index as one, without what is forgotten."""
+    spark = index.spark
+    docs = None
+    for number, s in enumerate(index.segments):
+        if not s.dead:
+            rows = spark.read.schema("id string, dl int").parquet(f"{s.path}/docs").withColumn("seg", F.lit(number))
+            docs = rows if docs is None else docs.unionByName(rows)
+    index.alive(docs if docs is not None else spark.createDataFrame([], "id string, dl int, seg int")).drop("seg").write.parquet(f"{path}/docs")
+    docs = spark.read.schema("id string, dl int").parquet(f"{path}/docs")
+    every = index.postings(index.blocks()).withColumn("part", _parts(docs))
+    own = F.array_sort(F.collect_list(F.struct("id", "tf", "dl", "at")))
+    lists = every.groupBy("term", "part").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), own.alias("p"))
+    blocks = lists.select("term", "part", "n", "most", "least", *(F.col(f"p.{a}").alias(b) for a, b in (("id", "ids"), ("tf", "tfs"), ("dl", "dls"), ("at", "ats"))))
+    return _write(blocks, docs, path, level, False)
+
+
 def build(memories: DataFrame, path: str | None = None, stemmed: bool = True) -> str:
     """Write the index of memories, superseded ones too, to path (a new folder in
-    the shared one if none) and return it. at are the term's places in its text.
-    Nothing is shuffled but one row a text and term, by bucket and a salt of the
-    id, so that a frequent term's postings are several tasks'."""
-    spark = memories.sparkSession
-    path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    rows = memories.select("id", X.words(F.col("content")).alias("w"))
-    rows.select("id", F.size("w").alias("dl")).write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/counts")
-    posted = rows.mapInArrow(_posted(stemmed), "term string, id string, tf int, at array<int>").withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
-    dealt = posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    the shared one if none) and return it."""
+    path = path or f"{shared_dir(memories.sparkSession)}/index-{uuid.uuid4().hex}"
+    IndexStore(memories.sparkSession, path, stemmed).insert(memories)
     return path
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.schema("term string, id string, tf int, at array<int>, bucket int").parquet(f"{path}/postings")
-    return Index(postings, spark.read.schema("id string, dl int").parquet(f"{path}/docs"), spark.read.schema("n long, avgdl double").parquet(f"{path}/counts"))
+    return IndexStore(spark, path).open()
+
+
+class IndexStore:
+    """An index that is kept up to date: a manifest names its segments."""
+
+    def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, fan: int = FAN):
+        self.spark, self.root, self.fan = spark, root.rstrip("/"), fan
+        self.versions = Versions(spark, root)
+        self.stemmed = self.versions.manifest().marks.get("stemmed", stemmed)
 
+    def open(self, version: int | None = None) -> Index:
+        told = self.versions.manifest(version).marks.get("segments", [])
+        return Index(self.spark, tuple(Segment(**s | {"path": f"{self.root}/{s['path']}"}) for s in told), self.stemmed)
 
-_BUILT: dict[str, str] = {}
+    def _add(self, memories: DataFrame, dead: bool) -> None:
+        with self.versions.change() as c:
+            name = f"data/{uuid.uuid4().hex}"
+            s = write_segment(memories, f"{self.root}/{name}", self.stemmed, 0, dead)
+            own = c.manifest.marks.get("segments", [])
+            c.mark("segments", [*own, s.__dict__ | {"path": name}] if s.n else own)
+            c.mark("stemmed", self.stemmed)
+        self.settle()
 
+    def insert(self, memories: DataFrame) -> None:
+        """Add texts whose ids the index doesn't have; merge levels that are full."""
+        self._add(memories, False)
 
-def kept(memories: DataFrame, key: object, stemmed: bool = True) -> Index:
-    """The index that this session built for key, built at the first call."""
+    def forget(self, memories: DataFrame) -> None:
+        """Take texts that the index has, given with their contents, out of it."""
+        if self.open().segments:
+            self._add(memories, True)
+
+    def settle(self) -> None:
+        """Merge the newest segments, from the first of a run of `fan` of a level, into
+        one of the next level, until no level is full. Segments stay in their order; a
+        run in which texts are forgotten is merged with all before it, where those
+        texts may be."""
+        while (run := self._full()) is not None:
+            self.merge(*run)
+
+    def _full(self) -> tuple[int, int] | None:
+        own = self.open().segments
+        for level in {s.level for s in own}:
+            at = [i for i, s in enumerate(own) if s.level <= level]
+            first = next((i for i, s in enumerate(own) if all(x.level <= level for x in own[i:])), None)
+            if first is not None and sum(own[i].level == level for i in at if i >= first) >= self.fan:
+                forgets = any(s.dead for s in own[first:])
+                return (0, 1 + max(s.level for s in own)) if forgets else (first, level + 1)
+        return None
+
+    def merge(self, first: int = 0, level: int | None = None) -> None:
+        """Write the segments from place `first` on as one; all, where texts are
+        forgotten in them."""
+        with self.versions.change() as c:
+            own = c.manifest.marks.get("segments", [])
+            index = self.open(c.manifest.version or None)
+            first = 0 if any(x.dead for x in index.segments[first:]) else first
+            tail = Index(self.spark, index.segments[first:], self.stemmed)
+            name = f"data/{uuid.uuid4().hex}"
+            s = merged_segment(tail, f"{self.root}/{name}", level if level is not None else 1 + max((x.level for x in tail.segments), default=0))
+            c.mark("segments", [*own[:first], s.__dict__ | {"path": name}] if s.n else own[:first])
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Drop all but the last versions and the folders that none of these names."""
+        v, numbers = self.versions, self.versions.numbers()
+        stay = {s["path"] for n in numbers[-keep:] for s in v.manifest(n).marks.get("segments", [])}
+        for n in numbers[:-keep]:
+            v.files.delete(f"_versions/{n:020d}.json")
+        for name, _ in v.files.list("data"):
+            if f"data/{name}" not in stay:
+                v.files.delete(f"data/{name}")
+
+
+_BUILT: dict[str, tuple[tuple, str]] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names and times of what a path has, which tell that data there changed."""
+    files = Files(spark, path)
+    if not files.fs.exists(files.path("")):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.fs.listStatus(files.path(""))))
+
+
+def kept(memories: DataFrame, key: object, stemmed: bool = True, path: str | None = None) -> Index:
+    """The index that this session built for key, built at the first call and again
+    where the data under path, if given, is no longer the same."""
     spark = memories.sparkSession
-    name = json.dumps([spark.sparkContext.applicationId, str(key), stemmed])
-    if name not in _BUILT:
-        _BUILT[name] = build(memories, stemmed=stemmed)
-    return load(spark, _BUILT[name])
+    name, state = json.dumps([spark.sparkContext.applicationId, str(key), stemmed]), state_of(spark, path) if path else ()
+    if name not in _BUILT or _BUILT[name][0] != state:
+        _BUILT[name] = state, build(memories, stemmed=stemmed)
+    return load(spark, _BUILT[name][1])
+
+

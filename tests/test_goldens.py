@@ -160,12 +160,14 @@ def test_approximate_neighbours(spark, sf_dir, tmp_path):
 def test_hooks(spark):
     rows = spark.createDataFrame([("a", "one two"), ("b", "bad"), ("c", None)], "id string, content string")
     first = H.Embedder("first", 2, lambda texts: [None if t == "bad" else [float(len(t)), 0.0] for t in texts])
-    broken = H.Embedder("broken", 2, lambda texts: 1 / 0)
+    errors = H.Errors(spark)
+    broken = H.Embedder("broken", 2, lambda texts: 1 / 0, errors=errors)
     absent = H.Embedder("absent", 2, lambda texts: [[9.0, 9.0]] * len(texts), lambda: False)
     last = H.Embedder("last", 2, lambda texts: [[1.0, 1.0]] * len(texts))
     chain = H.Chain((absent, broken, first, last))
     assert chain.current is broken and chain.one("bad") == [1.0, 1.0] and H.Chain((absent,)).one("x") is None
     assert {r["id"]: r["vec"] for r in chain.embed(rows).collect()} == {"a": [7.0, 0.0], "b": [1.0, 1.0], "c": [0.0, 0.0]}
+    assert errors.count >= 1 and errors.first == "ZeroDivisionError: division by zero"
     assert all(r["vec"] is None for r in H.Chain((absent,)).embed(rows).collect())
     hashed = H.hashing_embedder(8).one("one two one")
     assert sum(x * x for x in hashed) == pytest.approx(1.0)
@@ -269,6 +271,12 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, None)], "id string, n int, x string")
     K.write_json(rows, str(tmp_path / "out"))
     assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()] == [{"id": "a", "n": 1, "x": None}]
+    found = spark.createDataFrame([("b", 2, 0.25, "fact", "two\n lines"), ("a", 1, 0.5, "note", " x " + "y" * 300)], "id string, rank int, score double, type string, content string")
+    assert [r["value"] for r in K.as_lines(found).collect()] == ["1. [0.500] (note) x " + "y" * 195 + "...", "2. [0.250] (fact) two lines"]
+    (only,) = K.as_object(found, query=F.lit("q")).collect()
+    told = json.loads(only["value"])
+    assert (told["count"], told["query"], [r["id"] for r in told["results"]]) == (2, "q", ["a", "b"])
+    assert json.loads(K.as_object(found.limit(0)).first()["value"]) == {"results": [], "count": 0}
     for _ in range(2):
         K.log_compaction(rows, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
