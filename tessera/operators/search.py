@@ -129,31 +129,70 @@ FIRST = 4
 HEADS = 200_000
 
 
-def _bounds(index: Index, terms: list[str], mode: str) -> tuple[dict[str, int], int, DataFrame, int]:
-    """Of some terms: df of those there are, how many blocks they have, and what
-    each part can score at most: (seg, part, blocks, bound), and how many parts."""
-    spark, avgdl = index.spark, max(index.avgdl, 1e-9)
+@dataclass(frozen=True)
+class _Bounds:
+    """df of a query's terms that there are, how many blocks they have, and (seg,
+    part, blocks, bound) of the parts that may hold a hit, the best first: as a
+    list where that is short by the size of the index, else as a table."""
+
+    df: dict[str, int]
+    total: int
+    listed: list[tuple] | None
+    table: DataFrame | None = None
+
+    KIND = "seg int, part long, blocks long, bound double"
+
+    def first(self, n: int) -> list[tuple]:
+        if self.listed is not None:
+            return self.listed[:n]
+        return [tuple(r) for r in self.table.orderBy(F.desc("bound"), "seg", "part").limit(n).collect()]
+
+    def above(self, least: float) -> tuple[list[tuple] | DataFrame, int]:
+        """The parts that may reach a score, and how many blocks they have."""
+        if self.listed is not None:
+            rows = [r for r in self.listed if r[3] >= least]
+            return rows, sum(r[2] for r in rows)
+        rows = self.table.filter(F.col("bound") >= least)
+        return rows, int(rows.agg(F.sum("blocks")).first()[0] or 0)
+
+
+def _of_parts(blocks: DataFrame, parts: list[tuple] | DataFrame) -> DataFrame:
+    """Blocks of some parts: of a short list by a filter that the scan takes too."""
+    if isinstance(parts, list) and len(parts) > 2000:
+        parts = blocks.sparkSession.createDataFrame(parts, _Bounds.KIND)
+    if not isinstance(parts, list):
+        return blocks.join(F.broadcast(parts.select("seg", "part")), ["seg", "part"], "left_semi") if parts.isLocal() else blocks.join(parts.select("seg", "part"), ["seg", "part"], "left_semi")
+    by: dict[int, list[int]] = {}
+    for r in parts:
+        by.setdefault(r[0], []).append(r[1])
+    keep = F.lit(False)
+    for seg, own in by.items():
+        keep = keep | ((F.col("seg") == seg) & F.col("part").isin(own))
+    return blocks.filter(keep)
+
+
+def _bounds(index: Index, terms: list[str], mode: str) -> _Bounds:
+    """What each part can score at most, from the heads of the terms' blocks."""
+    avgdl = max(index.avgdl, 1e-9)
     heads = index.blocks(terms, positions=False).select("seg", "dead", "term", "part", "n", "most", "least")
-    kind = "seg int, part long, blocks long, bound double"
-    some = heads.limit(HEADS + 1).toPandas()  # heads alone
-    own = some if len(some) <= HEADS else heads.groupBy("term", "dead").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).toPandas()
-    sign = np.where(own["dead"], -1, 1) if len(own) else np.zeros(0)
-    df = {t: int(v) for t, v in (own["n"] * sign).groupby(own["term"]).sum().items()} if len(own) else {}
+    short = len(terms) * sum(s.n // PART + 256 for s in index.segments) <= HEADS
+    own = (heads if short else heads.groupBy("term", "dead").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))).toPandas()
+    df = {t: int(v) for t, v in (own["n"] * np.where(own["dead"].astype(bool), -1, 1)).groupby(own["term"]).sum().items()}
     met = [t for t in terms if t in df]
     idf = {t: _idf(index.n, df[t]) for t in met}
     if not met or mode == "and" and len(met) < len(terms):
-        return {}, 0, spark.createDataFrame([], kind), 0
-    if len(some) <= HEADS:
-        live = some[~some["dead"]]
+        return _Bounds({}, 0, [])
+    if short:
+        live = own[~own["dead"].astype(bool)]
         at_most = live["term"].map(idf) * live["most"] * (K1 + 1) / (live["most"] + K1 * (1 - B + B * live["least"] / avgdl))
         by = live.assign(bound=at_most).groupby(["seg", "part"], as_index=False).agg(blocks=("term", "size"), bound=("bound", "sum"))
         by = by[by["blocks"] == len(met)] if mode == "and" else by
         rows = [(int(r.seg), int(r.part), int(r.blocks), float(r.bound)) for r in by.sort_values(["bound", "seg", "part"], ascending=[False, True, True]).itertuples()]
-        return {t: df[t] for t in met}, len(live), spark.createDataFrame(rows, kind), len(rows)
+        return _Bounds({t: df[t] for t in met}, len(live), rows)
     of = F.create_map(*(F.lit(x) for kv in idf.items() for x in kv))
-    bounds = heads.filter(~F.col("dead")).groupBy("seg", "part").agg(F.count(F.lit(1)).alias("blocks"), F.sum(of[F.col("term")] * _weight(F.col("most"), F.col("least"), avgdl)).alias("bound"))
-    bounds = written(bounds.filter(F.col("blocks") == len(met)) if mode == "and" else bounds, "bounds")
-    return {t: df[t] for t in met}, int(own["blocks"][~own["dead"]].sum()), bounds, bounds.count()
+    table = heads.filter(~F.col("dead")).groupBy("seg", "part").agg(F.count(F.lit(1)).alias("blocks"), F.sum(of[F.col("term")] * _weight(F.col("most"), F.col("least"), avgdl)).alias("bound"))
+    table = written(table.filter(F.col("blocks") == len(met)) if mode == "and" else table, "bounds")
+    return _Bounds({t: df[t] for t in met}, int(own["blocks"][~own["dead"].astype(bool)].sum()), None, table)
 
 
 def top_words(index: Index, terms: list[str], k: int, mode: str = "and", among: DataFrame | None = None) -> TopWords:
@@ -166,46 +205,48 @@ def top_words(index: Index, terms: list[str], k: int, mode: str = "and", among:
     the others are read. among is asked for texts at the top of the list alone, more
     of them until k are in it.
     """
-    spark, avgdl = index.spark, max(index.avgdl, 1e-9)
-    df, total, bounds, parts = _bounds(index, terms, mode)
-    met = list(df)
-    if not parts:
-        return TopWords([], total, 0)
+    avgdl, bounds = max(index.avgdl, 1e-9), _bounds(index, terms, mode)
+    df, met = bounds.df, list(bounds.df)
+    if not met:
+        return TopWords([], bounds.total, 0)
     blocks = index.blocks(met, positions=False)
 
-    def scored(these: DataFrame) -> DataFrame:
-        found = index.postings(blocks.join(F.broadcast(these.select("seg", "part")), ["seg", "part"], "left_semi"))
+    def scored(these: list[tuple] | DataFrame) -> DataFrame:
+        found = index.postings(_of_parts(blocks, these))
         each = found.groupBy("id").agg(F.max("dl").alias("dl"), *(F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"t{i}") for i, t in enumerate(met)))
         if mode == "and":
             each = each.dropna(subset=[f"t{i}" for i in range(len(met))])
         score = sum((F.coalesce(F.lit(_idf(index.n, df[t])) * _weight(F.col(f"t{i}"), F.col("dl"), avgdl), F.lit(0.0)) for i, t in enumerate(met)), F.lit(0.0))
         return each.select("id", F.round(score, 6).alias("score"))
 
-    def best(these: DataFrame, m: int) -> list:
+    def best(these: list[tuple] | DataFrame, m: int) -> list:
         return [(r["id"], r["score"]) for r in scored(these).orderBy(F.desc("score"), "id").limit(m).collect()]
 
+    known: dict[str, bool] = {}
+
     def kept(found: list) -> list:
-        if among is None or not found:
+        if among is None:
             return found
-        ids = among.select("id").filter(F.col("id").isin([i for i, _ in found]))
-        live = {r["id"] for r in ids.collect()}  # of found's ids
-        return [x for x in found if x[0] in live]
+        asked = [i for i, _ in found if i not in known]
+        if asked:
+            live = {r["id"] for r in among.select("id").filter(F.col("id").isin(asked)).collect()}  # of found's ids
+            known.update((i, i in live) for i in asked)
+        return [x for x in found if known[x[0]]]
 
     m, first, least = (k if among is None else 4 * k), max(FIRST, -(-2 * k // PART)), float("-inf")
-    opened = bounds if parts <= first else spark.createDataFrame(bounds.orderBy(F.desc("bound"), "seg", "part").limit(first).collect(), bounds.schema)
+    head = bounds.first(first)
+    opened, n = head, sum(r[2] for r in head)
     found = best(opened, m)
     own = kept(found)
-    while parts > first or len(own) < k and len(found) == m:
+    while len(head) == first or len(own) < k and len(found) == m:
         least = max(least, own[k - 1][1]) if len(own) >= k else least
-        opened = bounds.filter(F.col("bound") >= least - 2e-6)  # scores are rounded
-        if parts <= HEADS:
-            opened = spark.createDataFrame(opened.collect(), bounds.schema)
+        opened, n = bounds.above(least - 2e-6)  # scores are rounded
         found = best(opened, m)
         own = kept(found)
         if len(own) >= k or len(found) < m:
             break
         m *= 4
-    return TopWords(own[:k], total, int(opened.agg(F.sum("blocks")).first()[0] or 0))
+    return TopWords(own[:k], bounds.total, n)
 
 
 #: A list of at most so many is made by top_words.
@@ -308,7 +349,7 @@ def _listed(spark: SparkSession, rows: DataFrame, most: int) -> tuple[list, Data
     return found, spark.createDataFrame([tuple(r) for r in found], rows.schema)
 
 
-def _near(vectors: DataFrame, vector: Vector | CellIndex, live: DataFrame, depth: int) -> DataFrame:
+def _near(vectors: DataFrame, vector: Vector, live: DataFrame, depth: int) -> list[tuple[str, float]]:
     """The nearest `depth` of live: of longer and longer lists those that are in it,
     until there are enough, so that vectors meet no other table."""
     m = 4 * depth
@@ -317,10 +358,10 @@ def _near(vectors: DataFrame, vector: Vector | CellIndex, live: DataFrame, depth
         here = {r["id"] for r in live.select("id").filter(F.col("id").isin([i for i, _ in found])).collect()} if found else set()  # of found's ids
         own = [x for x in found if x[0] in here]
         if len(own) >= depth or len(found) < m:
-            return live.sparkSession.createDataFrame(own[:depth], "id string, distance double")
+            return own[:depth]
         m *= 4
         if m > 64 * depth:  # few are live: those first
-            return nearest(vectors.join(live.select("id"), "id", "left_semi"), vector, depth)
+            return [(r["id"], r["distance"]) for r in nearest(vectors.join(live.select("id"), "id", "left_semi"), vector, depth).collect()]
 
 
 ITEM = ("id", "content", "type", "namespace", "created_at", "score", "rrf_score", *BOOSTS[:2], "rank")
@@ -350,22 +391,23 @@ def recall(
     spark, depth = memories.sparkSession, max(3 * (limit or DEFAULT_LIMIT), 50)
     live = active(memories, at, namespace)
     query = parse(text, words=index.terms_of) if grammar else plain(text, words=index.terms_of)
-    words = bm25(index, query, depth, live)
-    if vectors is not None and vector is not None:
-        lists = _near(vectors, vector, live, depth)
-    else:
-        lists = words.select("id", F.lit(0.0).alias("distance")).limit(0)
-    found, fused = _listed(spark, fuse(lists, words), 2 * depth)
-    ids = [r["id"] for r in found]
-    reached = None
+    words = [r["id"] for r in bm25(index, query, depth, live).collect()]  # lists of depth
+    near = [i for i, _ in _near(vectors, vector, live, depth)] if vectors is not None and vector is not None else []
+    places: dict[str, list] = {i: [n, None] for n, i in enumerate(near, 1)}
+    for n, i in enumerate(words, 1):
+        places.setdefault(i, [None, None])[1] = n
+    ranks = spark.createDataFrame([(i, *p) for i, p in places.items()], "id string, vector_rank int, keyword_rank int")
+    fused = ranks.withColumn("rrf_score", S.rrf(F.col("vector_rank")) + S.rrf(F.col("keyword_rank")))
+    ids, reached = list(places), None
     if graph is not None:
         seeds = seeds_in_text(graph.nodes, text)
         near, reached = _listed(spark, traverse(seeds, graph.edges, graph.membership, 2, 2 * (limit or DEFAULT_LIMIT), steps=graph.steps()), 2 * (limit or DEFAULT_LIMIT))
-        ids += [r["memory_id"] for r in near]
+        ids += [r["memory_id"] for r in near if r["memory_id"] not in places]
     own = live.filter(F.col("id").isin(ids)) if ids else live.limit(0)
     rows = scored(fused, own, now)
-    rows = merged(rows, reached, own, now) if reached is not None else rows
-    rows = top(rows, limit, least).select("id", "score", "rrf_score", *BOOSTS, "rank")
+    if reached is None:
+        return _items(top(rows, limit, least))
+    rows = top(merged(rows, reached, own, now), limit, least).select("id", "score", "rrf_score", *BOOSTS, "rank")
     return _items(own.select("id", "content", "mem_type", "namespace", "created_at").join(F.broadcast(rows), "id"))  # the lists' rows
 
 

@@ -34,7 +34,7 @@ def _steps(spark, sf_dir):
     few steps, so that the pruning of hops is run."""
     key, state = (spark.sparkContext.applicationId, sf_dir), state_of(spark, f"{sf_dir}/lineitem.parquet")
     if key not in _STEPS or _STEPS[key][0] != state:
-        _STEPS[key] = state, G.adjacency(_edges(spark, sf_dir), 2000)
+        _STEPS[key] = state, G.adjacency(_edges(spark, sf_dir), 20_000)
     return _STEPS[key][1]
 
 
