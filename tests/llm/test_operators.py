@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -413,6 +414,41 @@ def test_html_keeps_siblings_and_doubted_wholes():
     assert main(f"<body><div class=share><div class=ad>{p[0]}</div></div></body>") == four[0]
 
 
+PROSE = [f"This is a passage, number {i}, of the text that a page is for, and it goes on for a while, as prose does." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form action=x>{}</form></body>", "<body><form><div><article>{}</article></div><input name=a></form></body>", "<article>{}</article>", "<body><article><fieldset>{}</fieldset></article></body>",
+    *(f"<body><div class='{w}'>{{}}</div></body>" for w in sorted(html_text.DROPPED_WORDS - html_text.DROPPED_WHOLE)), *(f"<body><{t}>{{}}</{t}></body>" for t in sorted(html_text.CONTAINERS - html_text.DROPPED - {"html", "body", "header", "table", "thead", "tbody", "tfoot", "tr"})),
+])
+def test_html_keeps_all_of_a_wrapped_page(page):
+    assert html_text.main_text(page.format(BODY)) == "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize(("inside", "text"), [
+    ("<section class='side-effects'><p>Headaches, mostly.</p></section>", "Headaches, mostly."), ("<div class='related-work'><p>Others did it.</p></div>", "Others did it."), ("<div role=note><p>Mind this.</p></div>", "Mind this."),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."), ("<p>Press <button>Save</button> twice.</p>", "Press Save twice."), ("<fieldset><legend>Terms</legend><p>All of them.</p></fieldset>", "Terms\n\nAll of them."),
+    ("<h2>Sources</h2><ul><li><a href=1>One, a book</a></li><li><a href=2>Two, a talk</a></li></ul>", "Sources\n\nOne, a book\n\nTwo, a talk"), ("<section id=comment-on-law><p>It binds.</p></section>", "It binds."),
+    ("<div class=advert>buy</div>", None), ("<div class='related-links'><a href=1>a</a></div>", None), ("<form><input><p>name</p></form>", None), ("<aside>s</aside>", None), ("<div class='comments'><p>So true, friend.</p></div>", None), ("<nav><a>x</a></nav>", None),
+])
+def test_html_inside_an_article(inside, text):
+    page = f"<body><nav><a href=/>Home</a></nav><article>{BODY}{inside}<p>{PROSE[0]}</p></article><footer>f</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join([*PROSE, *([text] if text else []), PROSE[0]])
+
+
+def test_html_keeps_short_siblings_between_long_ones():
+    page = f"<body><div class=menu><a href=1>a</a></div><div>{BODY}</div><div>Short.</div><div>{BODY}</div></body>"
+    assert html_text.main_text(page) == "\n\n".join([*PROSE, "Short.", *PROSE])
+
+
+@pytest.mark.parametrize("page", ["<div><p></body>" * 20_000, "<div></section>" * 20_000, "<section><article>" + "<div></section>" * 20_000, "<body>" * 5000 + "</div>" * 20_000])
+def test_html_work_is_linear_in_broken_pages(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, None), (None, "v", "<p>x</p>", 1), (1, "u", PAGE, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
