@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
+from .mixing import ranked
 
 WINDOW, GRAM = 100, 24
 #: Bytes that are worked on at once.
@@ -297,10 +298,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc (NO_ID for null), begin, finish: runs of bytes covered by a window that
-    also starts earlier, in any number and order, overlaps included."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), text_or_empty().alias("_text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, _doc, _text: a number for each document, in the order of doc_ids, null
+    first. It is the doc_id itself, unless some doc_id has several texts: then the
+    distinct pairs of doc_id and text are counted, texts of one doc_id in the order
+    of their hash."""
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), text_or_empty().alias("_text"))
+    told = rows.select("_doc", F.md5("_text").alias("_h")).distinct()
+    if not told.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
+        return rows
+    own = ranked(told.withColumn("_key", F.struct("_doc", "_h")), "_key").select("_doc", "_h", F.col("_rank").cast("long").alias("_n"))
+    return rows.withColumn("_h", F.md5("_text")).join(own, ["_doc", "_h"]).select("doc_id", F.col("_n").alias("_doc"), "_text")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """For rows (_doc, _text), doc, begin, finish: runs of bytes covered by a window
+    that also starts earlier, in any number and order, overlaps included."""
+    rows = rows.select("_doc", "_text")
     kinds = "doc long, begin long, finish long, gram long, at long"
     digits = rows.mapInArrow(_digits, "key long, second long, doc long, at long")
     found = materialize(digits.repartition("key").sortWithinPartitions("key", "second", "doc", "at").mapInArrow(_grouped, kinds), "digits")
@@ -332,13 +346,13 @@ def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     start), judged on the input.
 
     Strings count as equal where two 64-bit hashes do. Null and empty texts have
-    no bytes. A null doc_id comes before any other. doc_id is the key: rows that
-    repeat it with the same text are one document and are each returned; with
-    other texts, they lose the runs found in any of them. Other columns are
+    no bytes. A null doc_id comes before any other. Rows that repeat a doc_id and
+    its text are one document and are each returned; with other texts they are
+    documents of their own, in the order of their texts' hashes. Other columns are
     ignored, an empty table gives no rows.
     """
-    runs = repeats(docs).groupBy("doc").agg(F.collect_list(F.struct("begin", "finish")).alias("_runs"))
-    rows = docs.select("doc_id", text_or_empty().alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"))
+    rows = numbered(docs)
+    runs = repeats(rows).groupBy("doc").agg(F.collect_list(F.struct("begin", "finish")).alias("_runs"))
     met = rows.join(runs, rows["_doc"] == runs["doc"], "left").select("doc_id", "_text", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,6 +223,16 @@ def test_suffix_dedup_is_exact(spark, documents, texts, monkeypatch):
     assert {r["doc_id"]: tuple(r[c] for c in columns) for r in suffix_dedup.dedup(documents).collect()} == without_repeats(texts)
 
 
+def test_suffix_dedup_of_one_id_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b + c[:150]), (None, c), (2, b), (3, None)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = min((b, b + c[:150]), key=lambda t: hashlib.md5(t.encode()).hexdigest()) == b  # of doc 2's texts that share b
+    whole, longer = (0, 450) if first else (300, 150)
+    assert got == Counter([(1, 300, 0), (2, 300, 300), (2, 300, whole), (2, 300, whole), (2, 450, longer), (None, 300, 0), (3, 0, 0)])
+
+
 def test_suffix_dedup_with_hot_marks_and_pieces(monkeypatch):
     """The Arrow functions in this process, with tiny blocks."""
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCK", 2)
