@@ -145,10 +145,17 @@ def secret(text: Column) -> Column:
 
 
 def censor(text: Column) -> Column:
-    """All patterns replaced, one after the other."""
-    for _, pattern, replacement in C.SECRETS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """All patterns replaced, one after the other, each only where a match may be."""
+
+    def step(t: Column, i: int) -> Column:
+        if i == len(C.SECRETS):
+            return t
+        name, pattern, replacement = C.SECRETS[i]
+        new = F.regexp_replace(t, pattern, replacement)
+        new = F.when(_any(t, SECRET_NEEDS[name]), new).otherwise(t) if name in SECRET_NEEDS else new
+        return let(new, lambda n: step(n, i + 1))
+
+    return let(text, lambda t: step(t, 0))
 
 
 def _folding() -> tuple[str, str]:

@@ -41,7 +41,7 @@ def as_of_active(spark, sf_dir):
 
 @query(f"WITH {MEM} SELECT id, content FROM mem WHERE superseded_at IS NULL AND id IN ('mem_00000001', 'mem_00000003', 'mem_00000005')")
 def multi_get(spark, sf_dir):
-    return Q.active(K.memories(spark, sf_dir)).filter(F.col("id").isin("mem_00000001", "mem_00000003", "mem_00000005")).select("id", "content")
+    return K.get_many(K.memories(spark, sf_dir), ["mem_00000001", "mem_00000003", "mem_00000005", "mem_00000001", "none"]).select("id", "content")
 
 
 @query(f"WITH {MEM} SELECT id, content, strftime(superseded_at, '%Y-%m-%d') AS superseded FROM mem WHERE id = 'mem_00000003'")

@@ -121,6 +121,11 @@ def get(memories: DataFrame, ident: str) -> DataFrame:
     return memories.filter(F.col("id") == ident)
 
 
+def get_many(memories: DataFrame, ids: list[str]) -> DataFrame:
+    """The active memories of a list of ids, which the scan takes as a filter."""
+    return memories.filter(F.col("superseded_at").isNull() & F.col("id").isin(list(dict.fromkeys(ids)))) if ids else memories.limit(0)
+
+
 def number(text: str | None, default: int) -> int:
     """The number that a text begins with, if it is 1 or more, else the default."""
     m = re.match(r"\s*([+-]?\d+)", text or "")

@@ -241,6 +241,18 @@ def test_maintenance_cycle(spark):
     gone = {k for k, r in got.items() if r["superseded_at"] is not None}
     assert gone == {"stale", "t2", "t3", "s1", "s2"}
     assert got["t1"]["edge_count"] == 5 and got["hot"]["importance"] == 1.0 and got["a"]["importance"] == 0.3 and got["b"]["importance"] == 0.45
+    names = {r["entity_id"]: (r["name"], r["category"], r["access_count"]) for r in store.graph.nodes.collect()}
+    assert sorted(names.values()) == [("Docker", "tech", 1), ("Go", "tech", 1)]
+    assert sorted((r["memory_id"], names[r["entity_id"]][0], r["weight"]) for r in store.graph.membership.collect()) == [("a", "Docker", 1.0), ("a", "Go", 1.0), ("b", "Docker", 1.0), ("b", "Go", 1.0)]
+    ends = lambda r: {names[r["source_id"]][0], names[r["target_id"]][0]}
+    assert [(ends(r), r["rel_type"], r["weight"]) for r in store.graph.edges.collect()] == [({"Go", "Docker"}, "related_to", 2.0)]
+    assert [(ends(r), r["count"]) for r in store.graph.pairs.collect()] == [({"Go", "Docker"}, 2)]
+    same = {"access_count", "pinned", "created_at", "namespace", "mem_type", "content"}
+    for ident, content, _, more in rows:
+        row = got[ident]
+        assert row["content"] == content and all(row[c] == v for c, v in more.items() if c in same)
+        assert row["importance"] == {"a": 0.3, "b": 0.45, "hot": 1.0}.get(ident, more.get("importance", 0.5)) and row["edge_count"] == {"t1": 5}.get(ident, 0)
+    assert len(got) == len(rows) + 1
     (snap,) = [r for k, r in got.items() if k.startswith("snap_")]
     assert snap["content"] == "📦 Snapshot of 2 old memories:\n• old one\n• old two\n" and snap["mem_type"] == "snapshot" and snap["importance"] == 0.5
 
