@@ -77,6 +77,14 @@ def test_top_words_of_frequent_words_open_few_blocks(spark):
         assert 0 < top.opened < top.blocks / 5
 
 
+@pytest.mark.parametrize("mode", ["and", "or"])
+def test_top_words_by_tables_of_bounds(corpus, monkeypatch, mode):
+    texts, index = corpus
+    monkeypatch.setattr(Q, "HEADS", 0)
+    for words, k in ((["w9", "w12"], 10), (["w2", "none"], 10), (["w40", "w1"], 200)):
+        near(Q.top_words(index, words, k, mode).rows, bm25(texts, words, mode), k)
+
+
 def test_top_words_among(spark, corpus):
     texts, index = corpus
     for step in (3, 900):
