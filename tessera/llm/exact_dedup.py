@@ -49,10 +49,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat a
-    kept id stay too (ids are taken to be stable keys)."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns; rows that repeat a kept
+    id and its text stay too, those of the id with another text only if that is kept."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["_kept_sha"])
+    return docs.join(kept, same, "left_semi")
 
 
 ORACLE_SQL = r"""

@@ -73,6 +73,12 @@ def test_filters_keep_columns(messy):
         f(messy).collect()
 
 
+def test_exact_dedup_of_one_id_with_several_texts(spark):
+    rows = [(1, "a"), (1, "b"), (0, "b"), (1, "a"), (2, "a  c"), (2, "a\tc"), (None, None), (None, "b"), (3, "")]
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, "a"), (1, "a"), (0, "b"), (2, "a  c"), (2, "a\tc"), (3, "")])
+
+
 def test_minhash_estimates_and_equal_texts(documents, texts):
     got = {r["doc_id"]: r for r in minhash.edited_likeness(documents).collect()}
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
