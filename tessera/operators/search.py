@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.match import Node, Phrase, parse, phrases, plain
 from ..sources.postings import PART, Index
-from ..sources.tables import ranked, written
+from ..sources.tables import one_of, ranked, written
 from .graph import Graph, seeds_in_text, traverse
 from .vectors import CellIndex, knn
 
@@ -167,7 +167,7 @@ def _of_parts(blocks: DataFrame, parts: list[tuple] | DataFrame) -> DataFrame:
         by.setdefault(r[0], []).append(r[1])
     keep = F.lit(False)
     for seg, own in by.items():
-        keep = keep | ((F.col("seg") == seg) & F.col("part").isin(own))
+        keep = keep | ((F.col("seg") == seg) & one_of("part", own))
     return blocks.filter(keep)
 
 
@@ -229,7 +229,7 @@ def top_words(index: Index, terms: list[str], k: int, mode: str = "and", among:
             return found
         asked = [i for i, _ in found if i not in known]
         if asked:
-            live = {r["id"] for r in among.select("id").filter(F.col("id").isin(asked)).collect()}  # of found's ids
+            live = {r["id"] for r in among.select("id").filter(one_of("id", asked)).collect()}  # of found's ids
             known.update((i, i in live) for i in asked)
         return [x for x in found if known[x[0]]]
 
@@ -355,7 +355,7 @@ def _near(vectors: DataFrame, vector: Vector, live: DataFrame, depth: int) -> li
     m = 4 * depth
     while True:
         found = [(r["id"], r["distance"]) for r in nearest(vectors, vector, m).collect()]
-        here = {r["id"] for r in live.select("id").filter(F.col("id").isin([i for i, _ in found])).collect()} if found else set()  # of found's ids
+        here = {r["id"] for r in live.select("id").filter(one_of("id", [i for i, _ in found])).collect()} if found else set()  # of found's ids
         own = [x for x in found if x[0] in here]
         if len(own) >= depth or len(found) < m:
             return own[:depth]
@@ -403,7 +403,7 @@ def recall(
         seeds = seeds_in_text(graph.nodes, text)
         near, reached = _listed(spark, traverse(seeds, graph.edges, graph.membership, 2, 2 * (limit or DEFAULT_LIMIT), steps=graph.steps()), 2 * (limit or DEFAULT_LIMIT))
         ids += [r["memory_id"] for r in near if r["memory_id"] not in places]
-    own = live.filter(F.col("id").isin(ids)) if ids else live.limit(0)
+    own = live.filter(one_of("id", ids)) if ids else live.limit(0)
     rows = scored(fused, own, now)
     if reached is None:
         return _items(top(rows, limit, least))

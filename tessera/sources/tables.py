@@ -31,6 +31,15 @@ def written(df: DataFrame, label: str = "table", buckets: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_of(name: str, values: list) -> Column:
+    """Whether a column is one of a list of texts or whole numbers, as one expression:
+    a literal each would be a call each."""
+    if not values:
+        return F.lit(False)
+    said = [str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"`{name}` IN ({', '.join(said)})")
+
+
 def ranked(df: DataFrame, order: list[Column], name: str, first: int | Column = 1) -> DataFrame:
     """df with name, each row's place in the order, from first. Rows are dealt by
     range, ranked inside a range, and moved by the number of rows in the ranges

@@ -15,6 +15,7 @@ from tessera.operators import search as Q
 from tessera.operators import vectors as V
 from tessera.sources import catalog as K
 from tessera.sources import postings as P
+from tessera.sources.tables import one_of
 from tessera.sources.versions import Conflict, Versions
 from tessera.streaming import ingest
 
@@ -133,6 +134,13 @@ def test_upkeep_equals_a_fresh_index(spark, tmp_path):
     assert store.open().n == fresh.n and phrase(store.open()) == phrase(fresh)
 
 
+def test_one_of(spark):
+    odd = ["it's", "a\\b", "\\'", '"', "é名", "x\ny", "%", ""]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate([*odd, "other", None])], "t string, n long")
+    assert {r["t"] for r in rows.filter(one_of("t", odd)).collect()} == set(odd)
+    assert {r["n"] for r in rows.filter(one_of("n", [1, -5, 3])).collect()} == {1, 3} and rows.filter(one_of("t", [])).count() == 0
+
+
 def test_words_are_as_the_index_has_them(spark):
     memories = spark.createDataFrame([("1", "running dogs"), ("2", "run dog"), ("3", "dogs running fast")], "id string, content string")
     for stemmed, want in ((True, {"1", "2", "3"}), (False, {"1", "3"})):
