@@ -328,3 +328,27 @@ def test_files_and_upsert(spark, tmp_path):
     old = spark.createDataFrame([("Go", "tech", 2)], "name string, category string, access_count long")
     new = spark.createDataFrame([("GO", "tech"), ("Rust", "tech"), ("rust", "tech")], "name string, category string")
     assert {r["name"]: r["access_count"] for r in G.upserted(old, new).collect()} == {"Go": 3, "Rust": 1}
+
+
+def test_overlap_candidates_share_more_than_one_token(spark, monkeypatch):
+    """Texts that have one rare token in common by chance never meet their lists."""
+    import random
+
+    from tessera.operators import maintain as M
+
+    sizes, plain = {}, M.written
+
+    def counted(df, label="table", buckets=None):
+        out = plain(df, label, buckets)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    rnd = random.Random(5)
+    texts = [" ".join([f"chance{i % 4}", *rnd.sample([f"w{j}" for j in range(60)], 30)]) for i in range(40)]
+    # A copy of one but for one word, in other cases.
+    texts.append(texts[0].rsplit(" ", 1)[0].upper() + " other")
+    rows = [(f"m{i:03d}", t, "2024-01-01") for i, t in enumerate(texts)]
+    mem = spark.createDataFrame(rows, "id string, content string, day string").selectExpr("id", "content", "cast(day as timestamp_ntz) created_at", "cast(null as timestamp_ntz) superseded_at")
+    assert [(r[0], r[1]) for r in M.overlaps(mem).collect()] == [("m000", "m040")]
+    assert sizes["candidates"] <= 60, sizes  # 532 by one shared token
