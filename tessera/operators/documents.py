@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +36,23 @@ def cut_text(text: str, size: int = 500) -> list[str]:
     return [*out, raw[begin:].decode("utf-8", "surrogatepass")] if begin < len(raw) or not out else out
 
 
-def chunks(docs: DataFrame, size: int | Column = 500) -> DataFrame:
-    """(doc_id, chunk_index, content) of (doc_id, text); where a chunk ends depends
-    on where the one before did, so texts go through Python in batches."""
+#: Texts that are cut at once.
+TEXTS = 64
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, c) for d, t, n in zip(b["doc_id"], b["text"], b["_size"], strict=True) for i, c in enumerate(cut_text(t or "", int(n)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
 
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, _size) as chunks, TEXTS of them at once."""
+    for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+        cut = [cut_text(t or "", n) for t, n in zip(b["text"].to_pylist(), b["_size"].to_pylist(), strict=True)]
+        own = pa.array([k for k, parts in enumerate(cut) for _ in parts], pa.int32())
+        yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), pa.array([i for parts in cut for i in range(len(parts))], pa.int32()), pa.array([c for parts in cut for c in parts], pa.string())], names=["doc_id", "chunk_index", "content"])
+
+
+def chunks(docs: DataFrame, size: int | Column = 500) -> DataFrame:
+    """(doc_id, chunk_index, content) of (doc_id, text); where a chunk ends depends
+    on where the one before did, so texts go through Python, a few at once."""
     size = F.lit(size) if isinstance(size, int) else size
-    return docs.select("doc_id", "text", size.alias("_size")).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, content string")
+    return docs.select("doc_id", "text", size.cast("int").alias("_size")).mapInArrow(_cut_texts, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, content string")
 
 
 @dataclass(frozen=True)

@@ -352,3 +352,14 @@ def test_overlap_candidates_share_more_than_one_token(spark, monkeypatch):
     mem = spark.createDataFrame(rows, "id string, content string, day string").selectExpr("id", "content", "cast(day as timestamp_ntz) created_at", "cast(null as timestamp_ntz) superseded_at")
     assert [(r[0], r[1]) for r in M.overlaps(mem).collect()] == [("m000", "m040")]
     assert sizes["candidates"] <= 60, sizes  # 532 by one shared token
+
+
+def test_texts_are_cut_a_few_at_once():
+    import pyarrow as pa
+
+    from tessera.operators import documents as D
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["a" * 1200, None] * 500, "_size": [500] * 1000})
+    out = list(D._cut_texts(iter([rows])))
+    assert max(b.num_rows for b in out) <= 3 * D.TEXTS < 1000
+    assert [(r["doc_id"], r["chunk_index"], len(r["content"])) for b in out for r in b.to_pylist()][:5] == [(0, 0, 500), (0, 1, 500), (0, 2, 200), (1, 0, 0), (2, 0, 500)]
