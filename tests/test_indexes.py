@@ -334,3 +334,33 @@ def test_recall_with_a_graph(spark):
         assert both[i] == pytest.approx(1.5 * alone[i], abs=2e-6)
     for i in ("m1", "m2"):
         assert both[i] == pytest.approx(0.1 * share[i] + base[i], abs=2e-6)
+
+
+def traced(rows, sends):
+    """The most that Python holds, in bytes, while rows are sent."""
+    import tracemalloc
+
+    tracemalloc.start()
+    for _ in sends(iter(rows)):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_a_worker_holds_numbers_of_words_and_sends_blocks_packed():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = [[f"word{min(int(rnd.paretovariate(0.7)), 5000)}" for _ in range(2000)] for _ in range(256)]
+    rows = pa.RecordBatch.from_pydict({"part": [n // 64 for n in range(256)], "id": [f"m{n}" for n in range(256)], "w": [" ".join(t) for t in texts]})
+    most = traced([rows], P._posted(True, 4, 2))
+    assert most < 256 * 2000 * 40  # lists of the words are twice that
+    blocks = [b for b in P._unpacked(P._posted(False, 4, 2)(iter([rows])))]
+    got = {(r["term"], i): tuple(at) for b in blocks for r in b.to_pylist() for i, at in zip(r["ids"], r["ats"])}
+    want = defaultdict(list)
+    for n, t in enumerate(texts):
+        for at, w in enumerate(t):
+            want[w, f"m{n}"].append(at)
+    assert got == {k: tuple(v) for k, v in want.items()}
+    assert all(r["bucket"] == P.bucket_of(r["term"], 4) for b in blocks for r in b.to_pylist())
