@@ -364,3 +364,13 @@ def test_a_worker_holds_numbers_of_words_and_sends_blocks_packed():
             want[w, f"m{n}"].append(at)
     assert got == {k: tuple(v) for k, v in want.items()}
     assert all(r["bucket"] == P.bucket_of(r["term"], 4) for b in blocks for r in b.to_pylist())
+
+
+def test_cells_meet_queries_row_by_row():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    one = {"cell": 0, "block": "b", "codes": bytes(4), "q_ids": list(range(200)), "q_vecs": rnd.random((200, 64)).tolist()}
+    rows = pa.RecordBatch.from_pylist([one] * 50)
+    run = V._by_codes(np.zeros((1, 64)), np.zeros((4, 256, 16)), 10, pa.int64())
+    assert traced([rows], run) < 50 * 200 * 64 * 8  # all rows as lists are four times that
