@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hooks as H
 from ..functions import scoring as S
 from ..functions import text as X
-from ..sources.tables import ranked
+from ..sources.tables import one_of, ranked, written
 from .search import Vector, _with_query
 
 
@@ -38,21 +38,28 @@ def cut_text(text: str, size: int = 500) -> list[str]:
 
 #: Texts that are cut at once.
 TEXTS = 64
+#: Shares that a collection's files are dealt to.
+SHARES = 64
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, _size) as chunks, TEXTS of them at once."""
+    """Rows (doc_id, text, _size, ...) as chunks, TEXTS of them at once. What else a row
+    has goes with its first chunk."""
     for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
         cut = [cut_text(t or "", n) for t, n in zip(b["text"].to_pylist(), b["_size"].to_pylist(), strict=True)]
         own = pa.array([k for k, parts in enumerate(cut) for _ in parts], pa.int32())
-        yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), pa.array([i for parts in cut for i in range(len(parts))], pa.int32()), pa.array([c for parts in cut for c in parts], pa.string())], names=["doc_id", "chunk_index", "content"])
+        more = [c for c in b.schema.names if c not in ("doc_id", "text", "_size")]
+        first = pa.array([None if i else k for k, parts in enumerate(cut) for i in range(len(parts))], pa.int32())
+        yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), pa.array([i for parts in cut for i in range(len(parts))], pa.int32()), pa.array([c for parts in cut for c in parts], pa.string()), *(b[c].take(first) for c in more)], names=["doc_id", "chunk_index", "content", *more])
 
 
-def chunks(docs: DataFrame, size: int | Column = 500) -> DataFrame:
+def chunks(docs: DataFrame, size: int | Column = 500, more: Sequence[str] = ()) -> DataFrame:
     """(doc_id, chunk_index, content) of (doc_id, text); where a chunk ends depends
-    on where the one before did, so texts go through Python, a few at once."""
+    on where the one before did, so texts go through Python, a few at once. Columns of
+    more are in each text's first chunk, null in others."""
     size = F.lit(size) if isinstance(size, int) else size
-    return docs.select("doc_id", "text", size.cast("int").alias("_size")).mapInArrow(_cut_texts, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, content string")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *more)}
+    return docs.select("doc_id", "text", size.cast("int").alias("_size"), *more).mapInArrow(_cut_texts, f"doc_id {kinds['doc_id']}, chunk_index int, content string" + "".join(f", {c} {kinds[c]}" for c in more))
 
 
 @dataclass(frozen=True)
@@ -98,12 +105,17 @@ def ingested(library: Library, files: DataFrame, now: Column, embedder: H.Embedd
     library = with_collections(library, files.select(F.col("collection").alias("name")).distinct(), now)
     meta = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in files.columns else F.lit("{}")
     key = X.content_id("rag_doc_", F.col("collection"), F.col("filename"), F.coalesce("content", F.lit("")))
-    rows = files.select(key.alias("document_id"), F.col("collection").alias("name"), "filename", F.coalesce("content", F.lit("")).alias("text"), meta.alias("metadata")).dropDuplicates(["document_id"])
-    rows = rows.join(library.documents.select("document_id"), "document_id", "left_anti").join(library.collections.select("name", "collection_id", "chunk_size"), "name")
-    cut = chunks(rows.select(F.col("document_id").alias("doc_id"), "text", "chunk_size"), F.col("chunk_size"))
-    parts = cut.select(F.concat(F.lit("rag_chk_"), "doc_id", F.lit("_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", "content")
-    counts = parts.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    docs = rows.join(counts, "document_id").select("document_id", "collection_id", "filename", X.source_type(F.col("filename")).alias("source_type"), "metadata", "chunk_count", now.alias("created_at"))
+    rows = files.select(key.alias("document_id"), F.col("collection").alias("name"), "filename", F.coalesce("content", F.lit("")).alias("text"), meta.alias("metadata"))
+    # Texts are dealt by their collection's name and a share, so that a large collection is many tasks'.
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("document_id"), F.lit(SHARES)).cast("int"))
+    sizes = library.collections.select("name", "collection_id", "chunk_size", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
+    rows = rows.join(sizes, ["name", "_share"]).dropDuplicates(["name", "_share", "document_id"]).join(library.documents.select("document_id"), "document_id", "left_anti")
+    told = [F.struct("collection_id", "filename", "metadata").alias("_told")]
+    cut = chunks(rows.select(F.col("document_id").alias("doc_id"), "text", "chunk_size", *told), F.col("chunk_size"), ["_told"])
+    cut = written(cut.select(F.concat(F.lit("rag_chk_"), "doc_id", F.lit("_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", "content", "_told"), "chunks")
+    parts = cut.drop("_told")
+    docs = cut.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.max("_told").alias("_told")).select("document_id", "_told.*", "chunk_count")  # the first chunk tells
+    docs = docs.select("document_id", "collection_id", "filename", X.source_type(F.col("filename")).alias("source_type"), "metadata", "chunk_count", now.alias("created_at"))
     vectors = library.vectors
     if embedder is not None:
         vectors = vectors.unionByName(embedder.embed(parts.select(F.col("chunk_id").alias("id"), "content")).filter("vec is not null"))
@@ -143,10 +155,13 @@ def query_chunks(library: Library, text: str, vector: Vector, k: int = 5, collec
     docs = library.documents.select("document_id", "collection_id", F.col("filename").alias("document"))
     if collection:
         docs = docs.join(library.collections.filter(F.col("name") == collection).select("collection_id"), "collection_id", "left_semi")
-    parts = library.chunks.join(docs, "document_id")
-    rows, q = _with_query(library.vectors.join(parts.select(F.col("chunk_id").alias("id")), "id", "left_semi"), vector)
-    near = rows.select(F.col("id").alias("chunk_id"), F.round(S.closeness(S.l2(F.col("vec"), q)), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(fetch)
-    found = parts.join(F.broadcast(near), "chunk_id").select("chunk_id", "content", "document", "chunk_index", "score")  # fetch rows
+    ids = library.chunks.select(F.col("chunk_id").alias("id"), "document_id").join(docs.select("document_id"), "document_id", "left_semi").select("id")
+    rows, q = _with_query(library.vectors, vector)
+    scores = rows.select("id", F.round(S.closeness(S.l2(F.col("vec"), q)), 6).alias("score")).join(ids, "id", "left_semi")
+    near = [tuple(r) for r in scores.orderBy(F.desc("score"), "id").limit(fetch).collect()]  # fetch rows
+    listed = library.chunks.sparkSession.createDataFrame(near, "chunk_id string, score double")
+    found = library.chunks.filter(one_of("chunk_id", [i for i, _ in near])).join(F.broadcast(listed), "chunk_id")
+    found = docs.join(F.broadcast(found), "document_id").select("chunk_id", "content", "document", "chunk_index", "score")  # fetch rows
     if reranker.name != "noop":
         found = rescored(found, text, reranker)
     return found.orderBy(F.desc("score"), "chunk_id").limit(k)
@@ -167,7 +182,8 @@ def rescored(found: DataFrame, text: str, reranker: H.Reranker) -> DataFrame:
         rows["score"] = [float(x) for x in given] + list(rows["score"])[len(given) :]
         yield rows
 
-    return found.coalesce(1).mapInPandas(run, found.schema)
+    # Not coalesce(1): that would have one task find them too.
+    return found.repartition(1).mapInPandas(run, found.schema)
 
 
 def rag_query(vectors: DataFrame, docs: DataFrame, query: Vector, k: int = 5, collection: str | None = None) -> DataFrame:

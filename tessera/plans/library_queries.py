@@ -60,7 +60,7 @@ def _library(spark, sf_dir):
         files = docs.select("doc_id", F.col("source").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), end).alias("filename"), F.col("text").alias("content"))
         library = D.with_collections(D.empty_library(spark), spark.createDataFrame([("zz empty", "none yet")], "name string, description string"), now())
         library = D.ingested(library, files, now())
-        library = D.replace(library, documents=written(library.documents, "documents"), chunks=written(library.chunks, "chunks"))
+        library = D.replace(library, documents=written(library.documents, "documents"))
         vectors = library.chunks.select(F.col("chunk_id").alias("id"), chunk_vector(F.col("content")).alias("vec"))
         _LIBRARIES[key] = state, D.replace(library, vectors=written(vectors, "chunk_vectors"))
     return _LIBRARIES[key][1]

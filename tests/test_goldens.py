@@ -363,3 +363,32 @@ def test_texts_are_cut_a_few_at_once():
     out = list(D._cut_texts(iter([rows])))
     assert max(b.num_rows for b in out) <= 3 * D.TEXTS < 1000
     assert [(r["doc_id"], r["chunk_index"], len(r["content"])) for b in out for r in b.to_pylist()][:5] == [(0, 0, 500), (0, 1, 500), (0, 2, 200), (1, 0, 0), (2, 0, 500)]
+
+
+def test_a_top_list_for_a_reranker_is_found_by_many_tasks(spark):
+    from tessera.operators import documents as D
+
+    found = spark.range(0, 80, 1, 8).selectExpr("cast(id as string) chunk_id", "cast(id as string) content", "'d' document", "0 chunk_index", "1.0D score")
+    out = D.rescored(found, "q", D.H.Reranker("length", lambda query, texts: [float(len(t)) for t in texts]))
+    assert "Coalesce" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 80 and {r["score"] for r in out.collect()} == {1.0, 2.0}
+
+
+def test_a_large_collection_is_many_tasks_and_repeated_files_are_one(spark):
+    from tessera.operators import documents as D
+
+    names = [f"f{n % 400}" for n in range(500)]
+    files = spark.createDataFrame([("big", n, "x" * 1200 if n != "f7" else None) for n in names], "collection string, filename string, content string")
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    was = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("false", "-1")):
+            spark.conf.set(k, v)
+        library = D.ingested(D.empty_library(spark), files, F.expr("TIMESTAMP_NTZ '2024-08-01 00:00:00'"))
+        assert len(library.chunks.inputFiles()) > 2  # a name's files were one task's
+    finally:
+        for k, v in zip(keys, was):
+            spark.conf.set(k, v)
+    assert library.chunks.count() == 399 * 3 + 1
+    rows = library.documents.groupBy("chunk_count", "metadata", "source_type", "collection_id").count().collect()
+    assert {tuple(r) for r in rows} == {(3, "{}", "file", 1, 399), (1, "{}", "file", 1, 1)}
