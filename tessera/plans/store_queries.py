@@ -11,7 +11,7 @@ from ..operators import search as Q
 from ..sources import catalog as K
 from ..sources import postings as P
 from ..sources.tables import shared_dir
-from ..sources.versions import Versions
+from ..sources.versions import Files, Versions
 from ..streaming import ingest
 from . import base
 from .base import MEM, NOW, bm25_sql, matching, now, query
@@ -41,14 +41,24 @@ def store_versions(spark, sf_dir):
     return store.read("memories").select("id", "access_count", F.date_format("superseded_at", "yyyy-MM-dd HH:mm:ss").alias("superseded"))
 
 
+def in_files(rows, path: str, batches: int) -> int:
+    """Write rows (memory_id, entity_id) as files of as many tasks as a shuffle has, a
+    memory's in several of them; of how many files each of so many batches is."""
+    spark = rows.sparkSession
+    tasks = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(tasks, F.xxhash64("entity_id", "memory_id")).write.parquet(path)
+    files = sum(name.endswith(".parquet") for name, _ in Files(spark, path).list(""))
+    return max(1, -(-files // batches))
+
+
 @query(f"WITH {BIP} SELECT source_id, target_id, count FROM pc WHERE count >= 2")
 def streamed_pairs(spark, sf_dir):
     """Memberships that come in three batches, so that most memories grow."""
     root = _new(spark, "stream")
     rows = K.membership(spark, sf_dir).select("memory_id", "entity_id")
-    rows.withColumn("third", (F.col("entity_id") % 3).cast("int")).repartition(3, "third").sortWithinPartitions("third").select("memory_id", "entity_id").coalesce(3).write.parquet(f"{root}/in")
+    each = in_files(rows, f"{root}/in", 3)
     store = Versions(spark, f"{root}/store")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{root}/in")
     ingest.pairs_of(store, stream, "members", f"{root}/checkpoint").awaitTermination()
     return store.read(ingest.PAIRS).filter("count >= 2")
 

@@ -6,6 +6,8 @@ failure or a restart of the query, it finds its mark and changes nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,8 @@ from ..sources.versions import Change, Versions
 
 MEMORIES, MEMBERS, PAIRS, EDGES = "memories", "membership", "pairs", "edges"
 PAIR = ["source_id", "target_id"]
+#: Memberships whose pairs are one task's, on average.
+DEALT = 250_000
 
 
 def marked(change: Change, stream: str, batch: int) -> bool:
@@ -43,7 +47,9 @@ def count_pairs(change: Change, members: DataFrame, least: int = 2) -> None:
         every = G.pair_counts(old.unionByName(new)).unionByName(before)
     else:
         every = G.pair_counts(new)
-    delta = every.groupBy(*PAIR).agg(F.sum("count").alias("count")).filter("count <> 0")
+    # Explicitly many tasks: a few MB of narrow rows, shuffled, are many pairs to sort and join.
+    tasks = max(1, math.ceil((new.count() + (old.count() if change.has(MEMBERS) else 0)) / DEALT))
+    delta = every.repartition(tasks, *PAIR).groupBy(*PAIR).agg(F.sum("count").alias("count")).filter("count <> 0")
     if change.has(PAIRS):
         known = change.read(PAIRS).withColumnRenamed("count", "_old")
         delta = delta.join(known, PAIR, "left").select(*PAIR, (F.col("count") + F.coalesce("_old", F.lit(0))).alias("count"))

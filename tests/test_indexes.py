@@ -374,3 +374,14 @@ def test_cells_meet_queries_row_by_row():
     rows = pa.RecordBatch.from_pylist([one] * 50)
     run = V._by_codes(np.zeros((1, 64)), np.zeros((4, 256, 16)), 10, pa.int64())
     assert traced([rows], run) < 50 * 200 * 64 * 8  # all rows as lists are four times that
+
+
+def test_the_streams_batches_are_of_many_files(spark, tmp_path):
+    from tessera.plans import store_queries
+
+    rows = spark.range(6000).selectExpr("id div 6 memory_id", "id entity_id")
+    each = store_queries.in_files(rows, f"file://{tmp_path}/in", 3)
+    files = [f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]
+    assert len(files) == 8 and each == 3
+    assert max(spark.read.parquet(f"{tmp_path}/in/{f}").count() for f in files) < 1200
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 6000
