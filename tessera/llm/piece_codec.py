@@ -110,19 +110,22 @@ def _states(matrices: DataFrame, most: int, fan: int) -> DataFrame:
 def _chunked(rows: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
     """Ids of longer texts. Each chunk gives its matrix in any task; matrices are
     combined, and the states at all borders found, in _states; each chunk is then
-    traced back on its own. Equal texts are encoded once."""
+    traced back on its own. Equal texts are encoded once: of their rows the one
+    numbered first. Chunks are cut where their text is read and dealt out once, to
+    meet their states."""
     longest = _model(model)[0].longest
     keyed = rows.withColumn("_key", F.sha2("_text", 256))
     spaced = F.concat(F.lit(SPACE), F.replace("_text", F.lit(" "), F.lit(SPACE)))
     size = F.length("_text") + 1
-    ats = keyed.select("_key", "_text").distinct().select("_key", spaced.alias("_s"), size.alias("_size"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))).alias("at"))
+    numbered = keyed.select("_key", "_text", F.monotonically_increasing_id().alias("_row"))
+    ats = numbered.select("_key", "_row", spaced.alias("_s"), size.alias("_size"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))).alias("at"))
     begin = F.greatest(F.lit(0), F.col("at") - longest)
     chunks = materialize(
         ats.select(
-            "_key", (F.col("at") / chunk).cast("int").alias("i"), (F.col("at") - begin).alias("lead"), F.least(F.lit(chunk), F.col("_size") - F.col("at")).alias("size"),
+            "_key", "_row", (F.col("at") / chunk).cast("int").alias("i"), (F.col("at") - begin).alias("lead"), F.least(F.lit(chunk), F.col("_size") - F.col("at")).alias("size"),
             (F.col("at") + chunk >= F.col("_size")).alias("ends"),
             F.substring("_s", begin + 1, F.col("at") - begin + chunk + longest).alias("piece"),
-        ).repartition("_key", "i"), "chunks",
+        ), "chunks",
     )
 
     def made(x: object) -> Chunk:
@@ -130,7 +133,7 @@ def _chunked(rows: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_key": batch["_key"], "i": batch["i"], "matrix": [_dump(made(x).transfer()) for x in batch.itertuples()]})
+            yield pd.DataFrame({"_key": batch["_key"], "_row": batch["_row"], "i": batch["i"], "matrix": [_dump(made(x).transfer()) for x in batch.itertuples()]})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -146,9 +149,11 @@ def _chunked(rows: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
                 yield pd.DataFrame({"_key": batch["_key"], "i": batch["i"], "ids": out})
 
     most = chunks.agg(F.max("i")).first()[0]
-    level = materialize(chunks.mapInPandas(matrices, "_key string, i int, matrix string"), "matrices")
-    states = _states(level, (most or 0) + 1, fan)
-    traced = chunks.join(states, ["_key", "i"]).mapInPandas(trace, "_key string, i int, ids array<int>")
+    first = chunks.filter("i = 0").groupBy("_key").agg(F.min("_row").alias("_row"))
+    level = materialize(chunks.mapInPandas(matrices, "_key string, _row long, i int, matrix string").join(first, ["_key", "_row"]), "matrices")
+    states = _states(level.drop("_row"), (most or 0) + 1, fan).join(first, "_key")
+    # States of all chunks are no broadcast: there are as many as chunks.
+    traced = chunks.join(states.hint("merge"), ["_key", "_row", "i"]).mapInPandas(trace, "_key string, i int, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]))
     return keyed.select("doc_id", "_key").join(traced.groupBy("_key").agg(joined.alias("ids")), "_key").select("doc_id", "ids")
 

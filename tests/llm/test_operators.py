@@ -738,3 +738,23 @@ def test_pipeline(spark, sf_dir, documents):
     assert kept <= set(rows)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == docs.count() and corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_pieces_of_chunks_that_are_dealt_out_once(spark, monkeypatch):
+    """Chunks are cut where texts are read, copies in several partitions are traced
+    once, and chunks meet their states by a merge at every size (op9)."""
+    plans, inner = {}, piece_codec.materialize
+
+    def seen(df, label="step"):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return inner(df, label)
+
+    monkeypatch.setattr(piece_codec, "materialize", seen)
+    texts = [("word salad, and more of it " * 9)[: 60 + 37 * (i % 4)] for i in range(16)] + ["x" * 150, " " * 90, "é中 " * 60, None, "", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() > 1
+    out = piece_codec.encode(docs, PIECES, 50)
+    got, want = ({r["doc_id"]: r["ids"] for r in df.collect()} for df in (out, piece_codec.encode(docs, PIECES, 10_000)))
+    assert got == want and len(got) == len(texts)
+    assert not any(x in plans["chunks"] for x in ("Repartition", "Aggregate", "Distinct"))
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
