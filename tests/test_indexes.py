@@ -385,3 +385,18 @@ def test_the_streams_batches_are_of_many_files(spark, tmp_path):
     assert len(files) == 8 and each == 3
     assert max(spark.read.parquet(f"{tmp_path}/in/{f}").count() for f in files) < 1200
     assert spark.read.parquet(f"{tmp_path}/in").count() == 6000
+
+
+def test_cells_are_fitted_on_little_memory(spark, monkeypatch):
+    rows = spark.range(0, 20_000, 1, 40).selectExpr("concat('v', id) id", "array(cast(id as float), 1.0F) vec")
+    some = V.first_by_hash(rows, 500)
+    first = lambda df: [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    assert first(some) == first(rows) and 500 <= some.count() < 600  # a top list sends 500 of each of 40 tasks
+    assert V.first_by_hash(rows, 30_000).count() == 20_000
+    seen, plain = [], V.first_by_hash
+    monkeypatch.setattr(V, "first_by_hash", lambda *a: seen.append(a) or plain(*a))
+    V.CellIndex.fit(rows.limit(50))
+    assert [n for _, n in seen] == [V.SAMPLE]
+    x = np.random.default_rng(1).normal(size=(8192, 8))
+    assert traced([x], lambda b: [V._lloyd(next(b), 256, 2)]) < 40e6  # all distances at once are 17 MB, three times over
+    assert (V._nearest(x, x[:9]) == np.argmin(V.distances(x, x[:9]), axis=1)).all()
