@@ -281,6 +281,59 @@ def test_overlaps_of_repeated_tokens(spark):
     assert [tuple(r) for r in M.overlaps(_memories(spark, rows)).collect()] == [("o", "n", 0.93)]
 
 
+def _repeating():
+    """(id, content, days old, extra columns): texts that repeat their words, many with
+    few words of others, and copies with a word or two exchanged."""
+    import random
+
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices([f"w{j}" for j in range(60)], [1 / (j + 1) for j in range(60)], k=rnd.choice([3, 5, 20, 60, 90]))) for _ in range(90)]
+    for t in texts[:30]:
+        words = t.split()
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(9)}"
+        texts.append(" ".join(words))
+    return [(f"m{i:03d}", t, rnd.randrange(6), {}) for i, t in enumerate(texts)]
+
+
+def _overlapping(rows, sized):
+    """{(older, newer): overlap} by the definition."""
+    out = {}
+    for i, t, days, _ in rows:
+        for j, u, ago, _ in rows:
+            a, b = t.split(), set(u.split())
+            share = sum(w in b for w in a) / len(a)
+            if (-days, i) < (-ago, j) and len(u.split()) >= 3 <= len(a) and share > 0.92 and (not sized or min(len(a), len(b)) / len(a) >= 0.92):
+                out[i, j] = round(share, 6)
+    return out
+
+
+@pytest.mark.parametrize("sized", [True, False])
+def test_overlaps_are_all_pairs(spark, monkeypatch, sized):
+    monkeypatch.setattr(M, "BLOCK", 200)
+    rows = _repeating()
+    got = {(r["older"], r["newer"]): r["overlap"] for r in M.overlaps(_memories(spark, rows), sized=sized).collect()}
+    assert got == _overlapping(rows, sized) and len(got) > 100
+
+
+def test_blocks_are_searched_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [r for r in _repeating() if len(r[1].split()) >= 3]
+    number = {w: i for i, w in enumerate(sorted({w for _, t, _, _ in rows for w in t.split()}))}
+    lists = pa.array([[number[w] for w in t.split()] for _, t, _, _ in rows], pa.list_(pa.int32()))
+    texts = next(M._hashed(iter([pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "created_at": [-r[2] for r in rows], "w": lists})])))
+    steps = np.full(M.CLASSES, 255, np.uint8)
+    old = [r for b in M._older(0.92, False, steps, 1)(iter([texts])) for r in b.to_pylist()]
+    block = M._block([r for b in M._newer(iter([texts.append_column("block", pa.array([0] * len(rows), pa.int32()))])) for r in b.to_pylist()])
+    found = []
+    for most in (1 << 21, 40):
+        monkeypatch.setattr(M, "AT_ONCE", most)
+        found.append([p for r in old for a, b in M._matched(r, block) for p in zip(a, b)])
+    assert found[0] == found[1] and len(set(found[0])) == len(found[0]) and set(found[0]) >= set(_overlapping(rows, False))
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, None)], "id string, n int, x string")
     K.write_json(rows, str(tmp_path / "out"))
