@@ -308,6 +308,17 @@ def _overlapping(rows, sized):
     return out
 
 
+def test_duplicates_of_texts_that_repeat_words(spark):
+    text = " ".join(["so", "it", "is"] * 9 + ["here"])
+    rows = [("a", text, 9, {}), ("b", text, 8, {}), ("c", f"{text} there", 7, {}), ("d", "so it was", 6, {})]
+    memories = _memories(spark, rows)
+    assert [(r["older"], r["newer"]) for r in M.duplicates(memories, strict=True).orderBy("step").collect()] == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert M.overlaps(memories, sized=True).count() == 0
+    order = [i for i, *_ in sorted(_repeating(), key=lambda r: (-r[2], r[0]))]
+    want = sorted(_overlapping(_repeating(), False), key=lambda p: [order.index(x) for x in p])[:25]
+    assert [(r["older"], r["newer"]) for r in M.duplicates(_memories(spark, _repeating()), most=25, strict=True).orderBy("step").collect()] == want
+
+
 @pytest.mark.parametrize("sized", [True, False])
 def test_overlaps_are_all_pairs(spark, monkeypatch, sized):
     monkeypatch.setattr(M, "BLOCK", 200)
