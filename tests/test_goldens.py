@@ -319,6 +319,33 @@ def test_duplicates_of_texts_that_repeat_words(spark):
     assert [(r["older"], r["newer"]) for r in M.duplicates(_memories(spark, _repeating()), most=25, strict=True).orderBy("step").collect()] == want
 
 
+def test_duplicates_are_looked_for_among_the_oldest_first(spark, monkeypatch):
+    found, plain = [], M.written
+
+    def counted(df, label="table", buckets=None):
+        out = plain(df, label, buckets)
+        if label == "overlaps":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    rows, pairs = _repeating(), _overlapping(_repeating(), False)
+    order = [i for i, *_ in sorted(rows, key=lambda r: (-r[2], r[0]))]
+    pairs = sorted(pairs, key=lambda p: [order.index(x) for x in p])
+    got = lambda **options: [(r["older"], r["newer"]) for r in M.duplicates(_memories(spark, rows), **options).orderBy("step").collect()]
+    monkeypatch.setattr(M, "FIRST", (30, 40))
+    old = {x: sum(p[0] in order[:x] for p in pairs) for x in (30, 70)}
+    assert got(strict=True) == pairs[:10] and found == [old[30]] and 10 <= old[30] < len(pairs)
+    found.clear()
+    assert got(most=len(pairs) + 5, strict=True) == pairs and found == [old[30], old[70] - old[30], len(pairs) - old[70]]
+    want, gone = [], set()
+    for p in pairs:
+        if not gone & set(p):
+            want.append(p)
+            gone.add(p[1])
+    assert got(most=20) == want[:20] and len(want) > 20
+
+
 @pytest.mark.parametrize("sized", [True, False])
 def test_overlaps_are_all_pairs(spark, monkeypatch, sized):
     monkeypatch.setattr(M, "BLOCK", 200)
