@@ -259,6 +259,14 @@ def test_maintenance_cycle(spark):
     assert snap["content"] == "📦 Snapshot of 2 old memories:\n• old one\n• old two\n" and snap["mem_type"] == "snapshot" and snap["importance"] == 0.5
 
 
+def test_the_cycle_looks_among_the_oldest_and_takes_copies_that_repeat_words(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIRST", (2, 4))
+    text = " ".join(["so", "it", "is"] * 9)
+    rows = [(f"m{i:02d}", text, 20 - i, {}) for i in range(12)] + [("x", "none of these words", 3, {})]
+    stats = M.cycle(M.Store(_memories(spark, rows), G.empty_graph(spark)), F.expr("TIMESTAMP_NTZ '2024-08-01 00:00:00'"))[1]
+    assert stats.first()["deduped"] == 10
+
+
 def test_duplicates_step_by_step(spark):
     base = [f"w{i}" for i in range(30)]
     rows = [("x", " ".join(base), 9, {}), ("y", " ".join([*base[:29], "v"]), 8, {}), ("z", " ".join([*base[:28], "v", "u"]), 7, {}), ("q", " ".join([*base[:26], "v", "u", "s", "r"]), 6, {})]
